@@ -2,6 +2,7 @@
 
 from readlake.plans import (  # noqa: F401
     library_plans,
+    notebook_plans,
     search_plans,
     telemetry_plans,
 )

@@ -246,14 +246,14 @@ def _(t):
 
 
 @query("search_headlines", f"""
-WITH w AS (SELECT doc_id, generate_subscripts(l, 1) AS at, unnest(l) AS word, l FROM (
+WITH w AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS word, l FROM (
   SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), ' ') AS l FROM documents WHERE {matches("text")})),
 f AS (SELECT *, CASE WHEN list_contains({TOK.format("word")}, 'that') THEN 1 ELSE 0 END AS a,
   CASE WHEN len(list_filter({TOK.format("word")}, lambda x: starts_with(x, 'ther'))) > 0 THEN 1 ELSE 0 END AS b FROM w),
-r AS (SELECT doc_id, at, l, a + b AS here, max(a) OVER s + max(b) OVER s AS n FROM f
-  WINDOW s AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING))
-SELECT doc_id, regexp_replace(array_to_string(l[at:at + 31], ' '), '([tT][hH][aA][tT]|[tT][hH][eE][rR])',
+r AS (SELECT doc_id, pos, l, a + b AS here, max(a) OVER s + max(b) OVER s AS n FROM f
+  WINDOW s AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING))
+SELECT doc_id, regexp_replace(array_to_string(l[pos:pos + 31], ' '), '([tT][hH][aA][tT]|[tT][hH][eE][rR])',
   chr(2) || '\\1' || chr(3), 'g') AS headline
-FROM r WHERE here > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at) = 1""")
+FROM r WHERE here > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1""")
 def _(t):
     return R.headline(t.documents.filter(R.match(F.col("text"), Q)), "doc_id", "text", Q)
