@@ -150,7 +150,7 @@ def significant(value: Column, digits: int = 4) -> Column:
 
 
 def authors_short(families: Column) -> Column:
-    names = F.filter(F.transform(F.coalesce(families, F.array().cast("array<string>")), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.coalesce(families, F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: n != "")
     return F.when(F.size(names) <= 2, F.array_join(names, " & ")).otherwise(
         F.concat(F.element_at(names, 1), F.lit(" et al."))
     )
@@ -164,7 +164,7 @@ def authors_to_text(authors: Column) -> Column:
 
 
 def authors_from_text(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, "[;\n]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "[;\n]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.transform(
         parts,
         lambda p: F.struct(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from readlake.functions import text as X
 from readlake.operators.ranking import newest_per_key, numbered
@@ -93,14 +92,15 @@ def keep_newest(df: DataFrame, parent: str, newest: str, key: str, limit: int) -
     return newest_per_key(df, [parent], [F.col(newest).desc(), F.col(key)], limit)
 
 
-def changed_versions(versions: DataFrame, parent: str, at: list, same: list[str]) -> DataFrame:
+def changed_versions(versions: DataFrame, parent: str, slice_by, at: list[str], same: list[str]) -> DataFrame:
     """Snapshots that differ from the one before."""
-    w = W.partitionBy(parent).orderBy(*at)
-    first = F.row_number().over(w) == 1
+    from readlake.operators.ranking import with_previous
+
+    paired = with_previous(versions, [parent], slice_by, at, same)
     equal = F.lit(True)
     for c in same:
-        equal = equal & F.col(c).eqNullSafe(F.lag(c).over(w))
-    return versions.withColumn("_keep", first | ~equal).filter("_keep").drop("_keep")
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_prev_{c}"))
+    return paired.filter(F.col("_first") | ~equal).drop("_first", *(f"_prev_{c}" for c in same))
 
 
 def recent_turns(messages: DataFrame, limit: int = HISTORY) -> DataFrame:

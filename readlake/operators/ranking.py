@@ -48,3 +48,20 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list, limit: int) -> D
     (Spark's window group limit), so a hot key ships only `limit` rows per task."""
     ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rn") <= limit).drop("_rn")
+
+
+def with_previous(df: DataFrame, keys: list[str], slice_by: Column, order: list, columns: list[str]) -> DataFrame:
+    """Adds `_first` (no row before this one) and `_prev_<column>`: lag() per key, without a key's rows in one
+    task. Each slice's last row is found by aggregation and handed to the first row of the next slice."""
+    cut = df.withColumn("_slice", slice_by)
+    row = F.struct(*columns)
+    key_order = F.struct(*[o if isinstance(o, str) else o for o in order])
+    lasts = cut.groupBy(*keys, "_slice").agg(F.max_by(row, key_order).alias("_last"))
+    lasts = lasts.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    out = cut.join(lasts, [*keys, "_slice"]).withColumn("_here", F.lag(row).over(inside))
+    prev = F.coalesce("_here", "_before")
+    out = out.withColumn("_first", prev.isNull())
+    for c in columns:
+        out = out.withColumn(f"_prev_{c}", prev[c])
+    return out.drop("_slice", "_before", "_here")

@@ -77,17 +77,22 @@ def headline(found: DataFrame, key: str, body: str, q: str, max_words: int = 32)
 
     terms = X.query_terms(q)
     last = len(terms) - 1
-    words = found.select(key, F.posexplode(F.split(X.collapse(F.col(body)), " ")).alias("at", "word"))
-    words = words.withColumn("folded", X.fold(F.col("word")))
+    words = found.select(key, F.posexplode(F.split(X.fold(X.collapse(F.col(body))), " ")).alias("at", "folded"))
+    some = F.lit(False)
+    for t in terms:
+        some = some | F.contains("folded", F.lit(t))
     flags = [F.rlike("folded", F.lit(X.term_pattern(t, n == last))).cast("int").alias(f"h{n}") for n, t in enumerate(terms)]
-    flagged = words.select(key, "at", "word", *flags)
-    ahead = W.partitionBy(key).orderBy("at").rowsBetween(0, max_words - 1)
+    flagged = words.filter(some).select(key, "at", *flags)
     here = sum((F.col(f"h{n}") for n in range(1, last + 1)), F.col("h0"))
+    flagged = flagged.filter(here > 0)  # only hits open or add to a run, so the frame ranges over positions
+    ahead = W.partitionBy(key).orderBy("at").rangeBetween(0, max_words - 1)
     in_run = sum((F.max(f"h{n}").over(ahead) for n in range(1, last + 1)), F.max("h0").over(ahead))
-    runs = flagged.withColumn("n", in_run).withColumn("run", F.collect_list("word").over(ahead)).filter(here > 0)
-    best = runs.groupBy(key).agg(F.min_by("run", F.struct(-F.col("n"), F.col("at"))).alias("run"))
+    runs = flagged.withColumn("n", in_run)
+    best = runs.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "at"))["at"].alias("at"))
+    best = found.select(key, body).join(best, key)
+    run = F.slice(F.split(X.collapse(F.col(body)), " "), F.col("at") + 1, F.lit(max_words))
     pattern = "(" + "|".join(X.accent_blind(t) for t in terms) + ")"
-    marked = F.regexp_replace(F.array_join("run", " "), pattern, f"{X.MARK_START}$1{X.MARK_END}")
+    marked = F.regexp_replace(F.array_join(run, " "), pattern, f"{X.MARK_START}$1{X.MARK_END}")
     return best.select(key, marked.alias("headline"))
 
 

@@ -3,6 +3,7 @@
 from readlake.plans import (  # noqa: F401
     library_plans,
     notebook_plans,
+    retrieval_plans,
     search_plans,
     telemetry_plans,
 )

@@ -91,7 +91,7 @@ def _(t):
 SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER w AS a, row_number() OVER w AS n FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR a IS DISTINCT FROM event_type""")
 def _(t):
-    return N.changed_versions(t.events, "user_id", ["ts", "event_id"], ["event_type"]).select("user_id", "event_id")
+    return N.changed_versions(t.events, "user_id", F.to_date("ts"), ["ts", "event_id"], ["event_type"]).select("user_id", "event_id")
 
 
 @query("conversation_recent_turns", """
