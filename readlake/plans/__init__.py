@@ -1,6 +1,7 @@
 """Importing this package registers every query."""
 
 from readlake.plans import (  # noqa: F401
+    anchor_plans,
     library_plans,
     notebook_plans,
     retrieval_plans,
