@@ -7,5 +7,6 @@ from readlake.plans import (  # noqa: F401
     retrieval_plans,
     search_plans,
     telemetry_plans,
+    web_plans,
 )
 from readlake.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -45,10 +45,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so a lost executor re-reads instead of recomputing."""
+def pinned(df: DataFrame, name: str = "stage") -> DataFrame:
+    """`df` computed once and written to the shared folder. A lost executor re-reads it instead of recomputing,
+    later stages read only the columns they use, and the planner knows its size."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
