@@ -2,6 +2,7 @@
 
 from readlake.plans import (  # noqa: F401
     anchor_plans,
+    layout_plans,
     library_plans,
     notebook_plans,
     retrieval_plans,
