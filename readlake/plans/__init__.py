@@ -5,6 +5,7 @@ from readlake.plans import (  # noqa: F401
     layout_plans,
     library_plans,
     notebook_plans,
+    result_plans,
     retrieval_plans,
     search_plans,
     telemetry_plans,
