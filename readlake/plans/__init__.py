@@ -8,6 +8,7 @@ from readlake.plans import (  # noqa: F401
     result_plans,
     retrieval_plans,
     search_plans,
+    stream_plans,
     telemetry_plans,
     web_plans,
 )
