@@ -18,27 +18,33 @@ KINDS = ("document", "highlight", "note", "summary", "notebook")
 
 
 def match(column: Column, q: str) -> Column:
-    return X.match_folded(X.fold(column), X.query_terms(q))
+    terms = X.query_terms(q)
+    return X.let(X.fold(column), lambda f: X.match_folded(f, terms))
 
 
 def contains_all(column: Column, q: str) -> Column:
     """Looser: every folded word of the query is somewhere in the text; an empty query fits all."""
-    folded = X.fold(column)
-    test = F.lit(True)
-    for word in X.fold_text(q).split():
-        test = test & F.contains(folded, F.lit(word))
-    return test
+    words = X.fold_text(q).split()
+
+    def test(folded: Column) -> Column:
+        out = F.lit(True)
+        for word in words:
+            out = out & F.contains(folded, F.lit(word))
+        return out
+
+    return X.let(X.fold(column), test)
 
 
 def hits(df: DataFrame, q: str, body: str, title: str | None = None) -> DataFrame:
-    """The matching rows with `folded` and `score`; a title's words count double."""
+    """The matching rows with their score; a title's words count double. A text is folded once for the test,
+    and again for the score only where it matched."""
     terms = X.query_terms(q)
-    out = df.withColumn("folded", X.fold(F.col(body)))
-    test, score = X.match_folded(F.col("folded"), terms), X.rank_folded(F.col("folded"), terms)
+    fits = lambda c: X.let(X.fold(F.col(c)), lambda f: X.match_folded(f, terms))
+    rank = lambda c: X.let(X.fold(F.col(c)), lambda f: X.rank_folded(f, terms))
+    test, score = fits(body), rank(body)
     if title:
-        named = X.fold(F.col(title))
-        test, score = X.match_folded(named, terms) | test, X.rank_folded(named, terms) * 2 + score
-    return out.filter(test).withColumn("score", F.round(score, 6))
+        test, score = fits(title) | test, rank(title) * 2 + score
+    return df.filter(test).withColumn("score", F.round(score, 6))
 
 
 def page_of(found: DataFrame, page: int, newest: str, key: str, size: int = PAGE_SIZE) -> DataFrame:
@@ -54,8 +60,8 @@ def search(df: DataFrame, q: str, body: str, key: str, newest: str, page: int =
     found = hits(df, q, body, title)
     total = found.agg(F.count(F.lit(1)).alias("total"))
     shown = page_of(found, page, newest, key)
-    with_snippet = shown.withColumn("snippet", X.snippet(F.col(body), F.col("folded"), X.query_terms(q)))
-    return with_snippet.crossJoin(total).drop("folded")
+    with_snippet = shown.withColumn("snippet", X.snippet(F.col(body), X.fold(F.col(body)), X.query_terms(q)))
+    return with_snippet.crossJoin(total)
 
 
 def notebook_snippet(snippet: Column) -> Column:
@@ -152,7 +158,7 @@ def palette(documents: DataFrame, highlights: DataFrame, q: str) -> DataFrame:
 def match_counts(documents: DataFrame, highlights: DataFrame, notes: DataFrame, q: str) -> DataFrame:
     """Documents a search finds with the matches inside: a title match alone counts 0."""
     terms = X.query_terms(q)
-    fits = lambda c: X.match_folded(X.fold(F.col(c)), terms)
+    fits = lambda c: X.let(X.fold(F.col(c)), lambda f: X.match_folded(f, terms))
     titles = documents.filter(fits("title")).select("document_id", F.lit(0).cast("bigint").alias("n"))
     marked = highlights.filter(fits("selected_text") | fits("note")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     noted = notes.filter(fits("body")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
