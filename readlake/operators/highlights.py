@@ -88,8 +88,8 @@ def sync_report(highlights: DataFrame, plan: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("highlights"),
         *(F.count_if(F.col("sync_status") == s).alias(s) for s in ("synced", "unsynced", "ambiguous")),
     )
-    merges = plan.agg(F.count("merged").alias("merges"), F.count("held").alias("held"))
-    return states.crossJoin(merges)
+    count = lambda c: plan.agg(F.count(c)).scalar()
+    return states.select("*", count("merged").alias("merges"), count("held").alias("held"))
 
 
 def common_notebooks(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -108,4 +108,5 @@ def block_of(clean_anchor: Column, block_id: Column) -> Column:
 def numbered_in_document(df: DataFrame) -> DataFrame:
     """Highlights numbered in document order: page first (unknown pages last), then age."""
     order = [F.col("page_number").asc_nulls_last(), F.col("created_at"), F.col("highlight_id")]
-    return numbered(df, ["document_id"], F.coalesce("page_number", F.lit(1 << 30)), order, "number")
+    slices = F.struct(F.coalesce("page_number", F.lit(1 << 30)).alias("p"), F.to_date("created_at").alias("d"))
+    return numbered(df, ["document_id"], slices, order, "number")

@@ -99,9 +99,9 @@ def continue_reading(df: DataFrame, n: int = 3) -> DataFrame:
     open_ = df.filter("readable")
     started = open_.filter((F.col("progress") > 0) & (F.col("progress") < 100))
     first = started.orderBy(F.col("updated_at").desc(), "document_id").limit(n)
-    any_started = started.limit(1).agg(F.count(F.lit(1)).alias("_started"))
+    any_started = started.limit(1).agg(F.count(F.lit(1))).scalar()
     unread = open_.filter(~F.col("is_read")).orderBy(F.col("created_at").desc(), "document_id").limit(1)
-    return first.unionByName(unread.crossJoin(any_started).filter("_started = 0").drop("_started"))
+    return first.unionByName(unread.filter(any_started == 0))
 
 
 def continue_reading_each(df: DataFrame, n: int = 3) -> DataFrame:

@@ -58,8 +58,8 @@ def sources_of(links: DataFrame, highlights: DataFrame, documents: DataFrame) ->
 
 
 def number_sources(rows: DataFrame, key: str = "notebook_id") -> DataFrame:
-    """Sources 1..n by title, document, whether placed, where, page and age; slice by slice of titles, so a
-    notebook holding much of the table is still many tasks."""
+    """Sources 1..n by title, document, whether placed, where, page and age; slice by slice of a document's
+    stretches, so a notebook or a document holding much of the table is still many tasks."""
     order = [
         F.lower("title"),
         F.col("document_id").cast("string"),
@@ -69,7 +69,9 @@ def number_sources(rows: DataFrame, key: str = "notebook_id") -> DataFrame:
         F.col("created_at"),
         F.col("highlight_id"),
     ]
-    return numbered(rows, [key], F.lower("title"), order, "number")
+    stretch = F.floor(F.coalesce("start_at", F.lit(0)) / 4096)
+    slices = F.struct(order[0].alias("t"), order[1].alias("d"), order[2].alias("u"), stretch.alias("s"))
+    return numbered(rows, [key], slices, order, "number")
 
 
 def new_numbers(links: DataFrame, cited: DataFrame, wanted: DataFrame) -> DataFrame:

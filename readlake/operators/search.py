@@ -58,10 +58,10 @@ def page_of(found: DataFrame, page: int, newest: str, key: str, size: int = PAGE
 def search(df: DataFrame, q: str, body: str, key: str, newest: str, page: int = 1, title: str | None = None) -> DataFrame:
     """One kind's page with snippets and the number of all matches on every row."""
     found = hits(df, q, body, title)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
+    total = found.agg(F.count(F.lit(1))).scalar()
     shown = page_of(found, page, newest, key)
-    with_snippet = shown.withColumn("snippet", X.snippet(F.col(body), X.fold(F.col(body)), X.query_terms(q)))
-    return with_snippet.crossJoin(total)
+    snippet = X.snippet(F.col(body), X.fold(F.col(body)), X.query_terms(q))
+    return shown.withColumn("snippet", snippet).withColumn("total", total)
 
 
 def notebook_snippet(snippet: Column) -> Column:
@@ -72,8 +72,8 @@ def notebook_snippet(snippet: Column) -> Column:
 def two_lists(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two kinds shown as one group: each pages on its own, the totals add up."""
     both = first.withColumn("part", F.lit(1)).unionByName(second.withColumn("part", F.lit(2)), allowMissingColumns=True)
-    totals = both.groupBy("part").agg(F.max("total").alias("t")).agg(F.sum("t").alias("all_total"))
-    return both.crossJoin(totals)
+    totals = both.groupBy("part").agg(F.max("total").alias("t")).agg(F.sum("t"))
+    return both.withColumn("all_total", totals.scalar())
 
 
 def headline(found: DataFrame, key: str, body: str, q: str, max_words: int = 32) -> DataFrame:

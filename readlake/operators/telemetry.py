@@ -66,13 +66,13 @@ def spend_per_day(events: DataFrame, days: int, today: str) -> DataFrame:
 
 
 def spend_totals(events: DataFrame, days: int, today: str, exact: bool = True) -> DataFrame:
-    """Totals with the number of requests and today's cost. Distinct requests are counted from a grouped
-    pass, so the wide measures are not carried through a second shuffle per distinct value."""
+    """Totals with the number of requests and today's cost, in one pass: measures are summed per request first."""
     ranged = day_range(events, days, today)
     requests = F.count_distinct("request_id") if exact else F.approx_count_distinct("request_id")
     today_cost = F.sum(F.when(F.col("day") == F.lit(today).cast("date"), F.col("cost_usd")))
-    totals = ranged.agg(*spend(), F.round(F.coalesce(today_cost, F.lit(0.0)), 4).alias("today_cost_usd"))
-    return totals.crossJoin(ranged.agg(requests.alias("requests")))
+    return ranged.agg(
+        *spend(), F.round(F.coalesce(today_cost, F.lit(0.0)), 4).alias("today_cost_usd"), requests.alias("requests")
+    )
 
 
 def spend_by(events: DataFrame, key: str, days: int, today: str) -> DataFrame:
@@ -141,9 +141,8 @@ def traffic_per_area(traffic: DataFrame, days: int, today: str) -> DataFrame:
         .groupBy("area")
         .agg(*(F.sum(c).cast("bigint").alias(c) for c in ("requests", "errors", "ai_calls")))
     )
-    total = areas.agg(F.sum("requests").alias("_all"))
-    share = F.round(F.col("requests") / F.col("_all"), 6).alias("share")
-    return areas.crossJoin(total).select("area", "requests", "errors", "ai_calls", share).orderBy(F.desc("requests"), "area")
+    share = F.round(F.col("requests") / areas.agg(F.sum("requests")).scalar(), 6).alias("share")
+    return areas.select("area", "requests", "errors", "ai_calls", share).orderBy(F.desc("requests"), "area")
 
 
 def active_users(activity: DataFrame, days: int, today: str) -> DataFrame:
@@ -175,10 +174,8 @@ def traffic_totals(series: DataFrame, users: DataFrame, documents: DataFrame, to
         *(F.sum(c).alias(c) for c in ("requests", "errors", "ai_calls", "signups")),
         F.coalesce(last, F.lit(0)).alias("active_today"),
     )
-    counts = users.agg(F.count(F.lit(1)).alias("users")).crossJoin(
-        documents.agg(F.count(F.lit(1)).alias("documents"))
-    )
-    return sums.crossJoin(counts)
+    rows = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return sums.select("*", rows(users).alias("users"), rows(documents).alias("documents"))
 
 
 def request_counts(log: DataFrame) -> DataFrame:

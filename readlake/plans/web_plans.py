@@ -16,7 +16,7 @@ TITLE = """regexp_replace(trim(replace(replace(replace(replace(replace(regexp_ex
 
 @query("page_metadata", f"SELECT page_id, {TITLE} AS title, FALSE AS paywalled FROM pages")
 def _(t):
-    out = W.metadata(html_nodes(t.pages), t.pages)
+    out = W.metadata(pinned(html_nodes(t.pages), "nodes"), t.pages)
     return out.select("page_id", "title", "paywalled")
 
 
