@@ -229,45 +229,53 @@ def _(t):
 
 
 RECTS = """
-WITH r AS (SELECT l_orderkey % 20 AS doc, l_linenumber AS page, l_suppkey AS owner, l_returnflag, l_discount * 8 AS x, l_tax * 10 AS y,
+WITH r AS (SELECT l_suppkey % 20 AS doc, l_linenumber AS page, l_suppkey AS owner, l_returnflag, l_discount * 8 AS x, l_tax * 10 AS y,
   l_quantity / 250 AS w, 0.02 + l_tax AS h FROM lineitem)
 """
 
 
-def rects(t):
+# The same boxes with an order as the document, for what compares boxes with each other.
+RECTS_BY_ORDER = RECTS.replace("l_suppkey % 20 AS doc", "l_orderkey AS doc").replace("l_linenumber AS page", "l_linenumber % 2 AS page")
+
+
+def rects_by_order(t):
+    page = (F.col("l_linenumber") % 2).alias("page")
+    return rects(t, F.col("l_orderkey"), page)
+
+
+def rects(t, doc=None, page=None):
     return t.lineitem.select(
-        (F.col("l_orderkey") % 20).alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("owner"), "l_returnflag",
+        (doc if doc is not None else F.col("l_suppkey") % 20).alias("doc"), page if page is not None else F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("owner"), "l_returnflag",
         (F.col("l_discount") * 8).alias("x"), (F.col("l_tax") * 10).alias("y"), (F.col("l_quantity") / 250).alias("w"), (0.02 + F.col("l_tax")).alias("h"),
     )
 
 
-@query("selections_of_same_area", RECTS + """
-, a AS (SELECT * FROM r WHERE l_returnflag = 'A' AND owner % 7 = 0), b AS (SELECT * FROM r WHERE l_returnflag = 'N' AND owner % 7 = 1)
+@query("selections_of_same_area", RECTS_BY_ORDER + """
+, a AS (SELECT * FROM r WHERE l_returnflag = 'A'), b AS (SELECT * FROM r WHERE l_returnflag <> 'A')
 , s AS (SELECT a.doc, a.page, a.owner AS id_a, b.owner AS id_b, sum(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))
   * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) AS shared FROM a JOIN b ON a.doc = b.doc AND a.page = b.page GROUP BY 1, 2, 3, 4)
 , x AS (SELECT doc, page, owner, sum(w * h) AS area FROM a GROUP BY 1, 2, 3), y AS (SELECT doc, page, owner, sum(w * h) AS area FROM b GROUP BY 1, 2, 3)
 SELECT s.doc, s.page, id_a, id_b, round(shared / least(x.area, y.area), 4) AS ratio FROM s JOIN x ON x.doc = s.doc AND x.page = s.page AND x.owner = id_a
 JOIN y ON y.doc = s.doc AND y.page = s.page AND y.owner = id_b WHERE shared / least(x.area, y.area) >= 0.5""")
 def _(t):
-    r = rects(t)
-    a = r.filter("l_returnflag = 'A' AND owner % 7 = 0").withColumnRenamed("owner", "id_a")
-    b = r.filter("l_returnflag = 'N' AND owner % 7 = 1").withColumnRenamed("owner", "id_b")
+    r = rects_by_order(t)
+    a = r.filter("l_returnflag = 'A'").withColumnRenamed("owner", "id_a")
+    b = r.filter("l_returnflag <> 'A'").withColumnRenamed("owner", "id_b")
     return G.same_area(a, b, ["doc", "page"]).withColumn("ratio", F.round("ratio", 4))
 
 
-@query("points_in_boxes", RECTS + """
-, c AS (SELECT o_orderkey AS ord, o_custkey % 20 AS doc, o_orderkey % 7 + 1 AS page, (o_totalprice % 1000) / 1000 AS cx, (o_totalprice % 777) / 777 AS cy FROM orders)
-, b AS (SELECT * FROM r WHERE l_returnflag = 'R')
+@query("points_in_boxes", RECTS_BY_ORDER + """
+, c AS (SELECT o_custkey AS ord, o_orderkey AS doc, o_custkey % 2 AS page, (o_totalprice % 1000) / 1000 AS cx, (o_totalprice % 777) / 777 AS cy FROM orders)
+, b AS (SELECT * FROM r)
 SELECT DISTINCT c.doc, c.page, owner, ord FROM c JOIN b ON b.doc = c.doc AND b.page = c.page AND cx BETWEEN x - 0.004 AND x + w + 0.004
-  AND cy BETWEEN y - 0.004 AND y + h + 0.004 WHERE owner % 10 = 3""")
+  AND cy BETWEEN y - 0.004 AND y + h + 0.004""")
 def _(t):
     cx, cy = (F.col("o_totalprice") % 1000) / 1000, (F.col("o_totalprice") % 777) / 777
     chars = t.orders.select(
-        F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 20).alias("doc"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("page"),
+        F.col("o_custkey").alias("ord"), F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 2).cast("int").alias("page"),
         cx.alias("x0"), cx.alias("x1"), cy.alias("y0"), cy.alias("y1"),
     )
-    boxes = rects(t).filter("l_returnflag = 'R' AND owner % 10 = 3")
-    return G.chars_in_boxes(chars, boxes, ["doc", "page"], "owner")
+    return G.chars_in_boxes(chars, rects_by_order(t), ["doc", "page"], "owner")
 
 
 @query("boxes_per_line", RECTS + """
@@ -302,19 +310,20 @@ def _(t):
 
 @query("selection_boxes_merged")
 def _(t):
-    r = rects(t).groupBy("doc", "page", "owner").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("r"))
-    return r.select("doc", "page", "owner", F.size("r").alias("boxes"), F.size(G.merge_rects(F.col("r"))).alias("lines"))
+    # An order's items are one selection: a handful of boxes.
+    r = rects_by_order(t).groupBy("doc", "page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("r"))
+    return r.select("doc", "page", F.size("r").alias("boxes"), F.size(G.merge_rects(F.col("r"))).alias("lines"))
 
 
 @query("page_runs", """
-WITH d AS (SELECT DISTINCT l_suppkey, l_linenumber * 2 + l_partkey % 2 AS p FROM lineitem WHERE l_quantity > 44 AND l_tax > 0.07),
-i AS (SELECT *, p - row_number() OVER (PARTITION BY l_suppkey ORDER BY p) AS g FROM d),
-r AS (SELECT l_suppkey, min(p) AS a, max(p) AS z, row_number() OVER (PARTITION BY l_suppkey ORDER BY min(p)) AS n, count(*) OVER (PARTITION BY l_suppkey) AS c FROM i GROUP BY l_suppkey, g)
-SELECT l_suppkey, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) FILTER (WHERE n <= 6)
-  || CASE WHEN max(c) > 6 THEN ', …' ELSE '' END AS runs FROM r GROUP BY l_suppkey""")
+WITH d AS (SELECT DISTINCT l_orderkey, l_partkey % 12 AS p FROM lineitem),
+i AS (SELECT *, p - row_number() OVER (PARTITION BY l_orderkey ORDER BY p) AS g FROM d),
+r AS (SELECT l_orderkey, min(p) AS a, max(p) AS z, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(p)) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM i GROUP BY l_orderkey, g)
+SELECT l_orderkey, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) FILTER (WHERE n <= 6)
+  || CASE WHEN max(c) > 6 THEN ', …' ELSE '' END AS runs FROM r GROUP BY l_orderkey""")
 def _(t):
     from readlake.functions import scalars as S
 
-    rows = t.lineitem.filter("l_quantity > 44 AND l_tax > 0.07")
-    pages = F.collect_set(F.col("l_linenumber") * 2 + F.col("l_partkey") % 2)
-    return rows.groupBy("l_suppkey").agg(S.page_runs(pages).alias("runs"))
+    # Page numbers are few, so they are made unique before a group's list is built.
+    pages = t.lineitem.select("l_orderkey", (F.col("l_partkey") % 12).alias("p")).distinct()
+    return pages.groupBy("l_orderkey").agg(S.page_runs(F.collect_list("p")).alias("runs"))

@@ -125,13 +125,13 @@ def _(t):
 
 
 @query("layout_image_strips", """
-WITH i AS (SELECT l_orderkey % 100 AS doc_id, l_linenumber AS page, l_partkey * 1000 + l_suppkey AS ord, l_returnflag, l_quantity FROM lineitem WHERE l_tax < 0.03),
+WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page, l_partkey * 10000 + l_suppkey AS ord, l_returnflag, l_quantity FROM lineitem),
 m AS (SELECT *, lag(l_returnflag) OVER w = 'A' AND l_returnflag = 'A' AS near FROM i WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord)),
 g AS (SELECT *, sum(CASE WHEN coalesce(near, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT doc_id, page, min(ord) AS ord, count(*) AS strips FROM g GROUP BY doc_id, page, g""")
 def _(t):
-    rows = t.lineitem.filter("l_tax < 0.03").select(
-        (F.col("l_orderkey") % 100).alias("doc_id"), F.col("l_linenumber").alias("page"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"),
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"), (F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("ord"),
         F.when(F.col("l_returnflag") == "A", "image").otherwise("text").alias("kind"), F.lit(1.0).alias("x0"), F.lit(2.0).alias("x1"), F.lit(5.0).alias("y0"), F.lit(4.5).alias("y1"),
     )
     return L.image_strips(rows).select("doc_id", "page", "ord", "strips")
@@ -354,7 +354,7 @@ def _(t):
 @query("chart_series_names")
 def _(t):
     hue = lambda c: F.concat(F.lit("#"), F.substring(F.md5(c.cast("string")), 1, 6))
-    series = t.lineitem.filter("l_linenumber <= 6").select(F.col("l_orderkey").cast("string").alias("figure"), F.col("l_linenumber").alias("series"), hue(F.col("l_partkey") % 50).alias("color"))
+    series = t.lineitem.select(F.col("l_orderkey").cast("string").alias("figure"), F.col("l_linenumber").alias("series"), hue(F.col("l_partkey") % 50).alias("color"))
     series = series.dropDuplicates(["figure", "series"])
     legend = t.orders.select(F.col("o_orderkey").cast("string").alias("figure"), hue(F.col("o_custkey") % 50).alias("color"), F.col("o_orderstatus").alias("name"))
     return C.series_names(series, legend).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
