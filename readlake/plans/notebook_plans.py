@@ -170,7 +170,8 @@ def _wide(t):
 SELECT a.highlight_id, count(b.highlight_id) FILTER (WHERE NOT (a.start_at = b.start_at AND a.end_at = b.end_at)) AS overlapping,
   count(b.highlight_id) FILTER (WHERE a.start_at = b.start_at AND a.end_at = b.end_at) - 1 AS same_passage
 FROM w a JOIN w b ON a.user_id = b.user_id AND a.document_id = b.document_id AND a.version = b.version
-  AND a.start_at < b.end_at AND b.start_at < a.end_at GROUP BY a.highlight_id""")
+  AND a.start_at < b.end_at AND b.start_at < a.end_at
+GROUP BY a.highlight_id, a.user_id, a.document_id, a.version, a.start_at, a.end_at""")
 def _(t):
     return H.overlaps(_wide(t)).select("highlight_id", "overlapping", "same_passage")
 
