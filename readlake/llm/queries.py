@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, simhash, substring_dedup, topk_search
+from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, simhash, substring_dedup, topk_search, url_lists, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,15 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.evaluate(url_queries.captures(pages), url_queries.entries(pages))
+
+
+ORACLE["op2_url_lists"] = url_queries.oracle()
+
+
 @query
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
