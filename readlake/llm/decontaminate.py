@@ -118,7 +118,7 @@ class Matcher:
         return out
 
 
-def blocks(items: DataFrame, item_id: str, text: str, rate: float, block_chars: int = BLOCK_CHARS):
+def blocks(items: DataFrame, item_id: str, text: str, block_chars: int = BLOCK_CHARS):
     """Items without null or empty texts, in lists of at most about `block_chars` characters (one item at least). A block is the
     only part of the test set that the driver holds."""
     base = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).filter("text is not null")
@@ -143,7 +143,7 @@ def matches(
     items match under each of their ids."""
     out = None
     base = identity(docs, doc_id, text)
-    for held in blocks(items, item_id, item_text, rate):
+    for held in blocks(items, item_id, item_text):
 
         def run(batches, held=held):
             matcher = Matcher(held, rate)
@@ -164,3 +164,18 @@ def matches(
         part = base.mapInArrow(run, HIT)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], HIT)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05) -> DataFrame:
+    """The rows of `docs` in whose text no item stands; a null text stays. No shuffle: a row is held against all items where it is."""
+    for held in blocks(items, item_id, item_text):
+
+        def run(batches, held=held):
+            matcher = Matcher(held, rate)
+            for table in tables(batches):
+                texts = column(table, text)
+                fine = [not matcher.matches(normal(texts[i].as_py())) for i in range(table.num_rows)]
+                yield from table.filter(pa.array(fine)).to_batches()
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

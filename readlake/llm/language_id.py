@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import crc
+from readlake.llm.common import crc, identity, restored
 from readlake.llm.words import raw, tables
 
 #: 0 is every run of other characters, 1 to 26 are a to z, the rest are shared out among all other letters.
@@ -132,14 +132,14 @@ def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], held / np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-300)
 
 
-def predictions(docs: DataFrame, languages: list[str], bundles: np.ndarray) -> DataFrame:
-    """docs: (doc_id, ..., text). The other columns with lang_pred, score and cosine. The score is the share of the best cosine's
+def predictions(docs: DataFrame, languages: list[str], bundles: np.ndarray, with_text: bool = False) -> DataFrame:
+    """docs: (doc_id, ..., text). The other columns with lang_pred, score, cosine and n_grams (and the text). The score is the share of the best cosine's
     lead: softmax over cosines with a fixed temperature. A text without a letter, or a model without languages, gives `und`, 0."""
     mean = bundles.mean(axis=0) if len(languages) > 1 else np.zeros(DIMENSIONS)
     mean = mean / max(np.linalg.norm(mean), 1e-300)
     centred = bundles - np.outer(bundles @ mean, mean)
     centred = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-300)).astype(np.float32)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if with_text or c != "text"]
 
     def run(batches):
         for table in tables(batches):
@@ -162,7 +162,7 @@ def predictions(docs: DataFrame, languages: list[str], bundles: np.ndarray) -> D
                     score = share[np.arange(n), best] / share.sum(axis=1)
                     plain = raw_cosine[np.arange(n), best]
                     names = [languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-                else:
+                else:  # nothing was learned
                     score, plain, names, has = np.zeros(n), np.zeros(n), ["und"] * n, np.zeros(n, dtype=bool)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -170,16 +170,17 @@ def predictions(docs: DataFrame, languages: list[str], bundles: np.ndarray) -> D
                         pa.array(names, type=pa.string()),
                         pa.array(np.where(has, np.clip(score, 0, 1), 0.0).astype(np.float64)),
                         pa.array(np.where(has, plain, 0.0).astype(np.float64)),
+                        pa.array(np.bincount(text, minlength=n)),
                     ],
-                    names=[*others, "lang_pred", "score", "cosine"],
+                    names=[*others, "lang_pred", "score", "cosine", "n_grams"],
                 )
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{shape}, lang_pred string, score double, cosine double")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in others)
+    return docs.mapInArrow(run, f"{shape}, lang_pred string, score double, cosine double, n_grams long")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None) -> DataFrame:
-    """(doc_id, text_key, held_out, lang_pred, score, cosine) of every row. Rows that are not held out (default: crc32 of the id
+    """(doc_id, text_key, held_out, lang_pred, score, cosine, n_grams) of every row. Rows that are not held out (default: crc32 of the id
     modulo 4 is 2) and have a language and a text teach; repeated rows teach and are told alike. `und`: null, no letter."""
     held_out = crc(F.col(doc_id), 4) == 2 if held_out is None else held_out
     base = docs.select(
@@ -187,3 +188,17 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     )
     languages, bundles = profiles(base.filter("not held_out and lang is not null and text is not null").select("lang", "text"))
     return predictions(base.drop("lang"), languages, bundles)
+
+
+def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.1, sure: int = 200) -> DataFrame:
+    """The rows of `docs` whose language is known, null languages filled in with the prediction. Rejected: texts without a letter
+    (null too), and texts of at least `sure` n-grams whose best profile is nearly at right angles (cosine under `least`; two random
+    vectors have a cosine of about 1 / sqrt(DIMENSIONS) = 0.03). Without any learned language all texts with a letter stay."""
+    base = identity(docs, doc_id, text, carry=True)
+    learn = base.filter((crc(F.col("doc_id"), 4) != 2) & F.col(f"row.`{lang}`").isNotNull() & F.col("text").isNotNull())
+    languages, bundles = profiles(learn.select(F.col(f"row.`{lang}`").alias("lang"), "text"))
+    if not languages:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
+    told = predictions(base.select("row", "text"), languages, bundles, with_text=True)
+    kept = told.filter((F.col("lang_pred") != "und") & ((F.col("n_grams") < sure) | (F.col("cosine") >= least)))
+    return restored(kept, docs, text, {lang: F.coalesce(F.col(f"row.`{lang}`"), F.col("lang_pred"))})

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, simhash, substring_dedup, topk_search, url_lists, url_queries
+from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, mixing, simhash, substring_dedup, topk_search, url_lists, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +52,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = mixing.standard(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return told.withColumns({c: F.round(c, 6) for c in ("mix_probability", "mix_weight")})
+
+
+ORACLE["op6_mixing"] = f"SELECT * REPLACE (round(mix_probability, 6) AS mix_probability, round(mix_weight, 6) AS mix_weight) FROM ({mixing.oracle()})"
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.kept_words(table(spark, sf_dir, "documents")))

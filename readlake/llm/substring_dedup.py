@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import identity
+from readlake.llm.common import identity, restored
 from readlake.llm.fm_index import FMIndex, matching_statistics
 from readlake.llm.words import Words, chunks, column, mixed, spans_hash, tables
 from readlake.session import pinned
@@ -205,13 +205,14 @@ def _covered(many: int, at: np.ndarray, mask: np.ndarray, window: int) -> np.nda
     return np.cumsum(step[:-1]) > 0
 
 
-def kept_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, **how: int) -> DataFrame:
-    """(doc_id, text_key, n_words, removed, kept): every text without the words of windows that also start anywhere else.
+def kept_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, carry: bool = False, **how: int) -> DataFrame:
+    """(doc_id, text_key, n_words, removed, kept; with `carry` also `row` and `text`): every text without the words of windows that also start anywhere else.
 
     One row per row of `docs`. A null text has no words, a text shorter than a window loses none, a repeated row loses every
     window (it stands elsewhere); kept words are joined by one space. `removed` lists the spans (from, to) in words."""
-    base = identity(docs, doc_id, text)
-    spots = repeated_windows(base, window, **how)
+    base = identity(docs, doc_id, text, carry)
+    spots = repeated_windows(base.drop("row"), window, **how)
+    more = ["row", "text"] if carry else []
     joined = base.alias("d").join(
         spots.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")), "left"
     )
@@ -244,12 +245,29 @@ def kept_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
                         pa.array(words.counts().astype(np.int64)),
                         pa.array(removed, type=pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))),
                         pa.array(kept, type=pa.binary()).cast(pa.string()),
+                        *(column(table, x)[some] for x in more),
                     ],
-                    names=["doc_id", "text_key", "n_words", "removed", "kept"],
+                    names=["doc_id", "text_key", "n_words", "removed", "kept", *more],
                 )
 
-    read = joined.select("d.doc_id", "d.text_key", "d.text", "s.spots")
-    return read.mapInArrow(run, "doc_id long, text_key long, n_words long, removed array<struct<from:int,to:int>>, kept string")
+    read = joined.select("d.doc_id", "d.text_key", "d.text", "s.spots", *["d.row"][: len(more)])
+    shape = "doc_id long, text_key long, n_words long, removed array<struct<from:int,to:int>>, kept string"
+    if carry:
+        shape += f", row {base.schema['row'].dataType.simpleString()}, text string"
+    return read.mapInArrow(run, shape)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, **how: int) -> DataFrame:
+    """The rows of `docs` with repeated windows cut out of their texts. A text that loses nothing stays as it is, white space and
+    all; one that loses every word is left out; a column n_chars is counted again where a text changed."""
+    told = kept_words(docs, doc_id, text, window, carry=True, **how)
+    cut = F.size("removed") > 0
+    told = told.filter(~cut | (F.col("kept") != ""))
+    values = {text: F.when(cut, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        held = F.col("row.n_chars")
+        values["n_chars"] = F.when(cut, F.length("kept")).otherwise(held).cast(docs.schema["n_chars"].dataType)
+    return restored(told, docs, text, values)
 
 
 def digest(kept: DataFrame) -> DataFrame:
