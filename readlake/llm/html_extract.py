@@ -67,6 +67,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.open: list[tuple[str, bool, int]] = []  # (tag, furniture, container that was current before)
         self.furniture = self.links = self.articles = 0
+        self.dropped = 0  # furniture inside a line, whose text is no part of it
         self.container = self.containers = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -83,6 +84,7 @@ class Lines(HTMLParser):
         while len(self.open) > to:
             tag, furniture, container = self.open.pop()
             self.furniture -= furniture
+            self.dropped -= furniture and tag not in BLOCK
             self.container = container
             if tag == "a":
                 self.links -= 1
@@ -99,8 +101,6 @@ class Lines(HTMLParser):
                         break
                     if self.open[i][0] in BLOCK:
                         break
-            elif tag == "tr" or tag == "td" or tag == "th":
-                pass
             if tag == "li" or tag == "dt" or tag == "dd":
                 for i in range(len(self.open) - 1, -1, -1):
                     if self.open[i][0] in ("li", "dt", "dd"):
@@ -115,6 +115,7 @@ class Lines(HTMLParser):
         furniture = tag in FURNITURE or (tag == "header" and not inside) or bool(attrs) and tag not in ("article", "main", "body", "html") and _marked(attrs, inside)
         self.open.append((tag, furniture, self.container))
         self.furniture += furniture
+        self.dropped += furniture and tag not in BLOCK
         if tag == "a":
             self.links += 1
         elif tag in CONTAINER:
@@ -140,6 +141,8 @@ class Lines(HTMLParser):
                 return  # an inline end tag closes nothing outside its block
 
     def handle_data(self, data: str) -> None:
+        if self.dropped:
+            return
         self.text.append(data)
         if self.links:
             self.linked += len(data)
@@ -153,7 +156,7 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
         there = np.concatenate((np.ones(len(ratio)), np.zeros(len(kernel) - len(ratio))))
     else:
         padded, there = ratio, np.ones(len(ratio))
-    return (np.convolve(padded, kernel, "same") / np.convolve(there, kernel, "same"))[: len(ratio)]
+    return (np.convolve(padded, kernel, "same") / np.maximum(np.convolve(there, kernel, "same"), 1e-9))[: len(ratio)]
 
 
 def threshold(values: np.ndarray) -> float:
@@ -177,7 +180,7 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page.flush()
-    lines = [x for x in page.lines]
+    lines = page.lines
     fair = [x for x in lines if not x[5]]
     if not fair:
         return ""
