@@ -239,8 +239,8 @@ def stale_documents(documents: DataFrame, indexed: DataFrame, key: str) -> DataF
     return documents.join(indexed.select(key, "digest", "model"), [key, "digest", "model"], "left_anti")
 
 
-def reindexed(chunks: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """The index after a run: the fresh documents' passages in place of their old ones."""
+def reindexed(chunks: DataFrame, fresh: DataFrame, key: str, rebuilt: DataFrame | None = None) -> DataFrame:
+    """The index after a run: the rebuilt documents' passages in place of their old ones, also where none is left."""
     from readlake.operators.merge import replace_by_parent
 
-    return replace_by_parent(chunks, fresh, key)
+    return replace_by_parent(chunks, fresh, key, rebuilt)

@@ -13,20 +13,31 @@ def add_counters(current: DataFrame, changes: DataFrame, keys: list[str], sums:
 
 
 def insert_ignore(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is new are added once."""
-    return current.unionByName(changes.select(*current.columns)).dropDuplicates(keys)
-
-
-def insert_unless_exists(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Every incoming key's row after the insert: the one already there, else the incoming one, with which."""
+    """Rows whose key is new are added once; rows that are there stay, whatever comes in."""
+    new = changes.select(*current.columns).join(current.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+    return current.unionByName(new.select(*current.columns))
+
+
+def insert_unless_exists(current: DataFrame, incoming: DataFrame, keys: list[str], arrival: list[str] | None = None) -> DataFrame:
+    """Every incoming key's row after the insert: the one already there, else the incoming one, with which. Of several incoming
+    rows of one key the first to arrive is inserted (smallest `arrival` columns; by default the smallest row)."""
+    rest = [c for c in incoming.columns if c not in keys]
+    if rest:
+        first = F.min_by(F.struct(*rest), F.struct(*(arrival or rest))).alias("_r")
+        incoming = incoming.groupBy(*keys).agg(first).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    else:
+        incoming = incoming.distinct()
     there = current.join(incoming.select(*keys).distinct(), keys, "left_semi").withColumn("existing", F.lit(True))
     new = incoming.join(current.select(*keys), keys, "left_anti").withColumn("existing", F.lit(False))
     return there.unionByName(new.select(*there.columns))
 
 
-def replace_by_parent(current: DataFrame, fresh: DataFrame, parent: str) -> DataFrame:
-    """All rows of the parents in `fresh` replaced by the fresh ones."""
-    kept = current.join(fresh.select(parent).distinct(), parent, "left_anti")
+def replace_by_parent(current: DataFrame, fresh: DataFrame, parent: str, rebuilt: DataFrame | None = None) -> DataFrame:
+    """All rows of the rebuilt parents replaced by the fresh ones. `rebuilt` lists the parents, with those left without a row;
+    by default they are the ones in `fresh`."""
+    gone = fresh.select(parent)
+    gone = gone if rebuilt is None else gone.unionByName(rebuilt.select(parent))
+    kept = current.join(gone.distinct(), parent, "left_anti")
     return kept.unionByName(fresh.select(*kept.columns))
 
 

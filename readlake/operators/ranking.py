@@ -50,18 +50,27 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list, limit: int) -> D
     return ranked.filter(F.col("_rn") <= limit).drop("_rn")
 
 
-def with_previous(df: DataFrame, keys: list[str], slice_by: Column, order: list, columns: list[str]) -> DataFrame:
+def with_previous(
+    df: DataFrame, keys: list[str], slice_by: Column, order: list, columns: list[str], falling: bool = False
+) -> DataFrame:
     """Adds `_first` (no row before this one) and `_prev_<column>`: lag() per key, without a key's rows in one
-    task. Each slice's last row is found by aggregation and handed to the first row of the next slice."""
-    cut = df.withColumn("_slice", slice_by)
+    task. Each slice's last row is handed to the first row of the next slice. Slices follow the order: rising, or
+    falling where the order's first column falls. Null is a key and a slice like any other."""
     row = F.struct(*columns)
-    key_order = F.struct(*[o if isinstance(o, str) else o for o in order])
-    lasts = cut.groupBy(*keys, "_slice").agg(F.max_by(row, key_order).alias("_last"))
-    lasts = lasts.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice"))).drop("_last")
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    out = cut.join(lasts, [*keys, "_slice"]).withColumn("_here", F.lag(row).over(inside))
+    cut = df.withColumn("_slice", slice_by)
+    cut = cut.withColumns({"_here": F.lag(row).over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull()})
+    lasts = cut.filter("_end").select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_k_slice"), row.alias("_last")
+    )
+    along = W.partitionBy(*(f"_k_{k}" for k in keys)).orderBy(F.col("_k_slice").desc() if falling else F.col("_k_slice"))
+    lasts = lasts.withColumn("_before", F.lag("_last").over(along)).drop("_last")
+    match = F.col("_slice").eqNullSafe(F.col("_k_slice"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = cut.join(lasts, match)
     prev = F.coalesce("_here", "_before")
     out = out.withColumn("_first", prev.isNull())
     for c in columns:
         out = out.withColumn(f"_prev_{c}", prev[c])
-    return out.drop("_slice", "_before", "_here")
+    return out.drop("_slice", "_before", "_here", "_end", "_k_slice", *(f"_k_{k}" for k in keys))

@@ -44,12 +44,8 @@ def hashed_words(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedding: words hashed into buckets, scaled to length one."""
     words = X.tokens(text)
     bucket = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.aggregate(
-        bucket,
-        F.array_repeat(F.lit(0.0), dims),
-        lambda acc, b: F.transform(acc, lambda v, i: F.when(i == b, v + 1).otherwise(v)),
-    )
-    return counts
+    each = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
+    return X.let(each, lambda v: X.let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def closest(passages: DataFrame, questions: DataFrame, document: str, k: int = CLOSEST) -> DataFrame:

@@ -111,12 +111,14 @@ def _(t):
 
 @query("words_rejoined", """
 WITH w AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '\\p{L}+'), lambda x: length(x) > 3) AS l FROM documents)
-SELECT doc_id, md5(text || ' ' || l[1] || ' zqx-' || l[1]) AS body FROM w WHERE len(l) > 0 AND NOT contains(text, '­')""")
+SELECT doc_id, md5(CASE WHEN regexp_matches(text, '­[^⁣\\s]') THEN replace(text, '­', '-') ELSE replace(replace(text, '­⁣', ''), '­', '') END
+  || CASE WHEN len(l) > 0 THEN ' ' || l[1] || ' zqx-' || l[1] ELSE '' END) AS body FROM w""")
 def _(t):
     long = F.filter(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), lambda x: F.length(x) > 3)
-    rows = t.documents.withColumn("w", F.get(long, F.lit(0))).filter("w IS NOT NULL").filter(~F.contains("text", F.lit("­")))
+    rows = t.documents.withColumn("w", F.get(long, F.lit(0)))
     half = F.concat(F.substring("w", 1, 2), F.lit("-⁣"), F.substr("w", F.lit(3)))
-    made = rows.withColumn("body", F.concat("text", F.lit(" "), half, F.lit(" zqx-⁣"), "w"))
+    more = F.concat(F.lit(" "), half, F.lit(" zqx-⁣"), "w")
+    made = rows.withColumn("body", F.concat("text", F.coalesce(more, F.lit(""))))
     return B.rejoin(made, "doc_id", "body").select("doc_id", F.md5("body").alias("body"))
 
 
@@ -128,11 +130,11 @@ def _(t):
 
 @query("passage_occurrences", f"""
 WITH w AS (SELECT doc_id, {SQUASH.format("text")} AS t FROM documents),
-q AS (SELECT doc_id, t, substr(t, length(t) // 2 + 1, 3) AS q FROM w WHERE length(t) > 10)
-SELECT doc_id, CAST((length(t) - length(replace(t, q, ''))) // length(q) AS INT) AS apart,
-  CAST(len(list_filter(range(1, length(t) - 1), lambda i: substr(t, i, 3) = q)) AS INT) AS stepping FROM q""")
+q AS (SELECT doc_id, t, substr(t, length(t) // 2 + 1, 3) AS q FROM w)
+SELECT doc_id, CASE WHEN q = '' THEN 0 ELSE CAST((length(t) - length(replace(t, q, ''))) // length(q) AS INT) END AS apart,
+  CASE WHEN q = '' THEN 0 ELSE CAST(len(list_filter(range(1, length(t) - length(q) + 2), lambda i: substr(t, i, length(q)) = q)) AS INT) END AS stepping FROM q""")
 def _(t):
-    rows = t.documents.select("doc_id", X.squash(F.col("text")).alias("t")).filter("length(t) > 10")
+    rows = t.documents.select("doc_id", X.squash(F.col("text")).alias("t"))
     q = F.substr("t", F.floor(F.length("t") / 2).cast("int") + 1, F.lit(3))
     rows = rows.withColumn("q", q)
     return rows.select(
@@ -189,20 +191,15 @@ def _(t):
 
 
 @query("anchor_spots_read", LINES + """
-, m AS (SELECT doc_id, max(ord) AS n FROM b GROUP BY 1)
-SELECT doc_id, length(q) > 0 AND len(string_split(text, chr(10))) >= 2 AND split_part(text, chr(10), 1) || split_part(text, chr(10), 2) <> '' AS reads FROM (
-  SELECT doc_id, text, split_part(text, chr(10), 1) AS q FROM documents)""")
+SELECT doc_id, coalesce(string_agg(words, '' ORDER BY ord) FILTER (WHERE words <> '' AND NOT (doc_id % 3 = 0 AND ord = 1))
+  = string_agg(words, '' ORDER BY ord), false) AS reads FROM b GROUP BY doc_id""")
 def _(t):
     rows = lines(t)
-    two = rows.filter("ord <= 2 AND length(words) > 0").select(
+    kept = rows.filter((F.length("words") > 0) & ~((F.col("doc_id") % 3 == 0) & (F.col("ord") == 1))).select(
         "doc_id", F.col("doc_id").alias("id"), "block_id", F.lit(0).alias("span_start"), F.length("words").alias("span_end")
     )
-    parts = F.split("text", "\n")
-    passages = t.documents.select(
-        "doc_id", F.col("doc_id").alias("id"),
-        F.when(F.size(parts) >= 2, F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).otherwise("§").alias("selected_text"),
-    )
-    return A.spots_read(two, rows, "doc_id", "id", passages).select("doc_id", "reads")
+    passages = t.documents.select("doc_id", F.col("doc_id").alias("id"), F.col("text").alias("selected_text"))
+    return A.spots_read(kept, rows, "doc_id", "id", passages).select("doc_id", "reads")
 
 
 @query("find_in_texts", """

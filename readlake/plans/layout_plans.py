@@ -331,12 +331,9 @@ def charts(t):
 
 @query("chart_csv", """
 SELECT vec_id, 0 AS ord, 'series,"dim, x",y' AS line FROM embeddings
-UNION ALL SELECT vec_id, i + 1, '1,' || printf('%.1f', CAST(i AS DOUBLE)) || ',' || CAST(round(CAST(embedding[i + 1] AS DOUBLE), 3) AS VARCHAR) FROM embeddings, range(64) r(i) WHERE abs(embedding[i + 1]) >= 0.001""")
+UNION ALL SELECT vec_id, i + 1, '1,' || printf('%.1f', CAST(i AS DOUBLE)) || ',' || CAST(round(CAST(embedding[i + 1] AS DOUBLE), 3) + 0.0 AS VARCHAR) FROM embeddings, range(64) r(i)""")
 def _(t):
-    rows = E.chart_csv(charts(t), "vec_id").select("vec_id", "ord", "line")
-    back = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v")).filter(F.abs("v") >= 0.001).select("vec_id", (F.col("i") + 1).cast("bigint").alias("ord"))
-    heads = rows.filter("ord = 0")
-    return heads.unionByName(rows.join(back, ["vec_id", "ord"], "left_semi").select("vec_id", "ord", "line"))
+    return E.chart_csv(charts(t), "vec_id").select("vec_id", "ord", "line")
 
 
 @query("chart_points_sampled", """

@@ -140,9 +140,9 @@ def _(t):
 @query("text_measures", """
 SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INT) AS words,
   CAST(length(text) // 3 + 1 AS INT) AS token_estimate,
-  CASE WHEN length(regexp_replace(substr(text, 1, 20000), '\\P{L}+', '', 'g')) = 0 THEN 'vi'
-    WHEN length(regexp_replace(substr(text, 1, 20000), '[^%s]+', '', 'g'))
-      / length(regexp_replace(substr(text, 1, 20000), '\\P{L}+', '', 'g')) > 0.03 THEN 'vi' ELSE 'en' END AS language
+  CASE WHEN length(regexp_replace(text, '\\P{L}+', '', 'g')) = 0 THEN 'vi'
+    WHEN length(regexp_replace(text, '[^%s]+', '', 'g'))
+      / length(regexp_replace(text, '\\P{L}+', '', 'g')) > 0.03 THEN 'vi' ELSE 'en' END AS language
 FROM documents""" % X.VI_LETTERS)
 def _(t):
     body = F.col("text")
@@ -155,8 +155,8 @@ def _(t):
 
 
 @query("text_translation_direction", """
-WITH l AS (SELECT doc_id, length(regexp_replace(substr(text, 1, 20000), '\\P{L}+', '', 'g')) AS n,
-  length(regexp_replace(substr(text, 1, 20000), '[^%s]+', '', 'g')) AS v FROM documents)
+WITH l AS (SELECT doc_id, length(regexp_replace(text, '\\P{L}+', '', 'g')) AS n,
+  length(regexp_replace(text, '[^%s]+', '', 'g')) AS v FROM documents)
 SELECT CASE WHEN n = 0 OR v / n > 0.03 THEN 'vi-en' ELSE 'en-vi' END AS direction, count(*) AS documents FROM l GROUP BY 1"""
     % X.VI_LETTERS)
 def _(t):

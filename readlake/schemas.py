@@ -61,19 +61,6 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-SMALL = 32 * 1024 * 1024  # bytes a task should have to read at least
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """A table too small to be split into a task per core is dealt out to them, for the work after the scan is
-    often much larger than the scan. A table of any size beyond that is left as it is read."""
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if cores > 1 and 64 * 1024 < size < cores * SMALL else df
-
-
 class Tables:
     """The tables below one folder, each read on first use with its declared schema."""
 
@@ -84,4 +71,4 @@ class Tables:
         if name not in TABLES:
             raise AttributeError(name)
         path = f"{self.folder}/{name}.parquet"
-        return spread(read_table(self.spark, path, TABLES[name]), path)
+        return read_table(self.spark, path, TABLES[name])

@@ -164,6 +164,18 @@ def bibtex(df: DataFrame, position: str) -> DataFrame:
     return keyed.select(position, "key", entry.alias("entry"))
 
 
+def csv_number(value: Column) -> Column:
+    """A number in plain digits, never with an exponent: what a cast writes from 1e-3 to 1e7, and the same digits otherwise."""
+    text = value.cast("string")
+    mantissa, power = F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
+    digits = F.regexp_replace(mantissa, "[-.]", "")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), F.rtrim(digits, F.lit("0")))
+    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
+    big = F.concat(sign, F.substr(whole, F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(F.rtrim(F.substr(whole, power + 2), F.lit("0")), F.lit("")), F.lit("0")))
+    return F.when(~F.contains(text, F.lit("E")), text).when(power < 0, small).otherwise(big)
+
+
 def csv_cell(value: Column) -> Column:
     text = value.cast("string")
     quoted = F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))
@@ -187,7 +199,7 @@ def chart_csv(charts: DataFrame, key: str) -> DataFrame:
         key,
         "panel",
         (F.col("s") * 1_000_000_000 + F.col("i") + 1).cast("bigint").alias("ord"),
-        F.concat_ws(",", csv_cell(name), csv_cell(F.get("pt", F.lit(0))), csv_cell(F.get("pt", F.lit(1)))).alias("line"),
+        F.concat_ws(",", csv_cell(name), csv_number(F.get("pt", F.lit(0))), csv_number(F.get("pt", F.lit(1)))).alias("line"),
     )
     return head.unionByName(body)
 

@@ -15,6 +15,7 @@ from readlake.operators import chunks as C
 from readlake.operators import geom as G
 from readlake.operators import highlights as H
 from readlake.operators import layout as L
+from readlake.operators import merge as M
 from readlake.operators import roles
 from readlake.operators import search
 from readlake.operators import tree as T
@@ -134,6 +135,65 @@ def test_hot_keys_are_numbered_right(spark):
     assert [prev[i] for i in mine] == [None, *mine[:-1]]
 
 
+def test_previous_row_of_null_keys_and_falling_order(spark):
+    rows = [(None, None, 1), (None, None, 2), (None, 60, 3), ("a", 10, 4), ("a", 70, 5), ("a", 20, 6)]
+    df = spark.createDataFrame(rows, "k string, at int, id int")
+    up = {r.id: r._prev_id for r in with_previous(df, ["k"], F.floor(F.col("at") / 50), ["at", "id"], ["id"]).collect()}
+    assert up == {1: None, 2: 1, 3: 2, 4: None, 6: 4, 5: 6}
+    order = [F.col("at").desc(), F.col("id").desc()]
+    down = {r.id: r._prev_id for r in with_previous(df, ["k"], F.floor(F.col("at") / 50), order, ["id"], falling=True).collect()}
+    assert down == {3: None, 2: 3, 1: 2, 5: None, 6: 5, 4: 6}
+
+
+def test_inserts_keep_one_row_per_key(spark):
+    now = spark.createDataFrame([(1, "old")], "k int, v string")
+    new = spark.createDataFrame([(1, "new"), (2, "y"), (2, "x"), (3, "z")], "k int, v string")
+    got = sorted((r.k, r.v, r.existing) for r in M.insert_unless_exists(now, new, ["k"]).collect())
+    assert got == [(1, "old", True), (2, "x", False), (3, "z", False)]
+    assert (1, "old") in [tuple(r) for r in M.insert_ignore(now, new, ["k"]).collect()] and M.insert_ignore(now, new, ["k"]).count() == 3
+
+
+def test_parents_rebuilt_to_nothing(spark):
+    now = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    fresh = spark.createDataFrame([(1, "n")], "k int, v string")
+    got = M.replace_by_parent(now, fresh, "k", spark.createDataFrame([(1,), (2,)], "k int"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "n"), (3, "c")]
+
+
+def test_word_vectors_have_length_one(spark):
+    df = spark.createDataFrame([("one two two three four five",), ("",), (None,)], "t string")
+    from readlake.operators import retrieval
+
+    got = [r.v for r in df.select(retrieval.hashed_words(F.col("t")).alias("v")).collect()]
+    assert len(got[0]) == 64 and abs(sum(x * x for x in got[0]) - 1) < 1e-12
+    assert got[1] == [0.0] * 64
+
+
+def test_all_points_of_a_series(spark):
+    from readlake.operators import charts
+
+    marks = spark.createDataFrame([("f", s, float(5 * i), float(i)) for s in range(14) for i in range(301)], "figure string, series int, px double, py double")
+    axis = spark.createDataFrame([("f", "linear", 1.0, 0.0)], "figure string, scale string, a double, b double")
+    assert charts.digitise(marks, axis, axis).count() == 14 * 301
+    assert charts.digitise(marks, axis, axis, most_series=12).count() == 12 * 301
+
+
+def test_language_of_a_whole_text(spark):
+    df = spark.createDataFrame([("plain english words " * 2000 + "đượcđượcđược " * 4000,)], "t string")
+    from readlake.functions import text as X
+
+    assert df.select(X.detect_language(F.col("t"))).first()[0] == "vi"
+    assert len(X.query_terms("a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12")) == 12
+
+
+def test_numbers_without_exponents(spark):
+    from readlake.sources.export import csv_number
+
+    values = [0.0004, -1.25e-7, 1.5e10, -2e8, 12.5, 0.0, 123456789.125, 1e21]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(csv_number(F.col("v"))).collect()]
+    assert not any("E" in x for x in got) and [float(x) for x in got] == values
+
+
 def test_overlaps_count_touching_apart_and_equal(spark):
     rows = [("a", 0, 10), ("b", 10, 20), ("c", 5, 12), ("d", 0, 10), ("e", 2, 4), ("f", 9000, 9500), ("g", 4000, 9100)]
     df = spark.createDataFrame([(1, 1, "v", i, s, e) for i, s, e in rows], "user_id int, document_id int, version string, highlight_id string, start_at int, end_at int")
