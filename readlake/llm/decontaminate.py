@@ -136,7 +136,7 @@ HIT = "doc_id long, text_key long, item_id long, begin int, end int, distance in
 
 
 def matches(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08
 ) -> DataFrame:
     """(doc_id, text_key, item_id, begin, end, distance): where an item stands in a text with at most floor(length * rate) edits;
     begin and end count characters of the normalised text. A null text has no match; a repeated row repeats its matches; equal
@@ -166,7 +166,7 @@ def matches(
     return out if out is not None else docs.sparkSession.createDataFrame([], HIT)
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
     """The rows of `docs` in whose text no item stands; a null text stays. No shuffle: a row is held against all items where it is."""
     for held in blocks(items, item_id, item_text):
 
