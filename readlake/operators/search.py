@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions import text as X
+from readlake.session import pinned
 
 PAGE_SIZE = 10
 MAX_PAGE = 100
@@ -36,15 +37,22 @@ def contains_all(column: Column, q: str) -> Column:
 
 
 def hits(df: DataFrame, q: str, body: str, title: str | None = None) -> DataFrame:
-    """The matching rows with their score; a title's words count double. A text is folded once for the test,
-    and again for the score only where it matched."""
+    """The matching rows with their score; a title's words count double. Each text is folded once: the score comes out of the
+    same expression as the test, as a generator that gives a row for a match and none otherwise, which is never repeated."""
     terms = X.query_terms(q)
-    fits = lambda c: X.let(X.fold(F.col(c)), lambda f: X.match_folded(f, terms))
-    rank = lambda c: X.let(X.fold(F.col(c)), lambda f: X.rank_folded(f, terms))
-    test, score = fits(body), rank(body)
+
+    def told(folded: Column, head: Column | None) -> Column:
+        test, score = X.match_folded(folded, terms), X.rank_folded(folded, terms)
+        if head is not None:
+            test, score = X.match_folded(head, terms) | test, X.rank_folded(head, terms) * 2 + score
+        return F.when(test, F.array(F.round(score, 6)))
+
+    folded = X.fold(F.col(body))
     if title:
-        test, score = fits(title) | test, rank(title) * 2 + score
-    return df.filter(test).withColumn("score", F.round(score, 6))
+        found = X.let(X.fold(F.col(title)), lambda head: X.let(folded, lambda f: told(f, head)))
+    else:
+        found = X.let(folded, lambda f: told(f, None))
+    return df.select("*", F.explode(found).alias("score"))
 
 
 def page_of(found: DataFrame, page: int, newest: str, key: str, size: int = PAGE_SIZE) -> DataFrame:
@@ -56,12 +64,14 @@ def page_of(found: DataFrame, page: int, newest: str, key: str, size: int = PAGE
 
 
 def search(df: DataFrame, q: str, body: str, key: str, newest: str, page: int = 1, title: str | None = None) -> DataFrame:
-    """One kind's page with snippets and the number of all matches on every row."""
-    found = hits(df, q, body, title)
+    """One kind's page with snippets and the number of all matches on every row. The texts are tested and scored in one pass that
+    writes keys and scores; the count and the page come from those, and only the page's texts are cut."""
+    narrow = dict.fromkeys([key, newest, "score"])
+    found = pinned(hits(df, q, body, title).select(*narrow), "hits")
     total = found.agg(F.count(F.lit(1))).scalar()
-    shown = page_of(found, page, newest, key)
+    shown = page_of(found, page, newest, key).select(key, "score")
     snippet = X.snippet(F.col(body), X.fold(F.col(body)), X.query_terms(q))
-    return shown.withColumn("snippet", snippet).withColumn("total", total)
+    return df.join(shown, key).withColumn("snippet", snippet).withColumn("total", total)
 
 
 def notebook_snippet(snippet: Column) -> Column:

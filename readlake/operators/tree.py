@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from readlake.session import pinned
+
 MAX_DEPTH, MAX_NODES, MIN_NODES, MIN_THEMES = 3, 40, 6, 2
 
 
@@ -16,11 +18,12 @@ def bfs(nodes: DataFrame, tree: str = "artifact_id") -> DataFrame:
     never reached. Nodes are kept in the order of levels, then of arrival, up to the size limit.
     """
     first = nodes.groupBy(tree, "id").agg(F.min_by(F.struct("ord", F.coalesce("parent", F.lit("")).alias("parent")), "ord").alias("n"))
-    known = first.select(tree, "id", "n.*").filter("id <> ''")
+    known = pinned(first.select(tree, "id", "n.*").filter("id <> ''"), "tree_nodes")
     roots = known.filter("parent = ''").groupBy(tree).agg(F.count(F.lit(1)).alias("_r"), F.min("id").alias("id")).filter("_r = 1")
     at = roots.select(tree, "id").join(known, [tree, "id"]).select(
         tree, "id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array("ord").alias("route"), F.array("id").alias("path")
     )
+    at = pinned(at, "tree_level")
     out = at
     for depth in range(1, MAX_DEPTH + 1):
         children = known.filter("parent <> '' AND parent <> id").withColumnRenamed("id", "_c")
@@ -29,6 +32,7 @@ def bfs(nodes: DataFrame, tree: str = "artifact_id") -> DataFrame:
             tree, F.col("_c").alias("id"), "parent", F.lit(depth).alias("depth"), F.concat("_route", F.array("ord")).alias("route"),
             F.concat("_path", F.array("_c")).alias("path"),
         )
+        at = pinned(at, "tree_level")
         out = out.unionByName(at)
     ranked = out.withColumn("position", F.row_number().over(W.partitionBy(tree).orderBy("depth", "route")))
     return ranked.filter(F.col("position") <= MAX_NODES)

@@ -9,6 +9,7 @@ from readlake.functions import text as X
 from readlake.operators import search as R
 from readlake.plans.bindings import bound, with_bindings
 from readlake.plans.registry import query
+from readlake.session import shared_path
 
 Q = "that ther"
 FOLD = "translate(strip_accents(lower({0})), 'đ', 'd')"
@@ -88,6 +89,14 @@ def _(t):
     return R.from_index(R.token_index(t.documents, "doc_id", "text"), Q, "doc_id")
 
 
+@query("search_by_written_index", f"""
+WITH h AS (SELECT doc_id, round({score("text")}, 6) AS score FROM documents WHERE {matches("text")}) SELECT * FROM h""")
+def _(t):
+    path = shared_path(t.spark, "token_index")
+    R.write_index(R.token_index(t.documents, "doc_id", "text"), path)
+    return R.from_index(t.spark.read.parquet(path), Q, "doc_id")
+
+
 @query("search_highlights_and_notes", with_bindings("highlights", "library") + """
 , a AS (SELECT h.highlight_id AS id, title, h.created_at, round(ln(1 + 1), 6) AS score FROM highlights h
   JOIN library d ON d.document_id = h.document_id WHERE note <> '' AND note = 'remember A')
