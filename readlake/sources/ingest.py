@@ -34,8 +34,9 @@ def landing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return judged.filter("problem IS NULL").drop("problem"), judged.filter("problem IS NOT NULL").select("path", "name", "length", "problem")
 
 
-def _chapters(content: bytes) -> list[tuple[int, str, str]]:
-    """(number, title, html) of the spine; nothing for a broken, oversized or encrypted book."""
+def _chapters(content: bytes) -> tuple[str | None, list[tuple[int, str, str]]]:
+    """(problem, chapters): (number, title, html) of the spine, or why the book cannot be read (broken, encrypted, too many
+    entries, too large unpacked)."""
     import io
     import posixpath
     import xml.etree.ElementTree as ET
@@ -48,12 +49,18 @@ def _chapters(content: bytes) -> list[tuple[int, str, str]]:
         book = zipfile.ZipFile(io.BytesIO(content))
         entries = book.infolist()
         names = {e.filename for e in entries}
-        if len(entries) > MAX_ENTRIES or sum(e.file_size for e in entries) > MAX_UNPACKED or "META-INF/encryption.xml" in names:
-            return []
+        problems = {
+            "encrypted": "META-INF/encryption.xml" in names,
+            "entries": len(entries) > MAX_ENTRIES,
+            "size": sum(e.file_size for e in entries) > MAX_UNPACKED,
+        }
+        for problem, there in problems.items():
+            if there:
+                return problem, []
         opf = named(ET.fromstring(book.read("META-INF/container.xml")), "rootfile")[0].get("full-path")
         package = ET.fromstring(book.read(opf))
     except (zipfile.BadZipFile, KeyError, IndexError, ET.ParseError, OSError):
-        return []
+        return "broken", []
     base = posixpath.dirname(opf)
     title = next((t.text.strip() for t in named(package, "title") if t.text and t.text.strip()), "")
     items = {i.get("id"): i for i in named(package, "item")}
@@ -65,11 +72,12 @@ def _chapters(content: bytes) -> list[tuple[int, str, str]]:
         href = posixpath.normpath(posixpath.join(base, item.get("href", "")))
         if href in names:
             out.append((len(out) + 1, title, book.read(href).decode("utf-8", "replace")))
-    return out
+    return None if out else "empty", out
 
 
-def epub_chapters(files: DataFrame) -> DataFrame:
-    """(path, chapter, title, text): one row per chapter worth reading, its junk elements dropped."""
+def epub_read(files: DataFrame) -> DataFrame:
+    """(path, chapter, title, text, problem): every chapter, its junk elements dropped, with `short` where it has too few letters to
+    be worth reading; a book that cannot be read is one row with the reason and no chapter."""
     from readlake.operators.web import STRIP_TAGS
     from readlake.sources.html import page_rows, to_markdown
 
@@ -78,15 +86,30 @@ def epub_chapters(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                for number, title, html in _chapters(content):
+                problem, chapters = _chapters(content)
+                if problem:
+                    out.append((path, None, None, None, problem))
+                for number, title, html in chapters:
                     rows = [dict(zip(names, r, strict=True)) for r in page_rows(html)]
                     bad = {r["node"] for r in rows if r["tag"] in STRIP_TAGS or any(j in r["hint"].lower() for j in JUNK)}
                     kept = [r for r in rows if bad.isdisjoint(r["path"])]
                     body = next((r["node"] for r in kept if r["tag"] == "body"), 0)
-                    out.append((path, number, title, to_markdown([r for r in kept if body in r["path"]], body, "") if kept else ""))
-            yield pd.DataFrame(out, columns=["path", "chapter", "title", "text"])
+                    text = to_markdown([r for r in kept if body in r["path"]], body, "") if kept else ""
+                    out.append((path, number, title, text, None if len(text) >= MIN_CHAPTER else "short"))
+            frame = pd.DataFrame(out, columns=["path", "chapter", "title", "text", "problem"])
+            yield frame.astype({"chapter": "Int32"})
+
+    return files.select("path", "content").mapInPandas(read, "path STRING, chapter INT, title STRING, text STRING, problem STRING")
+
+
+def epub_chapters(files: DataFrame) -> DataFrame:
+    """(path, chapter, title, text): one row per chapter worth reading; `epub_rejects` has the rest."""
+    return epub_read(files).filter("problem IS NULL").drop("problem")
+
 
-    return files.select("path", "content").mapInPandas(read, "path STRING, chapter INT, title STRING, text STRING").filter(F.length("text") >= MIN_CHAPTER)
+def epub_rejects(files: DataFrame) -> DataFrame:
+    """(path, chapter, problem): books that cannot be read (no chapter) and chapters too short to be read."""
+    return epub_read(files).filter("problem IS NOT NULL").select("path", "chapter", "problem")
 
 
 def epub_documents(chapters: DataFrame) -> DataFrame:

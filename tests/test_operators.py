@@ -186,6 +186,21 @@ def test_language_of_a_whole_text(spark):
     assert len(X.query_terms("a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12")) == 12
 
 
+def test_long_texts_are_aligned():
+    rng = random.Random(8)
+    for n in (30, 400, 6000, 12000):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        b = list(a + a[: n // 3])
+        for at in rng.sample(range(len(b)), n // 60):
+            b[at] = "#"
+        b = "".join(b)
+        runs = A.common_runs(a, b)
+        assert all(a[i : i + k] == b[j : j + k] for i, j, k in runs)
+        assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in zip(runs, runs[1:]))
+        assert sum(k for _, _, k in runs) >= 0.9 * n
+    assert A.common_runs("", "x") == [] and A.common_runs("same", "same") == [(0, 0, 4)]
+
+
 def test_numbers_without_exponents(spark):
     from readlake.sources.export import csv_number
 
@@ -412,6 +427,11 @@ def test_landing_and_epub(spark, tmp_path):
     assert sorted(r.name for r in good.collect()) == ["a.epub", "b.pdf"]
     assert sorted((r.name, r.problem) for r in bad.collect()) == [("c.pdf", "content"), ("d.txt", "type")]
     book = ingest.epub_documents(ingest.epub_chapters(good.filter("name = 'a.epub'"))).first()
+    locked = io.BytesIO(epub(["<p>" + "word " * 30 + "</p>"]))
+    with zipfile.ZipFile(locked, "a") as z:
+        z.writestr("META-INF/encryption.xml", "<x/>")
+    books = spark.createDataFrame([("l", locked.getvalue()), ("z", b"PK no zip"), ("a", (tmp_path / "a.epub").read_bytes())], "path string, content binary")
+    assert sorted((r.path, r.chapter, r.problem) for r in ingest.epub_rejects(books).collect()) == [("a", 2, "short"), ("l", None, "encrypted"), ("z", None, "broken")]
     assert book.title == "Book" and book.content.startswith("# One\n\nword") and "junk" not in book.content and "short" not in book.content
 
 
