@@ -18,23 +18,34 @@ from pyspark.sql import functions as F
 from readlake.llm.words import column, tables
 
 #: The HTML standard's void elements.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
-)
+VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+})
+BLOCK = frozenset({
+    "address", "article", "aside", "blockquote", "body", "br", "button", "caption", "center", "dd", "details", "dialog", "dir",
+    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
+    "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search",
+    "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul",
+})
 #: Elements whose text is never part of an article.
-FURNITURE = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input math menu nav noscript object option script search select style svg template textarea title video".split()
-)
+FURNITURE = frozenset({
+    "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "input", "math", "menu",
+    "nav", "noscript", "object", "option", "script", "search", "select", "style", "svg", "template", "textarea", "title",
+    "video",
+})
 #: Elements that may hold an article; the nearest one is a line's container.
-CONTAINER = frozenset("article body div html main section table td".split())
+CONTAINER = frozenset({
+    "article", "body", "div", "html", "main", "section", "table", "td",
+})
 #: Words of a class, id or role that mark furniture.
-MARKS = frozenset(
-    "ad ads adsense advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus "
-    "dialog disclaimer footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay paywall popup promo promoted "
-    "recommended related replies reply rail search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
-)
+MARKS = frozenset({
+    "ad", "ads", "adsense", "advert", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment",
+    "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "disqus", "dialog", "disclaimer",
+    "footer", "form", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter",
+    "notice", "notification", "overlay", "paywall", "popup", "promo", "promoted", "recommended", "related", "replies", "reply",
+    "rail", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags",
+    "toolbar", "topbar", "widget",
+})
 #: Elements that end an open paragraph, as browsers close it.
 CLOSES_P = BLOCK - {"br", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
 SPREAD = 1.0
