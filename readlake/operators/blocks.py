@@ -24,7 +24,7 @@ def heading_in_force(df: DataFrame, doc: str, order: str, own: str) -> DataFrame
 # Line patterns of the reading Markdown.
 STOP = r"^(#{1,6}\s|```|>|\||---\s*$)"
 LIST = r"^\s*(?:[-*+]|\d+\.)\s+"
-IMAGE = r"(?i)^!\[[^\]]*\]\((?:https?://\S+|pm-image:[0-9a-f]{16}\.webp)\)$"
+IMAGE = r"(?i)^!\[[^\]]*\]\((?:https?://\S+|%s:[0-9a-f]{16}\.webp)\)$"
 MATH = r"^\s*\$\$(.*\S.*)\$\$\s*$"
 
 
@@ -32,7 +32,7 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def markdown_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
+def markdown_blocks(df: DataFrame, doc: str, text: str, scheme: str = X.PICTURES) -> DataFrame:
     """(doc, ord, kind, raw): the blocks of each text in reading order, raw as their names are made from it.
 
     Lines become rows and the blocks are found as runs: a fence is told by the parity of fence marks, a
@@ -48,7 +48,7 @@ def markdown_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
     hit = lambda p: F.rlike("s", F.lit(p))
     blank = ~hit(r"\S") | hit(r"^---\s*$")
     table = hit(r"^\s*\|")
-    image = F.rlike(_strip(F.col("s")), F.lit(IMAGE))
+    image = F.rlike(_strip(F.col("s")), F.lit(IMAGE % scheme))
     raw_kind = (
         F.when(fenced, "fence").when(blank, "gap").when(hit(MATH) | hit(r"^#{1,6}\s+"), "single").when(image, "image")
         .when(table, "table").when(hit("^>"), "quote").when(hit(LIST), "list").otherwise("para")

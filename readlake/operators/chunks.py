@@ -16,7 +16,7 @@ PAGE_BREAK = "\n\n---\n\n"
 MIN_CHUNK_CHARS = 120
 CHARS_PER_TOKEN = 3
 HEADING = r"^#{1,6}\s+(.+?)\s*#*\s*$"
-IMAGE_LINE = r"(?m)^[ \t]*!\[[^\]\n]*\]\((?:pm-image:([^)\s]+)|[^)\s]+)\)[ \t]*(?:\n|$)"
+IMAGE_LINE = r"(?m)^[ \t]*!\[[^\]\n]*\]\([^)\s]+\)[ \t]*(?:\n|$)"
 
 _int = lambda v: F.lit(v).cast("int")
 
@@ -26,8 +26,9 @@ def strip_images(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, IMAGE_LINE, ""), r"\n{3,}", "\n\n")
 
 
-def with_figures(text: Column, notes: Column) -> Column:
-    """Image lines replaced by the note known for them (a map of image name to text), the rest dropped."""
+def with_figures(text: Column, notes: Column, scheme: str = X.PICTURES) -> Column:
+    """Image lines replaced by the note known for them (a map of image name to text), the rest dropped. Stored pictures are
+    named `scheme:name`."""
     entries = F.map_entries(F.coalesce(notes, F.create_map().cast("map<string,string>")))
     # A known picture's line becomes its text; a name is the digest of the picture, so it has no special marks.
     told = F.aggregate(
@@ -35,7 +36,7 @@ def with_figures(text: Column, notes: Column) -> Column:
         text,
         lambda acc, e: F.regexp_replace(
             acc,
-            F.concat(F.lit(r"(?m)^[ \t]*!\[[^\]\n]*\]\(pm-image:"), F.regexp_replace(e["key"], r"([.])", r"\\$1"), F.lit(r"\)[ \t]*$")),
+            F.concat(F.lit(rf"(?m)^[ \t]*!\[[^\]\n]*\]\({scheme}:"), F.regexp_replace(e["key"], r"([.])", r"\\$1"), F.lit(r"\)[ \t]*$")),
             F.concat(F.lit("[Figure: "), F.regexp_replace(e["value"], r"([\\$])", r"\\$1"), F.lit("]")),
         ),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions import text as X
+from readlake.operators.highlights import common_notebooks
+from readlake.operators.merge import join_notes
 from readlake.operators.ranking import newest_per_key, numbered
 
 MAX_SOURCES, MAX_VERSIONS, MAX_CONVERSATIONS, HISTORY = 100, 50, 50, 8
@@ -155,17 +157,17 @@ def paragraph_partners(sources: DataFrame) -> DataFrame:
     return sources.join(shared.filter(F.col("_n") > 1), at).withColumn("others", F.col("_n") - 1).drop("_n")
 
 
-def merge_plan(highlights: DataFrame) -> DataFrame:
+def merge_plan(highlights: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Highlights on one passage: the oldest is kept, its pair merged when they are just two, one from each
     view, of one colour and without a common notebook; otherwise held back with the reason. One row per
-    passage: only counts and extremes leave the tasks."""
+    passage: only counts and extremes leave the tasks, and only pairs that nothing else holds back meet their links
+    (highlight_id, notebook_id; by default the one notebook a highlight row names)."""
     passage = ["user_id", "document_id", "version", "start_at", "end_at"]
     key = F.struct("created_at", "highlight_id")
     per = highlights.groupBy(*passage).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("page_number").isNull()).alias("_clean"),
         (F.min("color") == F.max("color")).alias("_one_color"),
-        (F.min("notebook_id") == F.max("notebook_id")).alias("_shared"),
         F.min(key)["highlight_id"].alias("kept"),
         F.max(key)["highlight_id"].alias("merged"),
     )
@@ -173,6 +175,23 @@ def merge_plan(highlights: DataFrame) -> DataFrame:
         F.when(F.col("n") > 2, "more_than_two")
         .when(F.col("_clean") != 1, "same_view")
         .when(~F.col("_one_color"), "colors_differ")
-        .when(F.col("_shared"), "shared_notebook")
     )
-    return per.filter("n > 1").select(*passage, "n", "kept", F.when(reason.isNull(), F.col("merged")).alias("merged"), reason.alias("held"))
+    plan = per.filter("n > 1").select(*passage, "n", "kept", "merged", reason.alias("held"))
+    cited = (highlights if links is None else links).select("highlight_id", "notebook_id").filter("notebook_id IS NOT NULL")
+    common = common_notebooks(plan.filter("held IS NULL").select("kept", "merged"), cited).select("kept", "merged").distinct()
+    plan = plan.join(common.withColumn("_shared", F.lit(True)), ["kept", "merged"], "left")
+    held = F.when(F.col("_shared"), "shared_notebook").otherwise(F.col("held"))
+    return plan.select(*passage, "n", "kept", F.when(held.isNull(), F.col("merged")).alias("merged"), held.alias("held"))
+
+
+def merged_highlights(highlights: DataFrame, links: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(highlights, links) after a plan: the merged highlight's note goes to the kept one, its notebook links too (each once), and
+    its row goes."""
+    pairs = plan.filter("merged IS NOT NULL").select("kept", "merged")
+    gone = highlights.join(pairs, highlights["highlight_id"] == pairs["merged"]).select(F.col("kept").alias("highlight_id"), F.col("note").alias("_note"))
+    rest = highlights.join(pairs.select(F.col("merged").alias("highlight_id")), "highlight_id", "left_anti")
+    rest = rest.join(gone.withColumn("_pair", F.lit(True)), "highlight_id", "left")
+    rest = rest.withColumn("note", F.when(F.col("_pair"), join_notes(F.col("note"), F.col("_note"))).otherwise(F.col("note")))
+    moved = links.join(pairs.withColumnRenamed("merged", "highlight_id"), "highlight_id", "left")
+    moved = moved.withColumn("highlight_id", F.coalesce("kept", "highlight_id")).select(*links.columns)
+    return rest.select(*highlights.columns), moved.dropDuplicates(["highlight_id", "notebook_id"])

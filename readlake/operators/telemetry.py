@@ -66,7 +66,7 @@ def spend_per_day(events: DataFrame, days: int, today: str) -> DataFrame:
 
 
 def spend_totals(events: DataFrame, days: int, today: str, exact: bool = True) -> DataFrame:
-    """Totals with the number of requests and today's cost, in one pass: measures are summed per request first."""
+    """Totals with the number of requests and today's cost, in one pass over the calls."""
     ranged = day_range(events, days, today)
     requests = F.count_distinct("request_id") if exact else F.approx_count_distinct("request_id")
     today_cost = F.sum(F.when(F.col("day") == F.lit(today).cast("date"), F.col("cost_usd")))

@@ -18,7 +18,7 @@ WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_sub
 a AS (SELECT *, starts_with(s, '```') AS mark, sum(CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS f FROM s),
 k AS (SELECT *, CASE WHEN mark OR f % 2 = 1 THEN 'fence' WHEN NOT regexp_matches(s, '\\S') OR regexp_matches(s, '^---\\s*$') THEN 'gap'
   WHEN regexp_matches(s, '^\\s*\\$\\$(.*\\S.*)\\$\\$\\s*$') OR regexp_matches(s, '^#{1,6}\\s+') THEN 'single'
-  WHEN regexp_matches(trim(s), '(?i)^!\\[[^\\]]*\\]\\((https?://\\S+|pm-image:[0-9a-f]{16}\\.webp)\\)$') THEN 'image'
+  WHEN regexp_matches(trim(s), '(?i)^!\\[[^\\]]*\\]\\((https?://\\S+|picture:[0-9a-f]{16}\\.webp)\\)$') THEN 'image'
   WHEN regexp_matches(s, '^\\s*\\|') THEN 'table' WHEN starts_with(s, '>') THEN 'quote'
   WHEN regexp_matches(s, '^\\s*([-*+]|\\d+\\.)\\s+') THEN 'list' ELSE 'para' END AS k FROM a),
 t AS (SELECT *, k IN ('para', 'image') OR (k = 'table' AND NOT starts_with(s, '|')) AS soft FROM k),

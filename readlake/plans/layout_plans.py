@@ -202,7 +202,7 @@ def _(t):
 
 
 FIG = ITEMS + """
-, s AS (SELECT doc_id, page * 10 + ord AS ord, CASE WHEN ord = 2 THEN '![x](pm-image:a.webp)' WHEN ord = 1 THEN '## ' || substr(trim(text), 1, 12) ELSE trim(text) END AS text FROM items WHERE trim(text) <> '')
+, s AS (SELECT doc_id, page * 10 + ord AS ord, CASE WHEN ord = 2 THEN '![x](picture:a.webp)' WHEN ord = 1 THEN '## ' || substr(trim(text), 1, 12) ELSE trim(text) END AS text FROM items WHERE trim(text) <> '')
 , w AS (SELECT *, nullif(regexp_extract(text, '^#{1,6}\\s+(.+?)\\s*#*\\s*$', 1), '') AS h, CASE WHEN NOT starts_with(text, '## ') AND NOT starts_with(text, '![') THEN text END AS p FROM s)
 , c AS (SELECT *, last_value(h IGNORE NULLS) OVER a AS heading, last_value(p IGNORE NULLS) OVER a AS b, first_value(p IGNORE NULLS) OVER z AS f FROM w
   WINDOW a AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), z AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
@@ -212,7 +212,7 @@ SELECT doc_id, ord, heading, CASE WHEN length(b) > 375 THEN substr(b, length(b)
 @query("layout_figure_context", FIG)
 def _(t):
     text = F.trim("text")
-    made = F.when(F.col("ord") == 2, "![x](pm-image:a.webp)").when(F.col("ord") == 1, F.concat(F.lit("## "), F.substring(text, 1, 12))).otherwise(text)
+    made = F.when(F.col("ord") == 2, "![x](picture:a.webp)").when(F.col("ord") == 1, F.concat(F.lit("## "), F.substring(text, 1, 12))).otherwise(text)
     rows = items(t).filter("trim(text) <> ''").select("doc_id", (F.col("page") * 10 + F.col("ord")).alias("ord"), made.alias("text"))
     return L.figure_context(rows)
 

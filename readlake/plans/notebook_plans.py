@@ -239,6 +239,19 @@ def _(t):
     return N.merge_plan(_coarse(t)).drop("end_at")
 
 
+@query("highlights_after_merge", with_bindings("highlights") + PLAN + """
+, pairs AS (SELECT kept, other FROM plan WHERE held IS NULL), w AS (SELECT highlight_id, note FROM highlights)
+SELECT c.highlight_id, CASE WHEN m.other IS NULL THEN c.note
+  WHEN trim(coalesce(o.note, '')) = '' OR contains(trim(coalesce(c.note, '')), trim(coalesce(o.note, ''))) THEN trim(coalesce(c.note, ''))
+  WHEN trim(coalesce(c.note, '')) = '' THEN trim(coalesce(o.note, '')) ELSE trim(coalesce(c.note, '')) || chr(10) || chr(10) || trim(coalesce(o.note, '')) END AS note
+FROM w c LEFT JOIN pairs m ON m.kept = c.highlight_id LEFT JOIN w o ON o.highlight_id = m.other
+WHERE c.highlight_id NOT IN (SELECT other FROM pairs)""")
+def _(t):
+    rows = _coarse(t)
+    links = rows.select("highlight_id", "notebook_id")
+    return N.merged_highlights(rows, links, N.merge_plan(rows, links))[0].select("highlight_id", "note")
+
+
 @query("highlights_sync_report", with_bindings("highlights") + PLAN + """
 SELECT (SELECT count(DISTINCT document_id) FROM c) AS documents, (SELECT count(*) FROM c) AS highlights,
   (SELECT count(*) FROM c WHERE sync_status = 'synced') AS synced, (SELECT count(*) FROM c WHERE sync_status = 'unsynced') AS unsynced,

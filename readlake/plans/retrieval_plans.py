@@ -224,7 +224,7 @@ def _(t):
 SELECT doc_id, md5('before' || chr(10) || '[Figure: cost $' || doc_id || ' \\ ' || lang || ']' || chr(10) || lang || chr(10) || chr(10) || 'after') AS body FROM documents""")
 def _(t):
     raw = F.concat(
-        F.lit("before\n![x](pm-image:0123456789abcdef.webp)\n"), "lang", F.lit("\n\n![y](pm-image:ffff.webp)\n\n\nafter")
+        F.lit("before\n![x](picture:0123456789abcdef.webp)\n"), "lang", F.lit("\n\n![y](picture:ffff.webp)\n\n\nafter")
     )
     notes = F.create_map(
         F.lit("0123456789abcdef.webp"), F.concat(F.lit("cost $"), F.col("doc_id").cast("string"), F.lit(" \\ "), F.col("lang"))

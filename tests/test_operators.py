@@ -153,6 +153,22 @@ def test_inserts_keep_one_row_per_key(spark):
     assert (1, "old") in [tuple(r) for r in M.insert_ignore(now, new, ["k"]).collect()] and M.insert_ignore(now, new, ["k"]).count() == 3
 
 
+def test_merges_by_all_links(spark):
+    from readlake.operators import notebooks as N
+
+    shape = "user_id int, document_id int, version string, start_at int, end_at int, highlight_id string, page_number int, color string, created_at int, notebook_id int, note string"
+    rows = []
+    for n, (a, b) in enumerate([("p", "q"), ("r", "s"), ("t", "u")]):
+        rows += [(1, n, "v", 0, 5, a, None, "y", 1, None, "first"), (1, n, "v", 0, 5, b, 3, "y", 2, None, "second")]
+    marks = spark.createDataFrame(rows, shape)
+    links = spark.createDataFrame([("p", 1), ("p", 2), ("q", 2), ("r", 1), ("s", 2), ("s", 3), ("t", None), ("u", None)], "highlight_id string, notebook_id int")
+    plan = N.merge_plan(marks, links)
+    assert {r.kept: (r.merged, r.held) for r in plan.collect()} == {"p": (None, "shared_notebook"), "r": ("s", None), "t": ("u", None)}
+    left, linked = N.merged_highlights(marks, links, plan)
+    assert {r.highlight_id: r.note for r in left.collect()} == {"p": "first", "q": "second", "r": "first\n\nsecond", "t": "first\n\nsecond"}
+    assert sorted((r.highlight_id, r.notebook_id or 0) for r in linked.collect()) == [("p", 1), ("p", 2), ("q", 2), ("r", 1), ("r", 2), ("r", 3), ("t", 0)]
+
+
 def test_parents_rebuilt_to_nothing(spark):
     now = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     fresh = spark.createDataFrame([(1, "n")], "k int, v string")
