@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readlake.llm.common import identity, restored
-from readlake.llm.words import Words, chunks, column, tables
+from readlake.llm.words import Words, chunks, column, mixed, tables
 from readlake.session import pinned
 
 SEED = 42
@@ -56,6 +56,15 @@ def _shingle_hashes(words: Words, size: int, bits: int) -> tuple[np.ndarray, np.
     return np.frombuffer(found, dtype=np.uint8).reshape(-1, bits // 8), each
 
 
+def _distinct(hashes: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's shingles once; within a text 64 bits of a hash tell a shingle."""
+    text = np.repeat(np.arange(len(each)), each)
+    key = np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel() + mixed(text.astype(np.uint64) + np.uint64(1))
+    _, first = np.unique(key, return_index=True)
+    first.sort()
+    return hashes[first], np.bincount(text[first], minlength=len(each))
+
+
 def _majority(hashes: np.ndarray, each: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros((len(each), bits // 8), dtype=np.uint8)
     full = np.flatnonzero(each)
@@ -75,15 +84,18 @@ def _majority(hashes: np.ndarray, each: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, bits: int = 64, repeats: bool = True) -> DataFrame:
     """(doc_id, text_key, fingerprint): lower-case hex digits of the SimHash of every whole text, A-Z lowered.
 
-    A text of fewer words than a shingle is one shingle; a text without words (null too) has fingerprint zero."""
+    A text of fewer words than a shingle is one shingle; a text without words (null too) has fingerprint zero. A shingle that a
+    text repeats counts each time, or once without `repeats`."""
 
     def run(batches):
         for table in tables(batches):
             for rows, words in chunks(column(table, "text"), lower=True):
                 hashes, each = _shingle_hashes(words, size, bits)
+                if not repeats:
+                    hashes, each = _distinct(hashes, each)
                 digits = _majority(hashes, each, bits).tobytes().hex()
                 w = bits // 4
                 yield pa.RecordBatch.from_arrays(
@@ -246,12 +258,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, bits: int = 64, radius: int = 4, tile: int = 8192
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, bits: int = 64, radius: int = 4, tile: int = 8192, repeats: bool = True
 ) -> DataFrame:
     """(doc_id, text_key, fingerprint, component_id, root): one row per row of `docs`; `root` names the component, `component_id` is the smallest doc_id that
     links of at most `radius` differing bits reach, the row's own included. Rows without a doc_id are grouped like others; a
     component of only such rows has a null id. Texts without words share fingerprint zero and are linked like any other."""
-    marked = pinned(fingerprints(docs, doc_id, text, size, bits), "marked")
+    marked = pinned(fingerprints(docs, doc_id, text, size, bits, repeats), "marked")
     different = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     roots = components(links(different, radius, bits, tile))
     reached = different.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
@@ -264,10 +276,10 @@ def groups(
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 128, radius: int = 27, tile: int = 8192) -> DataFrame:
     """The rows of `docs`, one of each group of near duplicates: the one of the smallest id (null last), of repeated rows one.
 
-    Two texts of equal length that share a part s of their shingles differ in about acos(s) / pi of the bits. Similarity 0.8
+    Shingles count once a text, as in a similarity of sets. Two texts of equal length that share a part s of their shingles differ in about acos(s) / pi of the bits. Similarity 0.8
     (s = 0.89) is 19 of 128 bits with a deviation of 4, so a radius of 27 misses one such pair in fifty; unrelated texts
     differ in 64 +- 6."""
-    found = groups(docs, doc_id, text, size, bits, radius, tile)
+    found = groups(docs, doc_id, text, size, bits, radius, tile, repeats=False)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k")
     keys = found.groupBy("root").agg(first).select(F.coalesce("k.doc_id", F.lit(_NO_ID)).alias("one"), F.col("k.text_key").alias("two"))
     base = identity(docs, doc_id, text, carry=True).withColumn("one", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("two", F.col("text_key"))

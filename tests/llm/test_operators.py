@@ -104,14 +104,14 @@ def test_probabilities_sum_to_one(spark):
 
 
 def test_near_duplicates(messy):
-    for size, bits, radius in ((4, 64, 4), (5, 128, 27), (4, 64, 20)):
-        got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.groups(messy, size=size, bits=bits, radius=radius, tile=3).collect()]
+    for size, bits, radius, repeats in ((4, 64, 4, True), (5, 128, 27, False), (4, 64, 20, True)):
+        got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.groups(messy, size=size, bits=bits, radius=radius, tile=3, repeats=repeats).collect()]
         prints = []
         for i, t, _, _ in ROWS:
             w = WORD.findall(low(t))
             shingles = [" ".join(w[j : j + size]).encode() for j in range(max(1, len(w) - size + 1))] if w else []
             digest = xxhash.xxh64_intdigest if bits == 64 else xxhash.xxh3_128_intdigest
-            hashes = [digest(s, 42) for s in shingles]
+            hashes = [digest(s, 42) for s in (shingles if repeats else set(shingles))]
             prints.append((i, sum(1 << b for b in range(bits) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes) > 0)))
         root = list(range(len(prints)))
 
