@@ -47,10 +47,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Stages written by this process and not yet given up.
+_WRITTEN: list[str] = []
+
+
+def release_pinned(spark: SparkSession) -> int:
+    """Deletes the stages that `pinned` wrote so far, once the results that read them are written. How many there were."""
+    many = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return many
+
+
 def pinned(df: DataFrame, name: str = "stage") -> DataFrame:
     """`df` computed once and written to the shared folder. A lost executor re-reads it instead of recomputing,
     later stages read only the columns they use, and the planner knows its size."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
