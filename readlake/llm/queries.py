@@ -42,6 +42,9 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op3_topk_search"] = topk_search.oracle()
+
+
 @query
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -66,6 +69,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.kept_words(table(spark, sf_dir, "documents")))
 
 
+ORACLE["op7_substring_dedup"] = substring_dedup.oracle()
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).drop("text_key")

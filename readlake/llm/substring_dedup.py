@@ -274,3 +274,17 @@ def digest(kept: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of `kept_words`."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
     return kept.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def oracle(window: int = 35) -> str:
+    """`digest(kept_words(documents))` in DuckDB, every window as a string."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT r, unnest(range(1, len(w) - {window - 2})) AS i, w FROM d WHERE len(w) >= {window}),
+k AS (SELECT r, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS h FROM v),
+often AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + j AS p FROM k JOIN often USING (h), range({window}) t(j)),
+per AS (SELECT r, list(p) AS ps, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(per.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)"""

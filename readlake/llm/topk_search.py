@@ -228,3 +228,13 @@ def top_k(
     found = pairs.select("size", "q_ids", "q_held", "ids", "held", "floor").mapInArrow(_met(turns, k), FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(k: int = 10, scale: int = 1024) -> str:
+    """`top_k(embeddings)` in DuckDB, every query with every vector."""
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s) WHERE rank <= {k}"""

@@ -6,6 +6,7 @@ occur inside a longer UTF-8 character, so cutting bytes is cutting characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text looked at together; a longer text is one piece of its own.
-CHUNK = 4 << 20
+#: Bytes hashed together; the tables of powers are this long.
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -132,7 +133,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(texts: pa.Array, lower: bool = False, limit: int = CHUNK) -> Iterator[tuple[slice, Words]]:
+def chunks(texts: pa.Array, lower: bool = False, limit: int = 2 * CHUNK) -> Iterator[tuple[slice, Words]]:
     """The texts of a column in runs of about `limit` bytes, each with the rows it stands for."""
     data, offsets = raw(texts)
     at, n = 0, len(offsets) - 1
@@ -150,6 +151,15 @@ def tables(batches) -> Iterator[pa.Table]:
             yield pa.Table.from_batches([batch]).combine_chunks()
 
 
+def give_back() -> None:
+    """Freed memory returned to the machine. Workers are used again by later stages; without this, what the allocators of Arrow
+    and C keep for reuse adds up beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def column(table: pa.Table, name: str) -> pa.Array:
     held = table.column(name)
     return held.chunk(0) if held.num_chunks == 1 else pa.concat_arrays(held.chunks)
