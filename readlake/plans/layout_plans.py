@@ -357,7 +357,17 @@ def _(t):
     return C.series_names(series, legend).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chart_values_digitised")
+def _four_digits(v: str) -> str:
+    scale = f"pow(10.0, 3 - floor(log10(abs({v}))))"
+    return f"CASE WHEN {v} = 0 THEN 0.0 ELSE round_even({v} * {scale}, 0) / {scale} END"
+
+
+@query("chart_values_digitised", f"""
+WITH m AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS figure, CAST(l_suppkey % 15 AS INT) AS series, CAST(l_quantity AS DOUBLE) AS px, CAST(l_extendedprice AS DOUBLE) / 100 AS py FROM lineitem),
+n AS (SELECT *, CASE WHEN abs(px - lag(px) OVER w) <= 1.2 AND abs(py - lag(py) OVER w) <= 1.2 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY figure, series ORDER BY px, py)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY figure, series ORDER BY px, py ROWS UNBOUNDED PRECEDING) AS k FROM n),
+p AS (SELECT figure, series, avg(px) * 2 + 1 AS x, avg(py) * 2 + 1 AS y FROM g GROUP BY figure, series, k)
+SELECT figure, series, count(*) AS points, max({_four_digits("x")}) AS x, max({_four_digits("y")}) AS y FROM p GROUP BY figure, series""")
 def _(t):
     marks = t.lineitem.select(
         (F.col("l_orderkey") % 50).cast("string").alias("figure"), (F.col("l_suppkey") % 15).cast("int").alias("series"), F.col("l_quantity").alias("px"), (F.col("l_extendedprice") / 100).alias("py")
