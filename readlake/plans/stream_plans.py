@@ -120,7 +120,12 @@ def hits(df):
     )
 
 
-@query("limiter_decisions")
+@query("limiter_decisions", """
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1e6 AS at_, event_id AS hit_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT key, rn, hit_id, TRUE AS passed, [at_] AS times FROM e WHERE rn = 1 UNION ALL
+  SELECT key, rn, hit_id, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, at_) ELSE live END FROM (
+    SELECT e.key, e.rn, e.hit_id, e.at_, list_filter(r.times, lambda x: e.at_ - x < 86400) AS live FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
+SELECT key, hit_id, passed FROM r""")
 def _(t):
     return J.rate_limited_batch(hits(t.events), 3, 24 * 3600)
 
