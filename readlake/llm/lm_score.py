@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.common import crc
-from readlake.llm.words import chunks, column, mixed, tables
+from readlake.llm.words import chunks, column, give_back, mixed, tables
 from readlake.session import pinned
 
 LEARN, TUNE, OTHER = 0, 1, 2
@@ -76,6 +76,8 @@ def blocks(docs: DataFrame, order: int, size: int) -> DataFrame:
                             [("block", pa.int64()), ("role", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.binary()), ("keys", pa.binary()), ("codes", pa.binary()), ("entries", pa.list_(pa.int64()))]
                         ),
                     )
+                    del words, tokens, inside, keys, code, times, often, rank, block
+                    give_back()
 
     return docs.mapInArrow(run, BLOCK)
 
@@ -137,6 +139,9 @@ def requests(held: DataFrame, order: int, parts: list[int]) -> DataFrame:
                         ],
                         names=["n", "part", "block", "role", "keys", "times"],
                     )
+                    del keys, which, times, part
+                del block
+                give_back()
 
     return held.mapInArrow(run, "n int, part int, block long, role int, keys binary, times binary")
 
@@ -158,6 +163,8 @@ def _answer(table):
     back = [which[a:b] for a, b in zip(edge, edge[1:], strict=False)]
     k = len(back) + 1
     totals = [int((learned > 0).sum()), int(learned.sum()), int((trained > 0).sum()), int(trained.sum())]
+    del asked, keys, some, which, much, role
+    give_back()
     return pa.table(
         {
             "block": pa.concat_arrays([column(table, "block"), pa.nulls(1, pa.int64())]),
@@ -252,8 +259,8 @@ def scores(
     order: int = 2,
     rounds: int = 30,
     close: float = 1e-5,
-    block_bytes: int = 8 << 20,
-    part_entries: int = 1_000_000,
+    block_bytes: int = 5 << 20,
+    part_entries: int = 700_000,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
@@ -281,6 +288,7 @@ def scores(
     weights = learned_weights(events, order, distinct_learned, learned, rounds, close)
 
     def score(left, right):
+        give_back()
         mix, out = np.array(weights), []
         for row in left.to_pylist():
             block = _Block.of(row["keys"], row["codes"], row["n_tokens"])
