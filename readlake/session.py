@@ -60,11 +60,11 @@ def release_pinned(spark: SparkSession) -> int:
     return many
 
 
-def pinned(df: DataFrame, name: str = "stage") -> DataFrame:
+def pinned(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     """`df` computed once and written to the shared folder. A lost executor re-reads it instead of recomputing,
-    later stages read only the columns they use, and the planner knows its size."""
+    later stages read only the columns they use, and the planner knows its size. `options` are those of the Parquet writer."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
