@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions import text as X
+from readlake.operators.ranking import running
 
 SUPPORTED = 0.4
 # Numbers spelled out, in two languages.
@@ -32,10 +33,17 @@ def shares(df: DataFrame, **measures: tuple[Column, Column]) -> DataFrame:
 
 
 def timing(df: DataFrame, group: str, seconds: str) -> DataFrame:
-    """(group, p50, p95, n): nearest-rank times per group and over all."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {seconds})")
-    rolled = df.rollup(group).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count(F.lit(1)).alias("n"), F.grouping(group).alias("_g"))
-    return rolled.select(F.when(F.col("_g") == 1, "all").otherwise(F.col(group)).alias("group"), "p50", "p95", "n")
+    """(group, p50, p95, n): nearest-rank times per group and over all. Times are counted by value before the shuffle and the
+    counts summed slice by slice, so no group is held in one buffer."""
+    kind = F.explode(F.array(F.struct(F.lit(0).alias("_g"), F.col("_k")), F.struct(F.lit(1).alias("_g"), F.lit("all").alias("_k"))))
+    counted = df.groupBy(F.col(group).cast("string").alias("_k"), F.col(seconds).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.select(kind.alias("k"), "_v", "_c").groupBy("k._g", "k._k", "_v").agg(F.sum("_c").alias("_c"))
+    sizes = counted.groupBy("_g", "_k").agg(F.sum("_c").alias("n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))).alias("_m"))
+    upto = running(counted.filter("_v IS NOT NULL"), ["_g", "_k"], F.floor("_v"), [F.col("_v")], {"_upto": F.col("_c")})
+    sizes, upto = sizes.alias("s"), upto.alias("u")
+    both = sizes.join(upto, (F.col("s._g") == F.col("u._g")) & F.col("s._k").eqNullSafe(F.col("u._k")), "left")
+    p = lambda q: F.min(F.when(F.col("_upto") >= F.col("_m") * q, F.col("_v")))
+    return both.groupBy("s._g", "s._k", "n").agg(p(0.5).alias("p50"), p(0.95).alias("p95")).select(F.col("_k").alias("group"), "p50", "p95", "n")
 
 
 def content_words(text: Column) -> Column:

@@ -83,7 +83,9 @@ def on_shelf(highlights: DataFrame, documents: DataFrame, collection) -> DataFra
 def with_topics(documents: DataFrame, articles: DataFrame) -> DataFrame:
     """Topics and licence by address: the catalogue's, else the publisher's rule."""
     known = articles.select("url", "topics", F.col("license").alias("_article_license"))
-    joined = documents.join(known, "url", "left")
+    # Uploads have no address: they stay out of the join, where they would all be one key.
+    placed = documents.filter("url IS NOT NULL").join(known, "url", "left")
+    joined = placed.unionByName(documents.filter("url IS NULL"), allowMissingColumns=True)
     return joined.withColumn("license", U.known_license(F.col("_article_license"), F.col("url"))).drop("_article_license")
 
 

@@ -108,9 +108,8 @@ def changed_versions(versions: DataFrame, parent: str, slice_by, at: list[str],
 
 
 def recent_turns(messages: DataFrame, limit: int = HISTORY) -> DataFrame:
-    """The last turns of each conversation, back in time order."""
-    last = newest_per_key(messages, ["conv_id"], [F.col("turn").desc(), F.col("role")], limit)
-    return last.orderBy("conv_id", "turn")
+    """The last turns of each conversation."""
+    return newest_per_key(messages, ["conv_id"], [F.col("turn").desc(), F.col("role")], limit)
 
 
 def reading_order(highlights: DataFrame, documents: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def source_groups(sources: DataFrame) -> DataFrame:
     firsts = sources.groupBy("notebook_id", "document_id").agg(
         F.min("number").alias("first_number"), F.count(F.lit(1)).alias("sources")
     )
-    return firsts.orderBy("notebook_id", "first_number")
+    return firsts
 
 
 def scope_problems(rows: DataFrame, collection: str | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def hashed_words(text: Column, dims: int = 64) -> Column:
 
 
 def closest(passages: DataFrame, questions: DataFrame, document: str, k: int = CLOSEST) -> DataFrame:
-    """The k passages of each question's document nearest to it, ties by position, in reading order.
+    """The k passages of each question's document nearest to it, ties by position.
 
     Lengths are computed once per vector, not per pair. The rank is limited in each task before the shuffle,
     so a document holding a third of the passages still sends only k rows per task and question.
@@ -59,7 +59,7 @@ def closest(passages: DataFrame, questions: DataFrame, document: str, k: int = C
     score = F.round(cosine(F.col("_v"), F.col("_q"), F.col("_nv"), F.col("_nq")), 6)
     scored = p.join(q, document).select(document, "question_id", "position", score.alias("score"))
     best = newest_per_key(scored, ["question_id"], [F.col("score").desc(), F.col("position")], k)
-    return best.orderBy("question_id", "position")
+    return best
 
 
 def needle(quote: Column) -> Column:
@@ -86,14 +86,14 @@ def around_quote(passages: DataFrame, quotes: DataFrame, document: str, radius:
 
 
 def merge_passages(first: DataFrame, rest: DataFrame, limit: int = CLOSEST) -> DataFrame:
-    """All of `first`, then the best of `rest` up to the limit, each position once, in reading order."""
+    """All of `first`, then the best of `rest` up to the limit, each position once."""
     a = first.select("question_id", "position", F.lit(0).alias("_tier"), F.lit(0.0).alias("score"))
     b = rest.select("question_id", "position", F.lit(1).alias("_tier"), "score")
     once = a.unionByName(b).groupBy("question_id", "position").agg(F.min("_tier").alias("_tier"), F.max("score").alias("score"))
     order = W.partitionBy("question_id").orderBy("_tier", F.col("score").desc(), "position")
     ranked = once.withColumn("_rank", F.row_number().over(order))
     kept = ranked.filter((F.col("_rank") <= limit) | (F.col("_tier") == 0))
-    return kept.select("question_id", "position").orderBy("question_id", "position")
+    return kept.select("question_id", "position")
 
 
 def prompt_passages(shown: DataFrame, question: str = "question_id") -> DataFrame:

@@ -147,7 +147,7 @@ def _(t):
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"),
         (F.col("l_suppkey") % 2).cast("string").alias("data"), (F.col("l_partkey") % 128).alias("width"), F.lit(99).alias("height"),
     )
-    return L.repeated_pictures(rows).select("doc_id", "page", "ord")
+    return L.repeated_pictures(rows, 200).select("doc_id", "page", "ord")
 
 
 @query("layout_table_pictures")
@@ -186,7 +186,7 @@ SELECT doc_id, code, count(DISTINCT page) AS count, array_to_string(list_sort(li
 def _(t):
     code = F.when(F.col("o_orderstatus") == "F", "scanned_pages").when(F.col("o_orderstatus") == "O", "ocr_pages")
     rows = t.orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), code.alias("code"))
-    out = L.issues(rows)
+    out = L.issues(rows, 50)
     return out.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
 
 
