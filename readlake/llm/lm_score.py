@@ -272,11 +272,18 @@ def scores(
     tune = F.pmod(F.floor(key / 5), F.lit(10)) == 0 if tune is None else tune
     role = F.when(held_out, OTHER).when(tune, TUNE).otherwise(LEARN).cast("int")
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), role.alias("role"), F.col(text).alias("text"))
-    held = pinned(blocks(read, order, block_bytes), "lm_blocks")
+    # Wide rows: a block is made from what one batch holds, and the codec keeps no buffer outside the heap.
+    batch, spark = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(3 * block_bytes))
+    try:
+        held = pinned(blocks(read, order, block_bytes), "lm_blocks", compression="zstd")
+    finally:
+        spark.conf.set(batch, before)
     entries = held.agg(*[F.sum(F.col("entries")[n]).alias(f"e{n}") for n in range(order)]).first()
     parts = [int((e or 0) // part_entries) + 1 for e in entries]
     asked = requests(held.select("block", "role", "keys", "codes", "n_tokens"), order, parts)
-    answers = pinned(asked.groupBy("n", "part").applyInArrow(_answer, ANSWER), "lm_counts")
+    answers = pinned(asked.groupBy("n", "part").applyInArrow(_answer, ANSWER), "lm_counts", compression="zstd")
     total = answers.filter("block is null and n = 1").agg(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(4)]).first()
     distinct_learned, learned, distinct, tokens = (int(x or 0) for x in total)
     tuning, shape = _tuning(order)
