@@ -27,6 +27,11 @@ from readlake.session import pinned
 SEED = 42
 _NO_ID = -(1 << 63)
 _BLOCK = 512
+#: Similarity of near duplicates, as a fraction.
+NEAR = (4, 5)
+#: Shingles from which a fingerprint tells unrelated texts apart. A set of fewer can be alike only to sets under SHORT.
+SURE = 20
+SHORT = SURE * NEAR[1] // NEAR[0]
 
 
 def _shingle_hashes(words: Words, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,15 +278,147 @@ def groups(
     return marked.join(named, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 128, radius: int = 27, tile: int = 8192) -> DataFrame:
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, bits: int) -> DataFrame:
+    """(doc_id, text_key, set_key, fingerprint, n, short): each text's set of shingles named by 128 bits, its SimHash and its
+    size; the shingles' hashes themselves only of sets under `SHORT`."""
+
+    def run(batches):
+        for table in tables(batches):
+            for rows, words in chunks(column(table, "text"), lower=True):
+                hashes, each = _distinct(*_shingle_hashes(words, size, bits))
+                digits, w = _majority(hashes, each, bits).tobytes().hex(), bits // 4
+                sets = _sorted_sets(hashes, each)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        column(table, "doc_id")[rows],
+                        column(table, "text_key")[rows],
+                        pa.array([xxhash.xxh3_128_hexdigest(x.tobytes(), SEED) for x in sets], type=pa.string()),
+                        pa.array([digits[i * w : i * w + w] for i in range(words.texts)], type=pa.string()),
+                        pa.array(each, type=pa.int64()),
+                        pa.array([x.view(np.int64) if len(x) < SHORT else None for x in sets], type=pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "text_key", "set_key", "fingerprint", "n", "short"],
+                )
+
+    return identity(docs, doc_id, text).mapInArrow(run, "doc_id long, text_key long, set_key string, fingerprint string, n long, short array<long>")
+
+
+def _sorted_sets(hashes: np.ndarray, each: np.ndarray) -> list[np.ndarray]:
+    key = np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel()
+    return [np.sort(x) for x in np.split(key, np.cumsum(each)[:-1])]
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the pairs of sets of similarity `NEAR` or more, of two blocks or inside one: indexes into left, then right."""
+    both = left if right is None else left + right
+    shift = 0 if right is None else len(left)
+    many = np.array([len(x) for x in both], dtype=np.int64)
+    other = both[shift:]
+    flat = np.concatenate(other) if other else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(shift, len(both)), many[shift:])[order]
+    groups, out = _Groups(len(both)), []
+    for i, one in enumerate(left):
+        if (groups.of[shift:] == groups.of[i]).all():
+            continue
+        a, b = np.searchsorted(flat, one, "left"), np.searchsorted(flat, one, "right")
+        each = b - a
+        spots = np.repeat(a, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        shared = np.bincount(owner[spots], minlength=len(both))
+        near = np.flatnonzero((shared > 0) & (NEAR[1] * shared >= NEAR[0] * (many + many[i] - shared)) & (groups.of != groups.of[i]))
+        if len(near):
+            out.append(groups.join(np.full(len(near), i), near))
+    if not out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _short_links(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs that connect all short sets that may be alike. Alike sets share one of each's first shingles in any one
+    order; the rarest come first, so that common phrases connect little."""
+    each = sets.filter("n > 0 and short is not null").select("set_key", "n", F.explode("short").alias("shingle"))
+    many = pinned(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "shingles")
+    known = each.join(many, "shingle", "left").select("set_key", "n", F.struct(F.coalesce("copies", F.lit(1)).alias("copies"), "shingle").alias("s"))
+    # n - ceil(n * NEAR) + 1 of them; those that stand once connect nothing.
+    taken = f"cast(n - (n * {NEAR[0]} + {NEAR[1] - 1}) div {NEAR[1]} + 1 as int)"
+    heads = known.groupBy("set_key", "n").agg(F.array_sort(F.collect_list("s")).alias("all"))
+    heads = heads.select("set_key", F.explode(F.expr(f"slice(all, 1, {taken})")).alias("s")).filter("s.copies > 1").select("set_key", F.col("s.shingle").alias("shingle"))
+    heads = pinned(heads, "heads")
+    least = pinned(heads.groupBy("shingle").agg(F.min("set_key").alias("b")), "least")
+    return heads.join(least, "shingle").filter("set_key <> b").select(F.col("set_key").alias("a"), "b")
+
+
+def _candidates(sets: DataFrame, radius: int, bits: int, tile: int) -> DataFrame:
+    """(a, b): pairs of set_keys that connect all sets that may be alike, and more."""
+    long = sets.filter(F.col("n") >= SURE)
+    firsts = pinned(long.groupBy("fingerprint").agg(F.min("set_key").alias("first")), "firsts")
+    same = long.join(firsts, "fingerprint").filter("set_key <> first").select(F.col("set_key").alias("a"), F.col("first").alias("b"))
+    near = pinned(links(firsts.select("fingerprint"), radius, bits, tile), "links")
+    near = near.join(firsts.select(F.col("fingerprint").alias("a"), F.col("first").alias("x")), "a")
+    near = near.join(firsts.select(F.col("fingerprint").alias("b"), F.col("first").alias("y")), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(_short_links(sets))
+
+
+def _verified(docs: DataFrame, sets: DataFrame, roots: DataFrame, doc_id: str, text: str, size: int, bits: int, block: int) -> DataFrame:
+    """(a, b): a forest over the pairs of alike sets of each candidate group. A group is dealt into blocks of about `block`
+    shingles, and every block meets every other of its group, so no pair is left out and a task holds two blocks."""
+    members = pinned(roots.join(sets, roots["node"] == sets["set_key"]).select("root", "set_key", "n", "one", "two"), "members")
+    large = members.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts")).filter("parts > 1")
+    dealt = members.join(pinned(large, "large"), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int")).drop("n")
+    base = identity(docs, doc_id, text).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("one"), F.col("text_key").alias("two"), "text")
+    texts = base.join(dealt, ["one", "two"]).dropDuplicates(["one", "two"]).select("root", "parts", "part", "set_key", "text")
+
+    def held(batches):
+        for table in tables(batches):
+            for rows, words in chunks(column(table, "text"), lower=True):
+                sets = _sorted_sets(*_distinct(*_shingle_hashes(words, size, bits)))
+                cols = [column(table, x)[rows] for x in ("root", "parts", "part", "set_key")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in sets], type=pa.binary())], names=["root", "parts", "part", "set_key", "held"])
+
+    known = texts.mapInArrow(held, "root string, parts int, part int, set_key string, held binary")
+    packed = known.groupBy("root", "part", "parts").agg(F.collect_list(F.struct("set_key", "held")).alias("sets"))
+    packed = pinned(packed, "blocks")
+    wide = max(docs.sparkSession.sparkContext.defaultParallelism * 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = packed.select("root", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"))
+    ids = ids.repartition(wide, "root", "part", "other")
+    left = packed.select("root", "part", F.col("sets").alias("left"))
+    right = packed.select("root", F.col("part").alias("other"), F.col("sets").alias("right"))
+    # A block meets itself without a second copy of it.
+    inside = left.select("left", F.lit(None).cast(left.schema["left"].dataType).alias("right"))
+    across = ids.filter("part <> other").join(left, ["root", "part"]).join(right, ["root", "other"]).select("left", "right")
+
+    def run(batches):
+        for table in tables(batches):
+            for k in range(table.num_rows):
+                mine, theirs = (column(table, x)[k].as_py() for x in ("left", "right"))
+                a, b = alike(*([np.frombuffer(x["held"], dtype=np.uint64) for x in y] if y is not None else None for y in (mine, theirs)))
+                keys = [x["set_key"] for x in mine + (theirs or [])]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in x], type=pa.string()) for x in (a.tolist(), b.tolist())], names=["a", "b"])
+
+    return inside.unionByName(across).mapInArrow(run, "a string, b string")
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 128, radius: int = 32, tile: int = 8192, block: int = 1 << 16
+) -> DataFrame:
     """The rows of `docs`, one of each group of near duplicates: the one of the smallest id (null last), of repeated rows one.
 
-    Shingles count once a text, as in a similarity of sets. Two texts of equal length that share a part s of their shingles differ in about acos(s) / pi of the bits. Similarity 0.8
-    (s = 0.89) is 19 of 128 bits with a deviation of 4, so a radius of 27 misses one such pair in fifty; unrelated texts
-    differ in 64 +- 6."""
-    found = groups(docs, doc_id, text, size, bits, radius, tile, repeats=False)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k")
-    keys = found.groupBy("root").agg(first).select(F.coalesce("k.doc_id", F.lit(_NO_ID)).alias("one"), F.col("k.text_key").alias("two"))
+    Two texts are near if their sets of shingles have a similarity (Jaccard) of 0.8 or more, counted on the sets; a group is what
+    such links connect. Fingerprints only say which sets are compared. Two texts of equal length that share a part s of their
+    shingles differ in about acos(s) / pi of the bits: similarity 0.8 (s = 0.89) is 19 of 128 bits with a deviation of 4, so a
+    radius of 32 misses one such pair in about two thousand. Texts of few shingles have no such fingerprints (unrelated ones
+    come near as well) and are found by the shingles they share."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    marked = shingle_sets(docs, doc_id, text, size, bits)
+    sets = marked.groupBy("set_key").agg(F.min(first).alias("k"), *[F.first(c).alias(c) for c in ("fingerprint", "n", "short")])
+    sets = sets.withColumn("one", F.coalesce("k.doc_id", F.lit(_NO_ID))).withColumn("two", F.col("k.text_key"))
+    sets = pinned(sets, "sets")
+    maybe = components(_candidates(sets, radius, bits, tile))
+    roots = components(_verified(docs, sets, maybe, doc_id, text, size, bits, block))
+    named = sets.select("set_key", "k").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    keys = named.groupBy(F.coalesce("root", "set_key")).agg(F.min("k").alias("k"))
+    keys = keys.select(F.coalesce("k.doc_id", F.lit(_NO_ID)).alias("one"), F.col("k.text_key").alias("two"))
     base = identity(docs, doc_id, text, carry=True).withColumn("one", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("two", F.col("text_key"))
     # Dealt by the same keys, so repeated rows are dropped without another shuffle.
     kept = base.select("one", "two", "text", "row").join(keys, ["one", "two"], "left_semi").dropDuplicates(["one", "two"])

@@ -393,3 +393,37 @@ def test_empty_tables(spark, nothing):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+
+
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_one_of_each_by_shingles(spark, block):
+    r = random.Random(3)
+    # Unrelated texts of two to four shingles, whose fingerprints come near each other.
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(6 + i % 3))) for i in range(1500)]
+    base = {i: prose(1000 + i, 10 + 2 * (i % 30)).split() for i in range(60)}
+    for i, words in base.items():  # copies with changes up to and past the limit
+        rows.append((2000 + 10 * i, " ".join(words)))
+        for j in range(1, 5):
+            cut = r.randrange(0, j + 1)
+            rows.append((2000 + 10 * i + j, " ".join(words[cut:] + [f"x{i}{j}"] * (j - 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    for held in holders.values():
+        for i in held:
+            for j in held:
+                if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    a, b = top(i), top(j)
+                    root[max(a, b)] = min(a, b)
+    want = sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(docs, block=block).collect()) == want
