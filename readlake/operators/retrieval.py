@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -62,6 +64,53 @@ def closest(passages: DataFrame, questions: DataFrame, document: str, k: int = C
     return best
 
 
+def closest_of_many(passages: DataFrame, questions: DataFrame, document: str, k: int = CLOSEST, tile: int = 2048, block: int = 256) -> DataFrame:
+    """As `closest`, for questions that grow with the passages: blocks of a document's questions meet tiles of its passages, and a
+    meeting gives k rows a question, so no row stands for a pair."""
+
+    def packed(rows: DataFrame, name: str, many: int) -> DataFrame:
+        held = rows.filter(F.col(document).isNotNull()).select(document, name, "embedding")
+        parts = held.groupBy(document).agg(F.ceil(F.count(F.lit(1)) / many).cast("int").alias("_parts"))
+        dealt = held.join(parts, document).withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")))
+        vectors = F.transform("embedding", lambda v: v.cast("double"))
+        return dealt.groupBy(document, "_part").agg(F.collect_list(F.struct(F.col(name).alias("id"), vectors.alias("v"))).alias(name)).drop("_part")
+
+    def unit(rows: list[dict], size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size))
+        for i, r in enumerate(rows):
+            v = np.array(r["v"] if r["v"] is not None else [], dtype=float)
+            if len(v) == size and (length := np.sqrt(v @ v)) > 0:
+                out[i] = v / length
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked, held = row["question_id"], row["position"]
+                ids = np.array([r["id"] for r in held], dtype=np.int64)
+                score = np.zeros((len(asked), len(held)))
+                for size in {len(r["v"]) for r in asked if r["v"]}:  # vectors of two sizes have score 0
+                    score += unit(asked, size) @ unit(held, size).T
+                score = np.round(score, 6)
+                for r, mine in zip(asked, score, strict=True):
+                    best = np.lexsort((ids, -mine))[:k]
+                    cols = [pa.array([row[document]] * len(best), type=kind), pa.array([r["id"]] * len(best), type=pa.int64()), pa.array(ids[best]), pa.array(mine[best])]
+                    yield pa.RecordBatch.from_arrays(cols, names=[document, "question_id", "position", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    shape = passages.schema[document].dataType
+    kind = to_arrow_type(shape)
+    spark = passages.sparkSession
+    wide = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = packed(questions.withColumn("question_id", F.col("question_id").cast("long")), "question_id", block)
+    held = packed(passages.withColumn("position", F.col("position").cast("long")), "position", tile)
+    # Rebalanced: a meeting is long work on a short row.
+    pairs = held.join(asked, document).repartition(wide)
+    scored = pairs.mapInArrow(run, f"`{document}` {shape.simpleString()}, question_id long, position long, score double")
+    return newest_per_key(scored, ["question_id"], [F.col("score").desc(), F.col("position")], k)
+
+
 def needle(quote: Column) -> Column:
     """The start of a selection as it reads on screen, cut at a word's end."""
     words = X.screen_words(quote)

@@ -166,6 +166,37 @@ def _(t):
     return R.prompt_passages(shown)
 
 
+#: One row in a hundred asks, so that the questions grow with the table (the first three of each label, as above, do not).
+COS_HUNDREDTH = """
+, s AS (SELECT q.vec_id AS question_id, p.vec_id AS position, round(list_cosine_similarity(p.e, q.e), 6) AS score
+  FROM v p JOIN v q ON p.label = q.label WHERE q.vec_id % 100 = 0)
+, k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) <= 8)
+"""
+CONTEXT = """
+, n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY position) AS n FROM k)
+SELECT question_id, '<passages>' || chr(10) || string_agg('[' || n || '] (page ' || position || ', h)' || chr(10) || 'text ' || position || chr(10), chr(10)
+  ORDER BY n) || chr(10) || '</passages>' AS context FROM n GROUP BY question_id"""
+
+
+def _closest_of_hundredth(t):
+    rows = t.embeddings.select(F.col("label").alias("document"), F.col("vec_id").alias("position"), "embedding")
+    return R.closest_of_many(rows, rows.filter("position % 100 = 0").withColumnRenamed("position", "question_id"), "document")
+
+
+@query("closest_passages_hundredth", VEC + COS_HUNDREDTH + "SELECT question_id, position, score FROM k")
+def _(t):
+    return _closest_of_hundredth(t).select("question_id", "position", "score")
+
+
+@query("prompt_context_hundredth", VEC + COS_HUNDREDTH + CONTEXT)
+def _(t):
+    shown = _closest_of_hundredth(t).select(
+        "question_id", "position", F.col("position").alias("page_number"), F.lit("h").alias("heading"),
+        F.concat(F.lit("text "), F.col("position").cast("string")).alias("text"),
+    )
+    return R.prompt_passages(shown)
+
+
 @query("citations_kept", """
 WITH a AS (SELECT conv_id, max(turn) % 5 AS c FROM conversations GROUP BY 1)
 SELECT m.conv_id, m.turn AS n, substr(m.text, 1, 600) AS text FROM conversations m JOIN a ON a.conv_id = m.conv_id

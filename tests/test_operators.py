@@ -482,3 +482,27 @@ def test_snapshot_replaces_whole_table(spark, tmp_path):
 def test_results_refused(spark):
     df = spark.createDataFrame([("not json", 3), ('{"tldr": "x", "takeaways": []}', 3), ('{"tldr": "x", "tldr_sources": [], "takeaways": [{"text":"a","sources":[9]},{"text":"b","sources":[]},{"text":"c","sources":[true]}]}', 3)], "body string, total int")
     assert [r.problem for r in R.parse_quick(df).collect()] == ["not JSON", "schema mismatch", "no citations"]
+
+
+def test_closest_of_many_against_brute_force(spark):
+    from readlake.operators import retrieval
+
+    r = random.Random(5)
+    rows = [(i, i % 3, [float(r.randrange(-3, 4)) for _ in range(4)]) for i in range(300)]
+    rows += [(300, 1, []), (301, 1, [1.0, 2.0]), (302, 1, [0.0] * 4), (303, 1, None), (304, None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "position long, document int, embedding array<double>")
+    asked = df.withColumnRenamed("position", "question_id")  # every row asks
+    got = retrieval.closest_of_many(df, asked, "document", 8, tile=40, block=16).select("question_id", "position", "score").collect()
+
+    def cosine(a, b):
+        a, b = a or [], b or []
+        both = sum(x * x for x in a) * sum(x * x for x in b)
+        return round(sum(x * y for x, y in zip(a, b)) / both**0.5, 6) if len(a) == len(b) and both > 0 else 0.0
+
+    want = []
+    for q, d, v in rows:
+        if d is not None:
+            near = sorted((-cosine(w, v), p) for p, e, w in rows if e == d)
+            want += [(q, p, -s) for s, p in near[:8]]
+    assert sorted((x[0], x[1]) for x in got) == sorted((q, p) for q, p, _ in want)
+    assert {(x[0], x[1]): x[2] for x in got} == pytest.approx({(q, p): s for q, p, s in want}, abs=2e-6)
