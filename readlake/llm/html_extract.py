@@ -29,7 +29,7 @@ BLOCK = frozenset({
 })
 #: Elements whose text is never part of an article.
 FURNITURE = frozenset({
-    "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "input", "math", "menu",
+    "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "input", "menu",
     "nav", "noscript", "object", "option", "script", "search", "select", "style", "svg", "template", "textarea", "title",
     "video",
 })
@@ -71,15 +71,16 @@ def _marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, characters, tags, characters in links, container, furniture)."""
+    """Lines of a page: (text, characters, tags, characters in links, container, furniture, inside an article)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool, bool]] = []
         self.open: list[tuple[str, bool, int]] = []  # (tag, furniture, container that was current before)
         self.furniture = self.links = self.articles = 0
         self.dropped = 0  # furniture inside a line, whose text is no part of it
         self.container = self.containers = 0
+        self.parents: dict[int, int] = {}  # of containers outside articles: the container each stands in
         self.text: list[str] = []
         self.tags = self.linked = 0
 
@@ -87,7 +88,7 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, len(text), self.tags, self.linked, self.container, self.furniture > 0))
+                self.lines.append((text, len(text), self.tags, self.linked, self.container, self.furniture > 0, self.articles > 0))
                 self.tags = 0
             self.text, self.linked = [], 0
 
@@ -134,6 +135,8 @@ class Lines(HTMLParser):
                 self.articles += 1
             if tag == "article" or tag == "main" or not inside:
                 self.containers += 1  # what stands inside an article is part of it
+                if not self.articles:
+                    self.parents[self.containers] = self.container
                 self.container = self.containers
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -204,9 +207,12 @@ def main_text(html: str | None) -> str:
             votes[x[4]] = votes.get(x[4], 0) + x[1] - x[3]
     most = max(votes.values(), default=0)
     regions = {k for k, v in votes.items() if v >= 0.2 * most and v > 0}
+    # Parts that stand beside the winning one under one parent stay, however short.
+    won = {page.parents[k] for k, v in votes.items() if v == most and v > 0 and k in page.parents}
+    regions |= {k for k, v in votes.items() if v > 0 and page.parents.get(k) in won}
     if not regions:
         regions = {x[4] for x in fair}
-    return "\n".join(x[0] for x in fair if x[4] in regions and not (x[1] > 0 and x[3] >= 0.8 * x[1] and x[2] > 1 and x[1] < 60))
+    return "\n".join(x[0] for x in fair if x[4] in regions and not (not x[6] and x[1] > 0 and x[3] >= 0.8 * x[1] and x[2] > 1 and x[1] < 60))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -427,3 +427,11 @@ def test_one_of_each_by_shingles(spark, block):
                     root[max(a, b)] = min(a, b)
     want = sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
     assert sorted(x["doc_id"] for x in simhash.one_of_each(docs, block=block).collect()) == want
+
+
+def test_main_text_keeps_links_parts_and_formulas_of_articles():
+    long, short = prose(21, 300), prose(22, 45)
+    page = f"<body><nav><a>Home</a></nav><article><p>{long}</p><p><a>Full report</a></p><ul><li><a>Data</a></li></ul><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math></p></article></body>"
+    assert html_extract.main_text(page) == f"{long}\nFull report\nData\nso a=b"
+    parts = f"<body><section><p>{long}</p></section><section><p>{short}</p></section><div><p><a>More</a></p></div></body>"
+    assert html_extract.main_text(parts) == f"{long}\n{short}"
