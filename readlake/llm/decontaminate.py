@@ -103,17 +103,27 @@ class Matcher:
         for which, spans in windows.items():
             item_id, item, most, forward, backward = self.items[which]
             mine: list[tuple[int, int, int, int]] = []
+            places: list[tuple[int, int, int, int]] = []
             for a, b in spans:
-                distance, end = forward.ends(text[a:b], most)
-                if distance > most:
-                    continue
-                end += a
-                _, back = backward.ends(text[a:end][::-1], distance)
-                begin = end - back
-                if not mine or begin >= mine[-1][2]:
-                    mine.append((item_id, begin, end, distance))
-                elif distance < mine[-1][3]:
-                    mine[-1] = (item_id, begin, end, distance)
+                rest, inside = [(a, b)], []
+                while rest:  # the best place, then what is left on both sides of it
+                    a, b = rest.pop()
+                    if b - a < len(item) - most:
+                        continue
+                    distance, end = forward.ends(text[a:b], most)
+                    if distance > most:
+                        continue
+                    end += a
+                    _, back = backward.ends(text[a:end][::-1], distance)
+                    begin = end - back
+                    inside.append((item_id, begin, end, distance))
+                    rest += [(a, begin), (end, b)]
+                places += sorted(inside, key=lambda x: x[1])
+            for place in places:
+                if not mine or place[1] >= mine[-1][2]:
+                    mine.append(place)
+                elif place[3] < mine[-1][3]:
+                    mine[-1] = place
             out += mine
         return out
 

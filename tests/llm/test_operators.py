@@ -435,3 +435,11 @@ def test_main_text_keeps_links_parts_and_formulas_of_articles():
     assert html_extract.main_text(page) == f"{long}\nFull report\nData\nso a=b"
     parts = f"<body><section><p>{long}</p></section><section><p>{short}</p></section><div><p><a>More</a></p></div></body>"
     assert html_extract.main_text(parts) == f"{long}\n{short}"
+
+
+def test_items_in_a_row():
+    item = prose(31, 20)
+    n = len(item)
+    text = "x " + " ".join([item] * 3) + " y"
+    got = decontaminate.Matcher([(1, item)], 0.08).matches(text)
+    assert got == [(1, 2 + i * (n + 1), 2 + i * (n + 1) + n, 0) for i in range(3)]
