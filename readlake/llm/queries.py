@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, mixing, simhash, substring_dedup, topk_search, url_lists, url_queries
+from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, mixing, simhash, substring_dedup, token_files, topk_search, url_lists, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_license_scan"] = license_scan.oracle()
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))

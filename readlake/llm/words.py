@@ -20,8 +20,8 @@ CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240131)
 #: One random odd-or-even 64-bit value for each byte: the letters of the polynomial.
 _BYTE = _RANDOM.integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -123,7 +123,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     space = _SPACE[data]
     begin = np.zeros(len(data) + 1, dtype=bool)
     begin[offsets] = True  # a text's first byte begins a word, whatever the byte before it
