@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, mixing, simhash, substring_dedup, token_files, topk_search, url_lists, url_queries
+from readlake.llm import decontaminate, html_extract, language_id, license_scan, lm_score, mixing, shared_search, simhash, spelling_variants, substring_dedup, token_files, topk_search, url_lists, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op10_license_scan"] = license_scan.oracle()
 
 
+@query
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_key")
+
+
+ORACLE["op11_shared_search"] = shared_search.oracle()
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))

@@ -20,6 +20,9 @@ CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that end a term: all of ASCII but digits and letters.
+GAPS = np.arange(256) < 0x80
+GAPS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240131)
@@ -121,10 +124,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[int(at[0]) : int(at[-1])] if len(at) else held[:0], at - at[0]
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """`space`: for each byte, whether it stands between words."""
     if lower:
         data = LOWER[data]
-    space = _SPACE[data]
+    space = space[data]
     begin = np.zeros(len(data) + 1, dtype=bool)
     begin[offsets] = True  # a text's first byte begins a word, whatever the byte before it
     word = ~space
@@ -133,14 +137,14 @@ def cut(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(texts: pa.Array, lower: bool = False, limit: int = 2 * CHUNK) -> Iterator[tuple[slice, Words]]:
+def chunks(texts: pa.Array, lower: bool = False, limit: int = 2 * CHUNK, space: np.ndarray = _SPACE) -> Iterator[tuple[slice, Words]]:
     """The texts of a column in runs of about `limit` bytes, each with the rows it stands for."""
     data, offsets = raw(texts)
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         part = offsets[at : to + 1]
-        yield slice(at, to), cut(data[int(part[0]) : int(part[-1])], part - part[0], lower)
+        yield slice(at, to), cut(data[int(part[0]) : int(part[-1])], part - part[0], lower, space)
         at = to
 
 
