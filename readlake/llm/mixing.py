@@ -5,6 +5,8 @@ number of combinations. A round multiplies each cell by target / present share o
 rounds end when every share is within `close` of its target. Weights then become probabilities c * weight, at most 1, with c
 chosen so that the expected number of tokens kept is `rate` of all; what the limit 1 takes away is given back as a row's weight, so
 weighted tokens still have the target shares. A row is picked if a hash of its id, as a fraction, is below its probability.
+
+Fractions are summed as decimals, so a result does not depend on the order in which tasks end.
 """
 
 from __future__ import annotations
@@ -31,22 +33,31 @@ def fraction(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+#: Shares and probabilities nearer to zero than this are zero.
+CLOSE = 1e-12
+
+
+def exact_sum(x: Column) -> Column:
+    """A sum of doubles that is the same in any order."""
+    return F.sum(x.cast("decimal(38,24)")).cast("double")
+
+
 def shares(cells: DataFrame, dimension: str, targets: DataFrame | None) -> DataFrame:
     """(dimension, target): the target share of each value present. Targets of absent values are left out and the rest scaled to sum
-    to one; values without a target share what is left as they do now (nothing is left if the targets sum to one or more). Where no
-    target is of a value present, shares stay as they are."""
+    to one; values without a target share what is left as they do now (nothing is left if the targets sum to one, but for `CLOSE`, or
+    more). Where no target is of a value present, shares stay as they are."""
     now = cells.groupBy(dimension).agg(F.sum("n").alias("n"))
     if targets is None:
         whole = now.agg(F.sum("n")).first()[0] or 1.0
         return now.select(dimension, (F.col("n") / F.lit(float(whole))).alias("target"))
     wanted = targets.select(F.coalesce(F.col("value").cast("string"), F.lit(MISSING)).alias(dimension), F.col("share").cast("double").alias("share"))
-    wanted = wanted.groupBy(dimension).agg(F.sum("share").alias("share"))
+    wanted = wanted.groupBy(dimension).agg(exact_sum(F.col("share")).alias("share"))
     both = now.join(wanted, dimension, "left")
     # Sums over all values as one row; a dimension's values are a table of the size of the targets.
-    sums = both.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("given"), F.sum(F.when(F.col("share").isNull(), F.col("n")).otherwise(0.0)).alias("free"))
+    sums = both.agg(F.coalesce(exact_sum(F.col("share")), F.lit(0.0)).alias("given"), F.sum(F.when(F.col("share").isNull(), F.col("n")).otherwise(0.0)).alias("free"))
     r = sums.first()
     given, free = float(r["given"] or 0.0), float(r["free"] or 0.0)
-    left = max(0.0, 1.0 - given) if free > 0 else 0.0
+    left = 1.0 - given if free > 0 and 1.0 - given >= CLOSE else 0.0
     total = given + left
     if total <= 0:
         return shares(cells, dimension, None)
@@ -54,7 +65,7 @@ def shares(cells: DataFrame, dimension: str, targets: DataFrame | None) -> DataF
     return both.select(dimension, (fair / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame], rounds: int = 50, close: float = 1e-12) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame], rounds: int = 50, close: float = CLOSE) -> tuple[DataFrame, float]:
     """cells: the dimensions and `n`. The cells with `weight`, and how far a share is from its target at most. Shares that no weights
     can meet (a value found only with one whose target is zero) leave a distance; the weights of the last round are given."""
     total = cells.agg(F.sum("n")).first()[0] or 0.0
@@ -66,7 +77,7 @@ def rake(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame],
     for _ in range(rounds):
         off = []
         for d in dimensions:
-            present = F.sum(F.col("share") * F.col("weight")).over(Window.partitionBy(d))
+            present = F.sum((F.col("share") * F.col("weight")).cast("decimal(38,24)")).over(Window.partitionBy(d)).cast("double")
             frame = frame.withColumn("present", present).withColumn(f"off_{d}", F.abs(F.col("present") - F.col(f"target_{d}")))
             off.append(F.max(f"off_{d}"))
             frame = frame.withColumn("weight", F.when(F.col("present") > 0, F.col("weight") * F.col(f"target_{d}") / F.col("present")).otherwise(0.0)).drop("present")
@@ -81,13 +92,15 @@ def rake(cells: DataFrame, dimensions: list[str], targets: dict[str, DataFrame],
 def calibrated(cells: DataFrame, rate: float, rounds: int = 30) -> float:
     """c such that the sum of n * min(1, c * weight) is `rate` of all n, or as near as can be."""
     total = cells.agg(F.sum("n")).first()[0] or 0.0
+    share = F.col("n") / F.lit(float(total) or 1.0)
     c = float("inf")
     for _ in range(rounds):
         full = (F.col("weight") * F.lit(c) >= 1) if c != float("inf") else F.lit(False)
-        r = cells.agg(F.sum(F.when(full, F.col("n")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("n") * F.col("weight"))).alias("rest")).first()
+        sums = [exact_sum(F.when(full, share).otherwise(0.0)).alias("full"), exact_sum(F.when(full, 0.0).otherwise(share * F.col("weight"))).alias("rest")]
+        r = cells.agg(*sums).first()
         if not r["rest"]:
             break
-        new = max(0.0, rate * float(total) - float(r["full"])) / float(r["rest"])
+        new = max(0.0, rate - float(r["full"])) / float(r["rest"])
         if c != float("inf") and abs(new - c) <= 1e-12 * c:
             break
         c = new
@@ -103,15 +116,15 @@ def mixed(
     doc_id: str = "doc_id",
     seed: str = "mix",
     rounds: int = 50,
-    close: float = 1e-12,
+    close: float = CLOSE,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The rows of `docs` (columns `keep`, default all) with the dimensions' values, mix_tokens, mix_probability, mix_weight and
     mix_picked. Targets are (value, share) for each dimension, or told from the cells (mix_<dimension>, n).
 
     A null value of a dimension is a value of its own (shown as ∅). Rows without tokens count nothing and are told like others of
-    their cell; a cell without tokens has probability 0, as has one whose target is zero. Repeated rows share a decision. Columns
-    of docs with the names that are added are replaced."""
+    their cell; a cell without tokens has probability and weight 0, as has one whose target, or whose probability but for `CLOSE`, is zero. Repeated
+    rows share a decision. Columns of docs with the names that are added are replaced; others may have any name."""
     names = [f"mix_{d}" for d in dimensions]
     fresh = [*names, "mix_tokens", "mix_probability", "mix_weight", "mix_picked"]
     kept = [c for c in (keep or docs.columns) if c not in fresh]
@@ -122,15 +135,21 @@ def mixed(
     raked, _ = rake(cells, names, wanted, rounds, close)
     raked = pinned(raked, "mix_weights")
     c = calibrated(raked, rate)
-    told = raked.select(*names, F.least(F.lit(1.0), F.col("weight") * F.lit(c)).alias("mix_probability"), (F.col("weight") * F.lit(c)).alias("wanted"))
-    rows = docs.select(*[F.col(k) for k in kept], *values, tokens.alias("mix_tokens"), fraction(F.col(doc_id), seed).alias("mix_fraction"))
-    rows = rows.join(told, names, "left").withColumn("mix_probability", F.coalesce("mix_probability", F.lit(0.0)))
-    weight = F.when(F.col("mix_probability") > 0, F.col("wanted") / F.col("mix_probability")).otherwise(0.0)
-    return rows.select(*kept, *names, "mix_tokens", "mix_probability", weight.alias("mix_weight"), (F.col("mix_fraction") < F.col("mix_probability")).alias("mix_picked"))
+    chance = F.col("weight") * F.lit(c)
+    told = raked.select(*names, F.when(chance >= CLOSE, chance).otherwise(0.0).alias("chance"))
+    row = F.struct(*([F.col(f"`{k}`") for k in kept] or [F.lit(0).alias("none")]))
+    rows = docs.select(row.alias("row"), *values, tokens.alias("mix_tokens"), fraction(F.col(doc_id), seed).alias("fraction"))
+    rows = rows.join(told, names, "left").withColumn("chance", F.coalesce("chance", F.lit(0.0)))
+    added = {
+        "mix_probability": F.least(F.lit(1.0), "chance"),
+        "mix_weight": F.when(F.col("chance") > 0, F.greatest(F.lit(1.0), "chance")).otherwise(0.0),
+        "mix_picked": F.col("fraction") < F.least(F.lit(1.0), "chance"),
+    }
+    return rows.select(*[F.col(f"row.`{k}`").alias(k) for k in kept], *names, "mix_tokens", *[v.alias(k) for k, v in added.items()])
 
 
 def topic(text: Column) -> Column:
-    """What a text is about, as far as its form tells."""
+    """What a text is about, as far as its form tells: a stand-in by marks for a topic model, which `mixed` takes as any other column."""
     return (
         F.when(text.isNull() | (text == ""), "empty")
         .when(text.contains("icense"), "license")
@@ -175,7 +194,7 @@ def oracle(table: str = "documents", rate: float = 0.5, seed: str = "mix", round
             "SELECT source, n, pow(n, " + str(EVEN) + ") / sum(pow(n, " + str(EVEN) + ")) OVER () AS share FROM (SELECT source, sum(n) AS n FROM cells GROUP BY 1)"
         )
         return f"""t_{name} AS (SELECT {name}, CASE WHEN given + rest <= 0 THEN n / sum(n) OVER () ELSE coalesce(share, n * rest / free) / (given + rest) END AS target
-    FROM (SELECT *, CASE WHEN free > 0 THEN greatest(0, 1 - given) ELSE 0 END AS rest FROM (
+    FROM (SELECT *, CASE WHEN free > 0 AND 1 - given >= {CLOSE} THEN 1 - given ELSE 0 END AS rest FROM (
         SELECT *, coalesce(sum(share) OVER (), 0)::DOUBLE AS given, sum(CASE WHEN share IS NULL THEN n ELSE 0 END) OVER ()::DOUBLE AS free FROM ({given}))))"""
 
     return f"""
@@ -202,6 +221,6 @@ step AS (SELECT k, w, greatest(0, {rate} * sum(n) OVER () - coalesce(sum(n) OVER
         / sum(n * w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM final),
 cal AS (SELECT coalesce((SELECT c FROM step WHERE c * w < 1 ORDER BY k LIMIT 1), 1.0) AS c)
 SELECT f.doc_id, f.source AS mix_source, f.lang AS mix_lang, f.topic AS mix_topic, f.tokens AS mix_tokens,
-    coalesce(least(1.0, w * c), 0.0)::DOUBLE AS mix_probability, (CASE WHEN w * c > 0 THEN greatest(1.0, w * c) ELSE 0 END)::DOUBLE AS mix_weight,
-    ('0x' || substr(md5(coalesce(f.doc_id::VARCHAR, '') || '-{seed}'), 1, 12))::BIGINT / 281474976710656.0 < coalesce(least(1.0, w * c), 0.0) AS mix_picked
+    (CASE WHEN w * c >= {CLOSE} THEN least(1.0, w * c) ELSE 0 END)::DOUBLE AS mix_probability, (CASE WHEN w * c >= {CLOSE} THEN greatest(1.0, w * c) ELSE 0 END)::DOUBLE AS mix_weight,
+    ('0x' || substr(md5(coalesce(f.doc_id::VARCHAR, '') || '-{seed}'), 1, 12))::BIGINT / 281474976710656.0 < (CASE WHEN w * c >= {CLOSE} THEN least(1.0, w * c) ELSE 0 END) AS mix_picked
 FROM f CROSS JOIN cal LEFT JOIN final USING (source, lang, topic)"""

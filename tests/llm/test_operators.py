@@ -340,6 +340,21 @@ def test_mixture(spark, messy):
     assert [c for c in whole.columns if not c.startswith("mix_")] == [c for c in messy.columns if c != "mix_picked"]
 
 
+def test_mixture_in_any_order(spark, messy):
+    """Targets and rows in any order give the same rows to the last bit, and a whole given share leaves others nothing."""
+    held = [("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1)]
+    docs = messy.drop("mix_picked").withColumns({"mix_fraction": F.lit(1), "wanted": F.lit("w"), "a.b": F.lit(2), "chance": F.lit(3), "fraction": F.lit(4)})
+    seen = set()
+    for i, order in enumerate([(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)]):
+        targets = {"lang": spark.createDataFrame([held[k] for k in order], "value string, share double").repartition(1 + i)}
+        got = mixing.mixed(docs.repartition(1 + 2 * i), {"lang": F.col("lang"), "kind": mixing.topic(F.col("text"))}, targets, mixing.n_words(F.col("text")), rounds=4)
+        assert got.columns == [*docs.columns, "mix_lang", "mix_kind", "mix_tokens", "mix_probability", "mix_weight", "mix_picked"]
+        rows = got.collect()
+        assert all(r["mix_probability"] == r["mix_weight"] == 0 for r in rows if r["mix_lang"] == mixing.MISSING)
+        seen.add(str(sorted(map(tuple, rows), key=str)))
+    assert len(seen) == 1
+
+
 def test_shares_meet_targets(spark):
     rows = [(i, f"s{i % 3}", "xy"[i % 7 == 0], 1 + i % 5) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, kind string, n int")
