@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.common import identity
 from readlake.llm.words import GAPS, chunks, column, tables
+from readlake.operators import ranking
 from readlake.session import pinned
 
 #: Bits of a term's hash that say whether some item may hold it.
@@ -53,8 +54,8 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
                 cols = [*named, pa.array(term.view(np.int64)), pa.array(copies)]
                 yield pa.RecordBatch.from_arrays(cols, names=["item_id", "item_key", "term", "copies"])
 
-    each = identity(items, item_id, text).dropDuplicates(["doc_id", "text_key"])
-    return each.mapInArrow(run, "item_id long, item_key long, term long, copies long")
+    each = identity(items, item_id, text).mapInArrow(run, "item_id long, item_key long, term long, copies long")
+    return each.dropDuplicates(["item_id", "item_key", "term"])
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -175,27 +176,21 @@ def shared_plan(items: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[
     }
 
 
-def _plans(block_terms: int):
-    """Items of a task, in order, as blocks of about so many terms."""
+def _mined(table: pa.Table) -> pa.Table:
+    """The plan of a block of items."""
+    rows = table.to_pylist()
+    held = [(np.array(r["terms"], dtype=np.int64).view(np.uint64), np.array(r["copies"], dtype=np.int64), np.array(r["weights"], dtype=np.int64)) for r in rows]
+    plan = {"ids": [r["item_id"] for r in rows], "keys": [r["item_key"] for r in rows], **shared_plan(held)}
+    return pa.table({"plan": pa.array([pickle.dumps(plan)], type=pa.binary())})
 
-    def mined(rows: list[dict]) -> pa.RecordBatch:
-        held = [(np.array(r["terms"], dtype=np.int64).view(np.uint64), np.array(r["copies"], dtype=np.int64), np.array(r["weights"], dtype=np.int64)) for r in rows]
-        plan = {"ids": [r["item_id"] for r in rows], "keys": [r["item_key"] for r in rows], **shared_plan(held)}
-        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plan)], type=pa.binary())], names=["plan"])
 
-    def run(batches):
-        rows, size = [], 0
-        for table in tables(batches):
-            for row in table.to_pylist():
-                rows.append(row)
-                size += sum(row["copies"])
-                if size >= block_terms:
-                    yield mined(rows)
-                    rows, size = [], 0
-        if rows:
-            yield mined(rows)
-
-    return run
+def plans(lists: DataFrame, block_terms: int) -> DataFrame:
+    """(plan): items (item_id, item_key, lead, size, terms, copies, weights) in the order of `lead`, in blocks of about `block_terms` terms, a block's
+    plan each. Where a block begins is told by a running sum over sizes, slice by slice of `lead`."""
+    sizes = ranking.running(lists.select("item_id", "item_key", "lead", "size"), [], F.shiftright("lead", 54), ["lead", "item_key", "item_id"], {"upto": F.col("size")}, inclusive=False)
+    block = sizes.select(F.col("item_id").alias("_id"), F.col("item_key").alias("_key"), F.floor(F.col("upto") / block_terms).alias("block"))
+    dealt = lists.join(block, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item_key") == F.col("_key")))
+    return dealt.select("block", "item_id", "item_key", "terms", "copies", "weights").groupBy("block").applyInArrow(_mined, "plan binary")
 
 
 def accumulated(plan: dict, size: np.ndarray, many: np.ndarray, terms: np.ndarray, times: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
@@ -317,10 +312,7 @@ def ranked(
     one = F.struct("term", "copies", "weight")
     lists = known.groupBy("item_id", "item_key").agg(F.sort_array(F.collect_list(one)).alias("all"), F.min("term").alias("lead"), F.sum("copies").alias("size"))
     lists = pinned(lists.select("item_id", "item_key", "lead", "size", *[F.col(f"all.{x}").alias(y) for x, y in (("term", "terms"), ("copies", "copies"), ("weight", "weights"))]), "items")
-    blocks = int((lists.agg(F.sum("size")).first()[0] or 0) // block_terms) + 1
-    # Items that share their first term stand beside each other.
-    dealt = lists.repartitionByRange(blocks, "lead", "item_key").sortWithinPartitions("lead", "item_key")
-    plans = pinned(dealt.drop("lead", "size").mapInArrow(_plans(block_terms), "plan binary"), "plans")
+    mined = pinned(plans(lists, block_terms), "plans")
     place = F.row_number().over(Window.partitionBy("item_id", "item_key").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
 
     def answered(plan: bytes) -> DataFrame:
@@ -328,7 +320,7 @@ def ranked(
         return found.withColumn("rank", place).filter(F.col("rank") <= k).select("item_id", "item_key", "rank", "doc_id", "score")
 
     # One plan at a time: the driver never holds more than a block of the items.
-    out = [pinned(answered(bytes(r["plan"])), "ranked") for r in plans.toLocalIterator()]
+    out = [pinned(answered(bytes(r["plan"])), "ranked") for r in mined.toLocalIterator()]
     if not out:
         return docs.sparkSession.createDataFrame([], "item_id long, item_key long, rank int, doc_id long, score long")
     return reduce(DataFrame.unionByName, out)
