@@ -238,10 +238,3 @@ def parts(df: DataFrame, key: str, text: str, max_tokens: int) -> DataFrame:
 def stale_documents(documents: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     """Documents whose digest or embedding model is not the indexed one: only these are cut again."""
     return documents.join(indexed.select(key, "digest", "model"), [key, "digest", "model"], "left_anti")
-
-
-def reindexed(chunks: DataFrame, fresh: DataFrame, key: str, rebuilt: DataFrame | None = None) -> DataFrame:
-    """The index after a run: the rebuilt documents' passages in place of their old ones, also where none is left."""
-    from readlake.operators.merge import replace_by_parent
-
-    return replace_by_parent(chunks, fresh, key, rebuilt)

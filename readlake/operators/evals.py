@@ -103,6 +103,125 @@ def labels_found(labels: DataFrame, flow: DataFrame, doc: str) -> DataFrame:
     return rows.select(doc, "label_id", times.cast("int").alias("times"))
 
 
+# ---- how well pages were cleaned, against labels
+
+#: Labels whose place on the page a reader opens.
+PLACED = ("ABSTRACT", "SECTION_HEADING", "BODY", "LIST", "QUOTE", "CAPTION", "FOOTNOTE")
+
+
+def _documents(flow: DataFrame, side: DataFrame, doc: str) -> DataFrame:
+    """One row a document: its blocks in the flow and its side store in order, normalised, and the whole flow as it is."""
+    blocks = flow.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t"), F.col("text").alias("raw"), "boxes"))).alias("_flow"))
+    kept = side.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", "type", norm(F.col("text")).alias("t")))).alias("_side"))
+    return blocks.join(kept, doc, "full")
+
+
+def _times(block: Column, text: Column) -> Column:
+    return ((F.length(block) - F.length(F.replace(block, text, F.lit("")))) / F.greatest(F.length(text), F.lit(1))).cast("int")
+
+
+def judged_labels(labels: DataFrame, flow: DataFrame, side: DataFrame, doc: str, titles: DataFrame | None = None) -> DataFrame:
+    """Each label (doc, label_id, type, group, text, whole, max_in_flow) with in_flow, how often it stands in the flow, and in_side, the type it was
+    filed under. `whole`: only a block that is the label counts. A title shown above the text (titles: doc, title) counts as in the flow;
+    `max_in_flow` places of a label that is not of the main text are allowed. A document's labels meet its blocks as one row."""
+    packed = labels.withColumn("_l", norm(F.col("text"))).groupBy(doc).agg(F.collect_list(F.struct("label_id", "type", "group", "text", "_l", "whole", "max_in_flow")).alias("_labels"))
+    rows = packed.join(_documents(flow, side, doc), doc, "left")
+    rows = rows.join(titles.select(doc, norm(F.col("title")).alias("_title")), doc, "left") if titles is not None else rows.withColumn("_title", F.lit(""))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    rows = rows.withColumn("_flow", none(F.col("_flow"), rows.schema["_flow"].dataType)).withColumn("_side", none(F.col("_side"), rows.schema["_side"].dataType))
+
+    def judged(x: Column) -> Column:
+        whole = F.coalesce(x["whole"], F.lit(False))
+        found = F.aggregate("_flow", F.lit(0), lambda n, b: n + F.when(whole, (b["t"] == x["_l"]).cast("int")).otherwise(_times(b["t"], x["_l"])))
+        title = (x["type"] == "TITLE") & (found == 0) & F.coalesce(F.contains(F.col("_title"), x["_l"]), F.lit(False))
+        found = F.when(title, 1).otherwise(found)
+        found = F.when(x["group"] == "MAIN", found).otherwise(F.greatest(found - F.coalesce(x["max_in_flow"], F.lit(0)), F.lit(0)))
+        filed = F.filter("_side", lambda b: F.when(whole, b["t"] == x["_l"]).otherwise(F.contains(b["t"], x["_l"])))
+        named = [x[c].alias(c) for c in ("label_id", "type", "group", "text")]
+        return F.struct(*named, F.when(F.length(x["_l"]) > 0, found).otherwise(0).alias("in_flow"), F.when(F.length(x["_l"]) > 0, F.get(filed, F.lit(0))["type"]).alias("in_side"))
+
+    return rows.select(doc, F.explode(F.transform("_labels", judged)).alias("x")).select(doc, "x.*")
+
+
+def judged_pairs(pairs: DataFrame, flow: DataFrame, doc: str) -> DataFrame:
+    """Each pair (doc, a, b, next) with result: ok where a's first place in the flow is before b's (for `next`: in the block before, or before
+    it in one block), wrong, or missing where one of them is not found."""
+    packed = pairs.groupBy(doc).agg(F.collect_list(F.struct("a", "b", "next")).alias("_pairs"))
+    rows = packed.join(flow.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t")))).alias("_flow")), doc, "left")
+
+    def place(text: Column) -> Column:
+        at = F.transform("_flow", lambda b, i: F.struct(i.alias("block"), F.call_function("locate", norm(text), b["t"]).alias("at")))
+        return F.get(F.filter(at, lambda x: x["at"] > 0), F.lit(0))
+
+    def judged(p: Column) -> Column:
+        a, b = place(p["a"]), place(p["b"])
+        after = (a["block"] < b["block"]) | ((a["block"] == b["block"]) & (a["at"] < b["at"]))
+        follows = (b["block"] == a["block"] + 1) | ((a["block"] == b["block"]) & (a["at"] < b["at"]))
+        right = F.when(F.coalesce(p["next"], F.lit(False)), follows).otherwise(after)
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), p["next"].alias("next"), F.when(a.isNull() | b.isNull(), "missing").when(right, "ok").otherwise("wrong").alias("result"))
+
+    return rows.select(doc, F.explode(F.transform("_pairs", judged)).alias("x")).select(doc, "x.*")
+
+
+def judged_words(broken: DataFrame, flow: DataFrame, doc: str) -> DataFrame:
+    """Each word a page breaks at a line's end but prints whole elsewhere (doc, a, b: its halves) with rejoined: whether the flow no longer
+    has it in two."""
+    packed = broken.groupBy(doc).agg(F.collect_set(F.struct("a", "b")).alias("_words"))
+    rows = packed.join(flow.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), "\n").alias("_all")), doc, "left")
+    cut = lambda w: F.rlike(F.coalesce("_all", F.lit("")), F.concat(w["a"], F.lit("[-­]\\s*"), w["b"]))
+    return rows.select(doc, F.explode(F.transform("_words", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), (~cut(w)).alias("rejoined")))).alias("x")).select(doc, "x.*")
+
+
+def judged_places(labels: DataFrame, flow: DataFrame, printed: DataFrame, doc: str) -> DataFrame:
+    """Each placed label found in the flow with result: ok where a box of its first block lies over a place where the page prints the words
+    (printed: doc, label_id, page, x, y, w, h), wrong, no box, or unmeasured where nothing is known to print them."""
+    placed = labels.filter(F.col("type").isin(*PLACED)).withColumn("_l", norm(F.col("text"))).filter("length(_l) > 0")
+    blocks = flow.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t"), "boxes"))).alias("_flow"))
+    rows = placed.groupBy(doc).agg(F.collect_list(F.struct("label_id", "type", "_l")).alias("_labels")).join(blocks, doc)
+    first = lambda x: F.get(F.filter("_flow", lambda b: F.contains(b["t"], x["_l"])), F.lit(0))
+    found = rows.select(doc, F.explode(F.transform("_labels", lambda x: F.struct(x["label_id"].alias("label_id"), x["type"].alias("type"), first(x).alias("block")))).alias("x"))
+    found = found.select(doc, "x.label_id", "x.type", "x.block.boxes", "x.block").filter("block is not null").drop("block")
+    hits = printed.groupBy(doc, "label_id").agg(F.collect_list(F.struct("page", "x", "y", "w", "h")).alias("_hits"))
+    over = lambda a, b, c, d: (a[c] < b[c] + b[d]) & (b[c] < a[c] + a[d])
+    right = F.exists("boxes", lambda b: F.exists("_hits", lambda h: (b["page"] == h["page"]) & over(b, h, "x", "w") & over(b, h, "y", "h")))
+    result = F.when(F.col("_hits").isNull(), "unmeasured").when(F.coalesce(F.size("boxes"), F.lit(0)) <= 0, "no box").when(right, "ok").otherwise("wrong")
+    return found.join(hits, [doc, "label_id"], "left").select(doc, "label_id", "type", result.alias("result"))
+
+
+def cleaning_shares(labels: DataFrame, pairs: DataFrame, checks: DataFrame, words: DataFrame, places: DataFrame, group_of: Column) -> DataFrame:
+    """(measure, hit, of, rate): the eleven measures of how pages were cleaned, in one pass over the judged rows. `group_of`: the group of the type
+    in `in_side`. checks: (…, ok)."""
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def told(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        every = {"group": none("string"), "in_flow": none("int"), "filed": none("string"), "ok": none("boolean"), "known": F.lit(True)} | columns
+        return df.select(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in every.items()])
+
+    rows = told(labels, "label", group=F.col("group"), in_flow=F.col("in_flow"), filed=group_of)
+    rows = rows.unionByName(told(pairs, "pair", ok=F.col("result") == "ok", known=F.col("result") != "missing"))
+    rows = rows.unionByName(told(checks, "check", ok=F.col("ok"))).unionByName(told(words, "word", ok=F.col("rejoined")))
+    rows = rows.unionByName(told(places, "place", ok=F.col("result") == "ok", known=F.col("result") != "unmeasured"))
+    is_label, group, flow, ok = F.col("kind") == "label", F.col("group"), F.col("in_flow"), F.coalesce("ok", F.lit(False))
+    of = lambda g: is_label & (group == g)
+    filed = is_label & F.col("filed").isNotNull()
+    kind = lambda k: (F.col("kind") == k) & F.col("known")
+    return shares(
+        rows,
+        main_kept=(of("MAIN"), flow > 0),
+        furniture_suppressed=(of("FURNITURE"), flow == 0),
+        figure_text_suppressed=(of("FIGURE_TEXT"), flow == 0),
+        metadata_separated=(of("METADATA"), flow == 0),
+        supplementary_separated=(of("SUPPLEMENTARY"), flow == 0),
+        kept_somewhere=(is_label & group.isin("METADATA", "SUPPLEMENTARY", "FURNITURE"), (flow > 0) | filed),
+        reading_order=(kind("pair"), ok),
+        # A main label printed as something else too (the title in the running header) is no error of typing.
+        typed_right=(filed & ((group != "MAIN") | (flow == 0)), F.col("filed") == group),
+        checks=(kind("check"), ok),
+        words_rejoined=(kind("word"), ok),
+        provenance=(kind("place"), ok),
+    )
+
+
 def order_right(places: DataFrame, pairs: DataFrame, doc: str) -> DataFrame:
     """Pairs (a before b) whose first places in the flow are in that order; `next` pairs must be neighbours."""
     at = lambda n: places.select(doc, F.col("label_id").alias(n), F.col("place").alias(f"_{n}"))

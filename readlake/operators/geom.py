@@ -17,6 +17,11 @@ def _cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> Dat
     return across.withColumn("_cy", F.explode(F.sequence(at(y0), at(y1))))
 
 
+def in_cells(df: DataFrame, x: str, y: str, w: str, h: str) -> DataFrame:
+    """One row per grid cell (_cx, _cy) that a box given by its corner and size touches."""
+    return _cells(df, F.col(x), F.col(y), F.col(x) + F.col(w), F.col(y) + F.col(h))
+
+
 def same_area(a: DataFrame, b: DataFrame, at: list[str]) -> DataFrame:
     """Pairs of rectangle sets on one page covering mostly the same area. `a` has id_a, `b` id_b, both x, y, w,
     h. Boxes meet only where they share a grid cell; each pair of boxes is counted in one of its cells."""

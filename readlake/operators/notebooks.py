@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions import text as X
+from readlake.operators.anchors import sentence_around
 from readlake.operators.highlights import common_notebooks
 from readlake.operators.merge import join_notes
 from readlake.operators.ranking import newest_per_key, numbered
@@ -135,6 +136,40 @@ def source_groups(sources: DataFrame) -> DataFrame:
     return firsts
 
 
+def _sliced(sources: DataFrame, at: list[str], most: int, fields: list[str]) -> DataFrame:
+    """(at, slice, sources): each group's sources in the order of their numbers, `most` in a row, counted slice by slice of the numbers, so
+    that no group is gathered in one task."""
+    numbered_ = numbered(sources, at, F.floor(F.col("number") / most), [F.col("number")], "_n")
+    cut = numbered_.withColumn("slice", F.floor((F.col("_n") - 1) / most).cast("int"))
+    return cut.groupBy(*at, "slice").agg(F.array_sort(F.collect_list(F.struct("number", *fields))).alias("sources"))
+
+
+def group_sources(sources: DataFrame, most: int = 1000, fields: tuple = ("highlight_id",)) -> DataFrame:
+    """(notebook_id, document_id, first_number, slice, sources): the sources themselves of each group, in order, in slices of `most`. Groups go by
+    first_number, slices by their own number."""
+    at = ["notebook_id", "document_id"]
+    first = sources.groupBy(*at).agg(F.min("number").alias("first_number"))
+    return _sliced(sources, at, most, list(fields)).join(first, at)
+
+
+def paragraph_sentences(sources: DataFrame, most: int = 1000) -> DataFrame:
+    """(notebook_id, document_id, paragraph, slice, sources): sources that share a paragraph, as an ordered array of number, highlight_id and the
+    sentence its words stand in. `sources` carries paragraph, paragraph_text and selected_text."""
+    at = ["notebook_id", "document_id", "paragraph"]
+    told = sources.filter(F.col("paragraph").isNotNull()).withColumn("sentence", sentence_around(F.col("paragraph_text"), F.col("selected_text")))
+    several = told.groupBy(*at).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*at)
+    return _sliced(told.join(several, at), at, most, ["highlight_id", "sentence"])
+
+
+def partners(sources: DataFrame, most: int = 1000) -> DataFrame:
+    """(notebook_id, document_id, paragraph, number, highlight_id, partners): for each source that shares a paragraph the others of its slice, with
+    their sentences: all of them in a paragraph of up to `most` sources, else its neighbours, the rest being in `paragraph_sentences`."""
+    rows = paragraph_sentences(sources, most)
+    each = rows.withColumn("one", F.explode("sources"))
+    others = F.filter("sources", lambda s: s["number"] != F.col("one.number"))
+    return each.select("notebook_id", "document_id", "paragraph", F.col("one.number").alias("number"), F.col("one.highlight_id").alias("highlight_id"), others.alias("partners"))
+
+
 def scope_problems(rows: DataFrame, collection: str | None = None) -> DataFrame:
     """Per notebook: whether its highlights come from one document, or all from the named shelf's documents."""
     docs = rows.groupBy("notebook_id").agg(

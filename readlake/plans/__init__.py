@@ -2,9 +2,11 @@
 
 from readlake.plans import (  # noqa: F401
     anchor_plans,
+    cleaning_plans,
     layout_plans,
     library_plans,
     notebook_plans,
+    page_view_plans,
     result_plans,
     retrieval_plans,
     search_plans,

@@ -348,11 +348,20 @@ def _(t):
     return C.chart_text(charts(t), "vec_id")
 
 
-@query("chart_series_names")
+@query("chart_series_names", """
+WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS n, first_value(l_partkey % 50) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS c FROM lineitem),
+h AS (SELECT f, n, substr(md5(c::VARCHAR), 1, 6) AS c FROM s), g AS (SELECT o_orderkey AS f, substr(md5((o_custkey % 50)::VARCHAR), 1, 6) AS c, o_orderstatus AS name FROM orders),
+p AS (SELECT h.f, h.n, g.c, g.name, greatest(abs(('0x' || substr(h.c, 1, 2))::INT - ('0x' || substr(g.c, 1, 2))::INT), abs(('0x' || substr(h.c, 3, 2))::INT - ('0x' || substr(g.c, 3, 2))::INT), abs(('0x' || substr(h.c, 5, 2))::INT - ('0x' || substr(g.c, 5, 2))::INT)) AS d FROM h JOIN g USING (f)),
+o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY d, n, c) AS rn FROM p WHERE d <= 24),
+r AS (SELECT f, 0::BIGINT AS rn, []::BIGINT[] AS ns, []::VARCHAR[] AS cs, NULL::VARCHAR AS name FROM (SELECT DISTINCT f FROM o) UNION ALL
+  SELECT o.f, o.rn, CASE WHEN ok THEN list_append(r.ns, o.n) ELSE r.ns END, CASE WHEN ok THEN list_append(r.cs, o.c) ELSE r.cs END, CASE WHEN ok THEN o.name END
+  FROM r JOIN (SELECT * FROM o) o ON o.f = r.f AND o.rn = r.rn + 1, LATERAL (SELECT NOT list_contains(r.ns, o.n) AND NOT list_contains(r.cs, o.c) AS ok))
+SELECT name, count(*) AS n FROM (SELECT name FROM r WHERE name IS NOT NULL UNION ALL SELECT '' FROM s LEFT JOIN (SELECT f, unnest(ns) AS n FROM r QUALIFY row_number() OVER (PARTITION BY f ORDER BY rn DESC) = 1) k ON k.f = s.f AND k.n = s.n WHERE k.n IS NULL) GROUP BY 1""")
 def _(t):
     hue = lambda c: F.concat(F.lit("#"), F.substring(F.md5(c.cast("string")), 1, 6))
-    series = t.lineitem.select(F.col("l_orderkey").cast("string").alias("figure"), F.col("l_linenumber").alias("series"), hue(F.col("l_partkey") % 50).alias("color"))
-    series = series.dropDuplicates(["figure", "series"])
+    first = F.min(F.struct("_k", "color"))["color"].alias("color")
+    series = t.lineitem.select(F.col("l_orderkey").cast("string").alias("figure"), F.col("l_linenumber").alias("series"), F.struct("l_partkey", "l_suppkey").alias("_k"), hue(F.col("l_partkey") % 50).alias("color"))
+    series = series.groupBy("figure", "series").agg(first)
     legend = t.orders.select(F.col("o_orderkey").cast("string").alias("figure"), hue(F.col("o_custkey") % 50).alias("color"), F.col("o_orderstatus").alias("name"))
     return C.series_names(series, legend).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -375,3 +384,96 @@ def _(t):
     axis = marks.select("figure").distinct().select("figure", F.lit("linear").alias("scale"), F.lit(2.0).alias("a"), F.lit(1.0).alias("b"))
     out = C.digitise(marks, axis, axis)
     return out.groupBy("figure", "series").agg(F.count(F.lit(1)).alias("points"), F.max("x").alias("x"), F.max("y").alias("y"))
+
+
+# ---- places and pictures of a page
+
+
+EDGES = ITEMS + """
+, e AS (SELECT doc_id, page, ord, md5(text) AS m, (length(text) * 7) % 760 AS y0, (length(text) * 13) % 560 AS x0, length(text) % 320 AS h, 6.0 + length(text) % 6 AS size, (doc_id + page * 3 + ord) % 6 AS c FROM items),
+f AS (SELECT *, y0 + h AS y1, x0 + length(m) AS x1, CASE WHEN m < '4' THEN 'turned' ELSE 'text' END AS kind, CASE c WHEN 0 THEN '© 2020 ' || m WHEN 1 THEN '* Corresponding author: ' || m || '@b.org' WHEN 2 THEN '* Equal contribution ' || m
+  WHEN 3 THEN 'See ' || m || '. Correspondence to: Ann <a@b.org>. End' ELSE m END AS text FROM e),
+g AS (SELECT *, c = 3 AS cut, CASE WHEN c = 3 THEN 'See ' || m || '. End' ELSE text END AS said FROM f),
+r AS (SELECT *, CASE WHEN kind = 'turned' AND h >= 200 AND (x1 < 72 OR x0 > 528) THEN 'WATERMARK' WHEN c = 0 AND (y0 > 640 OR y1 < 80) THEN 'PUBLISHER_INFO' WHEN c = 1 AND size < 9.5 AND y0 > 480 THEN 'AUTHORS' END AS role FROM g)
+SELECT doc_id, page, ord, role, CASE WHEN role IS NULL AND c IN (1, 2) AND size < 9.5 AND y0 > 480 THEN 'note' ELSE kind END AS kind, md5(said) AS text, CASE WHEN cut THEN 1 ELSE 0 END AS contacts FROM r"""
+
+
+@query("layout_edge_roles", EDGES)
+def _(t):
+    n, m, c = F.length("text"), F.md5("text"), (F.col("doc_id") + F.col("page") * 3 + F.col("ord")) % 6
+    text = (
+        F.when(c == 0, F.concat(F.lit("© 2020 "), m)).when(c == 1, F.concat(F.lit("* Corresponding author: "), m, F.lit("@b.org"))).when(c == 2, F.concat(F.lit("* Equal contribution "), m))
+        .when(c == 3, F.concat(F.lit("See "), m, F.lit(". Correspondence to: Ann <a@b.org>. End"))).otherwise(m)
+    )
+    num = lambda v: v.cast("double")
+    rows = items(t).withColumns({"_y": num((n * 7) % 760), "_x": num((n * 13) % 560), "_h": num(n % 320), "size": 6.0 + n % 6, "kind": F.when(m < "4", "turned").otherwise("text"), "_t": text, "body_size": F.lit(10.0)})
+    rows = rows.withColumns({"x0": F.col("_x"), "y0": F.col("_y"), "x1": F.col("_x") + 32, "y1": F.col("_y") + F.col("_h"), "text": F.col("_t")})
+    return L.edge_roles(rows).select("doc_id", "page", "ord", "role", "kind", F.md5("text").alias("text"), F.size("contacts").alias("contacts"))
+
+
+@query("layout_ruled_tables", ITEMS + """
+, k AS (SELECT doc_id, page, md5(string_agg(text, '' ORDER BY ord)) AS m FROM items GROUP BY 1, 2),
+w AS (SELECT doc_id, page, caption, list_transform(range(6), lambda i: substr(m, i * 4 + caption, 4)) AS w FROM k, (VALUES (1), (2)) c(caption))
+SELECT doc_id, page, caption, '| H1 | H2 |' || chr(10) || '|---|---|' || chr(10) || CASE WHEN page % 3 = 0 THEN '| ' || w[1] || ' ' || w[4] || ' | ' || w[2] || ' ' || w[3] || ' ' || w[5] || ' ' || w[6] || ' |'
+  ELSE '| ' || w[1] || ' | ' || w[2] || ' ' || w[3] || ' |' || chr(10) || '| ' || w[4] || ' | ' || w[5] || ' ' || w[6] || ' |' END AS markdown FROM w""")
+def _(t):
+    """Two tables under each other on every page, with cells of two lines; on every third page nothing parts their rows."""
+    pages = items(t).groupBy("doc_id", "page").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")).alias("m"))
+    both = pages.withColumn("caption", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("top", F.col("caption") * 100.0)
+    page = [F.col("doc_id").cast("string").alias("doc_id"), "page"]
+    captions = both.select(*page, F.col("caption").alias("ord"), F.lit(60.0).alias("x0"), (F.col("top") - 10).alias("y0"), F.lit(240.0).alias("x1"), (F.col("top") - 2).alias("y1"))
+    rules = both.withColumn("d", F.explode(F.array(*map(F.lit, (0.0, 20.0, 80.0))))).select(*page, (F.col("top") + F.col("d")).alias("y"), F.lit(50.0).alias("x0"), F.lit(250.0).alias("x1"))
+    gap = F.when(F.col("page") % 3 == 0, 16.0).otherwise(28.0)
+    word = lambda i: F.substr("m", i * 4 + F.col("caption"), F.lit(4))
+    cell = lambda v, x, y: F.struct(v.alias("text"), F.lit(x).alias("x0"), (F.col("top") + y).alias("y0"))
+    cells = [cell(F.lit("H1"), 60.0, F.lit(5.0)), cell(F.lit("H2"), 160.0, F.lit(5.0)), cell(word(0), 60.0, F.lit(24.0)), cell(word(1), 160.0, F.lit(24.0)), cell(word(2), 160.0, F.lit(32.0)),
+             cell(word(3), 60.0, 24.0 + gap), cell(word(4), 160.0, 24.0 + gap), cell(word(5), 160.0, 32.0 + gap)]
+    spans = both.withColumn("s", F.explode(F.array(*cells))).select(*page, "s.*", (F.col("s.x0") + 40).alias("x1"), (F.col("s.y0") + 8).alias("y1"), F.lit(8.0).alias("size"))
+    out = L.tables(spans, L.ruled_tables(captions, rules))
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page", "caption", "markdown")
+
+
+@query("layout_figure_regions")
+def _(t):
+    """Every document's lines as labels and text around a drawing on each page."""
+    rows = items(t).withColumn("k", F.length("text"))
+    page = [F.col("doc_id").cast("string").alias("doc_id"), "page"]
+    drawn = rows.filter("ord = 1").select(*page, F.lit(0).alias("cluster"), F.lit(200.0).alias("x0"), F.lit(300.0).alias("y0"), (300.0 + F.col("k") % 150).alias("x1"), (350.0 + F.col("k") % 90).alias("y1"), (F.col("k") % 40).cast("bigint").alias("paths"), (F.col("k") % 2 == 0).alias("curvy"))
+    text = F.when(F.col("ord") == 0, F.concat(F.lit("Figure 1. "), "text")).otherwise(F.col("text"))
+    x, y = (150 + F.col("k") * 7 % 220).cast("double"), (250 + F.col("k") * 11 % 200).cast("double")
+    labels = rows.select(*page, text.alias("text"), x.alias("x0"), y.alias("y0"), (x + F.least("k", F.lit(120))).alias("x1"), (y + 9).alias("y1"), (6.0 + F.col("k") % 5).alias("size"), (F.col("k") > 45).alias("in_paragraph"), F.lit(10.0).alias("body_size"))
+    return L.figures(drawn, labels)
+
+
+@query("chart_panels_digitised", """
+WITH RECURSIVE f AS (SELECT s_suppkey AS figure FROM supplier),
+x AS (SELECT figure, k AS axis, 100.0 + 300 * (k % 2) AS "first", 300.0 + 300 * (k % 2) AS "last", 200.0 + 200 * (k // 2) + (k % 2) * (figure % 7) AS "row", row_number() OVER (PARTITION BY figure ORDER BY k) AS n FROM f, range(4) r(k) WHERE NOT (k = 3 AND figure % 5 = 0)),
+y AS (SELECT figure, j AS axis, 90.0 + 300 * (j % 2) - (figure * (j + 1)) % 30 AS "right", 50.0 + 200 * (j // 2 % 2) AS "first", 190.0 + 200 * (j // 2 % 2) - (figure + j) % 20 AS "last" FROM f, range(6) r(j)),
+c AS (SELECT x.figure, x.n, x.axis AS x, y.axis AS y, (x."row" - y."last") + (x."first" - y."right") AS far FROM x JOIN y USING (figure) WHERE y."right" <= x."first" + 4 AND x."first" - y."right" <= 45 AND x."row" - y."last" BETWEEN -4 AND 45),
+g AS (SELECT figure, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS x, NULL::BIGINT AS y FROM f UNION ALL
+  SELECT g.figure, g.n + 1, CASE WHEN b.y IS NULL THEN g.used ELSE list_append(g.used, b.y) END, b.x, b.y FROM g LEFT JOIN LATERAL (SELECT arg_min(c.y, (c.far, c.y)) AS y, any_value(c.x) AS x FROM c WHERE c.figure = g.figure AND c.n = g.n + 1 AND NOT list_contains(g.used, c.y)) b ON TRUE WHERE g.n < 4),
+p AS (SELECT g.figure, row_number() OVER (PARTITION BY g.figure ORDER BY g.n) - 1 AS panel, g.x, g.y, y."right" + 1 AS x0, y."first" - (y."last" - y."first") / 4 * 0.6 AS y0, x."last" + (x."last" - x."first") / 4 * 0.6 AS x1, x."row" - 1 AS y1
+  FROM g JOIN x ON x.figure = g.figure AND x.axis = g.x JOIN y ON y.figure = g.figure AND y.axis = g.y),
+m AS (SELECT l_suppkey AS figure, l_linenumber AS series, 80.0 + (l_partkey * 37) % 560 AS px, 40.0 + (l_orderkey * 17) % 380 AS py FROM lineitem),
+i AS (SELECT p.figure, panel, series, px, py, p.x, p.y FROM m JOIN p ON p.figure = m.figure AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1),
+d AS (SELECT *, CASE WHEN abs(px - lag(px) OVER w) <= 1.2 AND abs(py - lag(py) OVER w) <= 1.2 THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY figure, panel, series ORDER BY px, py)),
+e AS (SELECT *, sum(new) OVER (PARTITION BY figure, panel, series ORDER BY px, py ROWS UNBOUNDED PRECEDING) AS k FROM d),
+v AS (SELECT figure, panel, series, k, avg(px) AS px, avg(py) AS py, any_value(x) AS x, any_value(y) AS y FROM e GROUP BY 1, 2, 3, 4)
+SELECT figure, panel, series, count(*) AS points, round(sum(px * (x + 1)), 1) AS x, round(avg(CASE WHEN y % 2 = 0 THEN log10(pow(10, py / 100)) ELSE py / 50 END), 2) AS y FROM v GROUP BY 1, 2, 3""")
+def _(t):
+    """Four panels of two rows and six y axes to choose from in each figure; every second y axis is logarithmic."""
+    f, k, j = F.col("s_suppkey"), F.col("k"), F.col("j")
+    xs = t.supplier.select(f, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).filter(~((k == 3) & (f % 5 == 0)))
+    xs = xs.select(f.cast("string").alias("figure"), k.alias("axis"), (100.0 + 300 * (k % 2)).alias("first"), (300.0 + 300 * (k % 2)).alias("last"), (200.0 + 200 * F.floor(k / 2) + (k % 2) * (f % 7)).cast("double").alias("row"), F.lit(5).alias("ticks"))
+    ys = t.supplier.select(f, F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    high = 200 * (F.floor(j / 2) % 2)
+    ys = ys.select(f.cast("string").alias("figure"), j.alias("axis"), (90.0 + 300 * (j % 2) - (f * (j + 1)) % 30).cast("double").alias("right"), (50.0 + high).cast("double").alias("first"), (190.0 + high - (f + j) % 20).cast("double").alias("last"), F.lit(5).alias("ticks"))
+    marks = t.lineitem.select(F.col("l_suppkey").cast("string").alias("figure"), F.col("l_linenumber").alias("series"), (80.0 + (F.col("l_partkey") * 37) % 560).cast("double").alias("px"), (40.0 + (F.col("l_orderkey") * 17) % 380).cast("double").alias("py"))
+    log = F.col("axis") % 2 == 0
+    x_fits = xs.select("figure", "axis", F.lit("linear").alias("scale"), (F.col("axis") + 1).cast("double").alias("a"), F.lit(0.0).alias("b"))
+    y_fits = ys.select("figure", "axis", F.when(log, "log").otherwise("linear").alias("scale"), F.when(log, 0.01).otherwise(0.02).alias("a"), F.lit(0.0).alias("b"))
+    found = C.panels(xs, ys)
+    out = C.digitise_panels(marks, found, x_fits, y_fits).join(found.select("figure", "panel", F.col("y").alias("axis")), ["figure", "panel"])
+    read = F.when(F.col("axis") % 2 == 0, F.log10("y")).otherwise(F.col("y"))
+    grouped = out.groupBy(F.col("figure").cast("bigint").alias("figure"), F.col("panel").cast("bigint").alias("panel"), "series")
+    return grouped.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 1).alias("x"), F.round(F.avg(read), 2).alias("y"))

@@ -64,6 +64,15 @@ def _(t):
     return N.source_groups(_sources(t))
 
 
+@query("notebook_group_sources", with_bindings("notebook_links", "highlights", "library") + NUMBERED + """
+, g AS (SELECT *, (row_number() OVER (PARTITION BY notebook_id, document_id ORDER BY number) - 1) // 3 AS slice, min(number) OVER (PARTITION BY notebook_id, document_id) AS first_number FROM s)
+SELECT notebook_id, document_id, first_number, CAST(slice AS INT) AS slice, string_agg(number || ':' || highlight_id, ',' ORDER BY number) AS sources FROM g GROUP BY 1, 2, 3, 4""")
+def _(t):
+    out = N.group_sources(_sources(t), most=3)
+    shown = F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["number"].cast("string"), x["highlight_id"])), ",")
+    return out.select("notebook_id", "document_id", "first_number", "slice", shown.alias("sources"))
+
+
 @query("notebook_new_numbers", with_bindings("notebook_links", "notebook_documents") + """
 , old AS (SELECT notebook_id, document_id, min(position) AS position FROM notebook_links GROUP BY 1, 2)
 , c AS (SELECT p_partkey AS notebook_id, p_size AS position FROM part)
@@ -305,6 +314,18 @@ def _(t):
     return N.paragraph_partners(rows).select("notebook_id", "highlight_id", "first_number", "last_number", "others")
 
 
+@query("notebook_partners", with_bindings("notebook_links", "highlights", "library") + NUMBERED + """
+, p AS (SELECT *, length(selected_text) AS paragraph, count(*) OVER w AS n, (row_number() OVER (w ORDER BY number) - 1) // 4 AS slice FROM s WINDOW w AS (PARTITION BY notebook_id, document_id, length(selected_text)))
+SELECT a.notebook_id, a.highlight_id, a.number, coalesce(string_agg(b.number || ':Here k' || b.number || ' stands.', ',' ORDER BY b.number), '') AS partners FROM p a LEFT JOIN p b
+  ON b.notebook_id = a.notebook_id AND b.document_id = a.document_id AND b.paragraph = a.paragraph AND b.slice = a.slice AND b.number <> a.number WHERE a.n > 1 GROUP BY 1, 2, 3""")
+def _(t):
+    word = F.concat(F.lit("k"), F.col("number").cast("string"))
+    rows = _sources(t).withColumn("paragraph", F.length("selected_text")).withColumn("selected_text", word)
+    rows = rows.withColumn("paragraph_text", F.concat(F.lit("One thing is said. Here "), word, F.lit(" stands. More follows.")))
+    shown = F.array_join(F.transform("partners", lambda x: F.concat_ws(":", x["number"].cast("string"), x["sentence"])), ",")
+    return N.partners(rows, most=4).select("notebook_id", "highlight_id", "number", shown.alias("partners"))
+
+
 # ---- exports
 
 

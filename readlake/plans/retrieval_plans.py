@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from readlake.functions import scalars as S
 from readlake.functions import text as X
 from readlake.operators import chunks as C
+from readlake.operators import passage_index as I
 from readlake.operators import retrieval as R
 from readlake.plans.registry import query
+from readlake.session import shared_path
 
 TOKENS = 200
 FLAT = "regexp_replace({0}, '\\s+', '', 'g')"
@@ -135,17 +137,15 @@ def _(t):
 
 COS = """
 , s AS (SELECT q.vec_id AS question_id, p.vec_id AS position, round(list_cosine_similarity(p.e, q.e), 6) AS score
-  FROM v p JOIN (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) q ON p.label = q.label)
+  FROM v p JOIN (SELECT * FROM v WHERE vec_id % 100 = 0) q ON p.label = q.label)
 , k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) <= 8)
 """
 VEC = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
 def _closest(t):
-    from readlake.operators.ranking import newest_per_key
-
     rows = t.embeddings.select(F.col("label").alias("document"), F.col("vec_id").alias("position"), "embedding")
-    asked = newest_per_key(rows, ["document"], [F.col("position")], 3)
+    asked = rows.filter("position % 100 = 0")  # questions that grow with the table
     return R.closest(rows, asked.withColumnRenamed("position", "question_id"), "document")
 
 
@@ -166,7 +166,7 @@ def _(t):
     return R.prompt_passages(shown)
 
 
-#: One row in a hundred asks, so that the questions grow with the table (the first three of each label, as above, do not).
+#: The same questions, in blocks that meet tiles of passages.
 COS_HUNDREDTH = """
 , s AS (SELECT q.vec_id AS question_id, p.vec_id AS position, round(list_cosine_similarity(p.e, q.e), 6) AS score
   FROM v p JOIN v q ON p.label = q.label WHERE q.vec_id % 100 = 0)
@@ -238,6 +238,36 @@ def _(t):
     return C.stale_documents(docs, held, "doc_id").select("doc_id")
 
 
+@query("index_refreshed", """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN upper(lang) || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 100 <> 8)
+SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS position FROM d) WHERE p <> ''
+""".replace("SELECT * FROM (", "SELECT doc_id, position, md5(p) AS passage FROM ("))
+def _(t):
+    """An index of all texts but a hundredth; then a hundredth changes, one leaves and one comes."""
+    path, text = shared_path(t.spark, "index"), F.sha2("text", 256)
+    cut = lambda docs: docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "passage")).filter("passage <> ''").withColumn("position", F.col("position") + 1)
+    I.refresh(t.documents.filter("doc_id % 100 <> 9"), path, "doc_id", text, "e1", cut)
+    new = F.when(F.col("doc_id") % 100 == 7, F.concat(F.upper("lang"), F.lit("\n"), "text")).otherwise(F.col("text"))
+    I.refresh(t.documents.filter("doc_id % 100 <> 8").withColumn("text", new), path, "doc_id", text, "e1", cut)
+    return I.passages(t.spark, path).select("doc_id", F.col("position").cast("bigint").alias("position"), F.md5("passage").alias("passage"))
+
+
+@query("index_refreshed_passages", """
+SELECT CAST(0 AS BIGINT) AS only_refreshed, CAST(0 AS BIGINT) AS only_rebuilt, count(*) FILTER (WHERE doc_id % 100 = 7) AS cut FROM documents""")
+def _(t):
+    """The same with passages of token size: what a refresh leaves is what an index built anew holds."""
+    path, again = shared_path(t.spark, "index"), shared_path(t.spark, "index")
+    text, cut = F.sha2("text", 256), lambda docs: C.split(docs.withColumn("body", F.regexp_replace("text", "\n", "\n\n")), "doc_id", "body", TOKENS)
+    changed = t.documents.withColumn("text", F.when(F.col("doc_id") % 100 == 7, F.concat(F.lit("New words first.\n"), "text")).otherwise(F.col("text")))
+    I.refresh(t.documents, path, "doc_id", text, "e1", cut)
+    done = I.refresh(changed, path, "doc_id", text, "e1", cut)
+    I.refresh(changed, again, "doc_id", text, "e1", cut)
+    names = ["doc_id", "position", "text", "token_count"]
+    one, two = (I.passages(t.spark, p).select(*names) for p in (path, again))
+    counts = one.exceptAll(two).agg(F.count(F.lit(1)).alias("only_refreshed"))
+    return counts.withColumns({"only_rebuilt": two.exceptAll(one).agg(F.count(F.lit(1))).scalar(), "cut": F.lit(done.cut).cast("bigint")})
+
+
 @query("index_digest", """
 SELECT doc_id, sha256(text || chr(10) || '{"a":"' || lang || '","b":"2"}' || chr(10) || '{}') AS digest FROM documents""")
 def _(t):

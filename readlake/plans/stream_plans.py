@@ -9,6 +9,7 @@ from readlake.plans.registry import query
 from readlake.schemas import TABLES
 from readlake.session import shared_path
 from readlake.sources import ingest as I
+from readlake.streaming import decisions as D
 from readlake.streaming import jobs as J
 
 
@@ -127,13 +128,13 @@ r AS (SELECT key, rn, hit_id, TRUE AS passed, [at_] AS times FROM e WHERE rn = 1
     SELECT e.key, e.rn, e.hit_id, e.at_, list_filter(r.times, lambda x: e.at_ - x < 86400) AS live FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
 SELECT key, hit_id, passed FROM r""")
 def _(t):
-    return J.rate_limited_batch(hits(t.events), 3, 24 * 3600)
+    return D.rate_limited_batch(hits(t.events), 3, 24 * 3600)
 
 
 @query("stream_limiter_equals_batch", "SELECT CAST(0 AS BIGINT) AS different, count(*) AS hits FROM events")
 def _(t):
-    streamed = J.table_of(J.rate_limited(hits(stream(t)), 3, 24 * 3600.0), "limited")
-    both = J.rate_limited_batch(hits(t.events), 3, 24 * 3600).join(streamed.withColumnRenamed("passed", "_p"), ["key", "hit_id"])
+    streamed = J.table_of(D.rate_limited(hits(stream(t)), 3, 24 * 3600.0), "limited")
+    both = D.rate_limited_batch(hits(t.events), 3, 24 * 3600).join(streamed.withColumnRenamed("passed", "_p"), ["key", "hit_id"])
     return both.agg(F.count_if(F.col("passed") != F.col("_p")).alias("different"), F.count(F.lit(1)).alias("hits"))
 
 
@@ -147,17 +148,31 @@ SELECT CAST(e.user_id AS VARCHAR) AS key, e.event_id AS hit_id, p.us IS NOT NULL
 
 @query("last_seen_refreshes", GREEDY.format(gap=3600))
 def _(t):
-    return J.spaced_batch(hits(t.events), J.SEEN_GAP)
+    return D.spaced_batch(hits(t.events), D.SEEN_GAP)
 
 
 @query("stream_last_seen", GREEDY.format(gap=3600))
 def _(t):
-    return J.table_of(J.spaced(hits(stream(t)), float(J.SEEN_GAP)), "seen")
+    return J.table_of(D.spaced(hits(stream(t)), float(D.SEEN_GAP)), "seen")
+
+
+@query("stream_late_rows", """
+WITH e AS (SELECT event_id % 5 AS batch, ts FROM events), m AS (SELECT batch, max(ts) AS newest FROM e GROUP BY 1),
+w AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(newest) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) AS newest FROM m)
+SELECT batch, count(*) FILTER (WHERE NOT coalesce(ts < before - INTERVAL 10 DAY, FALSE)) AS kept, count(*) FILTER (WHERE ts < before - INTERVAL 10 DAY) AS late,
+  strftime(w.newest, '%Y-%m-%d %H:%M:%S') AS newest FROM e JOIN w USING (batch) GROUP BY batch, w.newest""")
+def _(t):
+    arrived, path = shared_path(t.spark, "arrivals"), shared_path(t.spark, "late")
+    for k in range(5):  # one file after the other, each of all times
+        t.events.filter(F.col("event_id") % 5 == k).coalesce(1).write.mode("append").parquet(arrived)
+    rows = J.table_stream(t.spark, arrived, TABLES["events"], files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    J.counted_late(rows, path, shared_path(t.spark, "late-checkpoint"), "10 days").awaitTermination()
+    return stamped(J.late_counts(t.spark, path), "newest")
 
 
 @query("one_job_per_key", GREEDY.format(gap=900))
 def _(t):
-    return J.spaced_batch(hits(t.events), J.JOB_TTL)
+    return D.spaced_batch(hits(t.events), D.JOB_TTL)
 
 
 # ---- annotations brought in: every order's line items as one person's payload

@@ -51,12 +51,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reaches."""
+    at, store = _folder(spark, path)
+    return store.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own tables."""
+    at, store = _folder(spark, path)
+    store.delete(at, True)
+
+
 def release_pinned(spark: SparkSession) -> int:
     """Deletes the stages that `pinned` wrote so far, once the results that read them are written. How many there were."""
     many = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(spark, _WRITTEN.pop())
     return many
 
 

@@ -6,9 +6,6 @@ lost executor or driver never counts twice; readers add the folders up, `compact
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,9 +15,6 @@ from readlake.schemas import LAKE
 from readlake.session import shared_path
 
 FLUSH = "60 seconds"
-# Fixed values: (hits allowed, window in seconds) of each limiter.
-LIMITS = {"upload": (30, 3600), "translate_minute": (20, 60), "translate_day": (300, 86400), "search": (20, 3600), "check": (200, 3600)}
-SEEN_GAP, JOB_TTL = 3600, 900
 
 
 def request_log(spark: SparkSession, path: str) -> DataFrame:
@@ -115,102 +109,42 @@ def visits(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> D
     )
 
 
-def watched(events: DataFrame, name: str = "input") -> DataFrame:
-    """The stream with its row count and newest event time reported per micro-batch."""
-    return events.observe(name, F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest"))
-
+def counted_late(events: DataFrame, path: str, checkpoint: str, late: str = "1 day", every: str | None = None) -> StreamingQuery:
+    """Each micro-batch's rows in time and rows too late: older by more than `late` than the newest event of all batches before.
 
-def table_of(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """A streaming result run over what is there, as a table in the shared folder."""
-    spark = result.sparkSession
-    path, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
-    writer = result.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    start(writer).awaitTermination()
-    return spark.read.schema(result.schema).parquet(path)
-
-
-# ---- one decision per hit, in time order
-
-
-def allowed(times: list[float], now: float, limit: int, window: float) -> tuple[bool, list[float]]:
-    """Whether a hit passes, and the times that count afterwards; a refused hit is not recorded."""
-    live = [t for t in times if now - t < window]
-    return (True, [*live, now]) if len(live) < limit else (False, live)
-
-
-def rate_limited(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """A stream of (key, at seconds, hit_id) → (key, hit_id, passed). The state of a key is at most `limit` times.
-    Hits are put in order within each micro-batch and judged as they arrive across batches."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "hit_id"])
-        out = []
-        for at, hit_id in zip(rows["at"], rows["hit_id"], strict=True):
-            passed, times = allowed(times, at, limit, window)
-            out.append((key[0], hit_id, passed))
-        state.update((times,))
-        yield pd.DataFrame(out, columns=["key", "hit_id", "passed"])
-
-    return hits.groupBy("key").applyInPandasWithState(
-        judge, "key STRING, hit_id BIGINT, passed BOOLEAN", "times ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _in_order(df: DataFrame, schema: str, decide) -> DataFrame:
-    """Rows of a key in time order through `decide(state, at)`, as a pass over sorted partitions: nothing of a key
-    is held but its state, however many rows it has."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for batch in batches:
-            out = []
-            for k, at, hit_id in zip(batch["key"], batch["at"], batch["hit_id"], strict=True):
-                if k != key:
-                    key, state = k, None
-                passed, state = decide(state, at)
-                out.append((k, hit_id, passed))
-            yield pd.DataFrame(out, columns=["key", "hit_id", "passed"])
-
-    return df.select("key", "at", "hit_id").repartition("key").sortWithinPartitions("key", "at", "hit_id").mapInPandas(run, schema)
-
-
-def rate_limited_batch(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """The limiter over a finished log."""
-    decide = lambda times, at: allowed(times or [], at, limit, window)
-    return _in_order(hits, "key STRING, hit_id BIGINT, passed BOOLEAN", decide)
+    A batch leaves its counts and the newest event so far in a folder of its own, and its late rows in another. It looks only at
+    folders of earlier batches, so one that is run again writes what it wrote before."""
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = None
+        if batch_id > 0:
+            held = spark.read.schema(LATE).option("basePath", f"{path}/counts").parquet(f"{path}/counts/batch=*").filter(F.col("batch") < batch_id)
+            before = held.agg(F.max("newest")).first()[0]
+        mark = F.lit(before).cast("timestamp") if before is not None else F.lit(None).cast("timestamp")
+        is_late = F.coalesce(F.col("ts") < mark - F.expr(f"INTERVAL {late}"), F.lit(False))
+        counts = batch.agg(F.count_if(~is_late).alias("kept"), F.count_if(is_late).alias("late"), F.greatest(F.max("ts"), mark).alias("newest"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
 
-def spaced_batch(hits: DataFrame, gap: float) -> DataFrame:
-    """Hits at least `gap` seconds after the last one that passed: a last-seen time refreshed at most once an
-    hour, or one running job per key within its time to live."""
+    return start(events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), every)
 
-    def decide(last, at):
-        passed = last is None or at - last >= gap
-        return passed, at if passed else last
 
-    return _in_order(hits, "key STRING, hit_id BIGINT, passed BOOLEAN", decide)
+LATE = "kept BIGINT, late BIGINT, newest TIMESTAMP, batch BIGINT"
 
 
-def spaced(hits: DataFrame, gap: float) -> DataFrame:
-    """The same over a stream: the state of a key is one time."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, kept, late, newest) so far."""
+    return spark.read.schema(LATE).option("basePath", f"{path}/counts").parquet(f"{path}/counts/batch=*").select("batch", "kept", "late", "newest")
 
-    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "hit_id"])
-        out = []
-        for at, hit_id in zip(rows["at"], rows["hit_id"], strict=True):
-            passed = last is None or at - last >= gap
-            last = at if passed else last
-            out.append((key[0], hit_id, passed))
-        state.update((float(last),))
-        yield pd.DataFrame(out, columns=["key", "hit_id", "passed"])
 
-    return hits.groupBy("key").applyInPandasWithState(
-        judge, "key STRING, hit_id BIGINT, passed BOOLEAN", "last DOUBLE", "append", GroupStateTimeout.NoTimeout
-    )
+def table_of(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """A streaming result run over what is there, as a table in the shared folder."""
+    spark = result.sparkSession
+    path, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
+    writer = result.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    start(writer).awaitTermination()
+    return spark.read.schema(result.schema).parquet(path)
 
 
 def table_of_updates(result: DataFrame, keys: list[str], grows: str) -> DataFrame:

@@ -21,7 +21,7 @@ from readlake.operators import search
 from readlake.operators import tree as T
 from readlake.operators import web
 from readlake.operators.ranking import numbered, with_previous
-from readlake.streaming import jobs
+from readlake.streaming import decisions, jobs
 
 
 def plain_passages(text, budget, count=None):
@@ -202,19 +202,52 @@ def test_language_of_a_whole_text(spark):
     assert len(X.query_terms("a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12")) == 12
 
 
-def test_long_texts_are_aligned():
+def test_readings_are_aligned(spark):
+    """Runs hold in both texts, rise in both, never lap over, and cover what noise left; gaps are looked into again."""
+    from difflib import SequenceMatcher
+
+    from readlake.operators import alignment
+
     rng = random.Random(8)
-    for n in (30, 400, 6000, 12000):
-        a = "".join(rng.choice("abcdefgh ") for _ in range(n))
-        b = list(a + a[: n // 3])
-        for at in rng.sample(range(len(b)), n // 60):
-            b[at] = "#"
-        b = "".join(b)
-        runs = A.common_runs(a, b)
-        assert all(a[i : i + k] == b[j : j + k] for i, j, k in runs)
+    rows = []
+    for n in (30, 120, 400, 900):
+        for kind in range(4):
+            a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            b = list(a + a[: n // 3] if kind == 1 else a)
+            for at in rng.sample(range(len(b)), n // 30):
+                b[at] = {0: "#", 1: "#", 2: "", 3: b[at] + "xy"}[kind]
+            rows.append((len(rows), a, "".join(b)))
+    rows += [(97, "", "x"), (98, None, None), (99, "same", "same"), (100, "abc", "abc"), (101, "ab" * 40, "ab" * 41), (102, "xxxxabcdyyyy", "yyyyabcdxxxx")]
+    frame = spark.createDataFrame(rows, "id int, a string, b string").repartition(3)
+    found = {}
+    for r in alignment.runs(frame, ["id"], "a", "b", A.MIN_RUN).collect():
+        found.setdefault(r.id, []).append((r.at, r.to, r.size))
+    for i, a, b in rows:
+        runs = sorted(found.get(i, []))
+        assert all(a[x : x + k] == b[y : y + k] and k >= A.MIN_RUN for x, y, k in runs)
         assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in zip(runs, runs[1:]))
-        assert sum(k for _, _, k in runs) >= 0.9 * n
-    assert A.common_runs("", "x") == [] and A.common_runs("same", "same") == [(0, 0, 4)]
+        if i < 97:
+            plain = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= A.MIN_RUN)
+            assert sum(k for _, _, k in runs) >= 0.97 * plain
+    assert found[99] == [(0, 0, 4)] and not {97, 98, 100} & found.keys() and [n for _, _, n in found[102]] == [4]
+
+
+def test_selections_on_a_page(spark):
+    """The place most covered wins; two covered alike are ambiguous; where no character lies under it, the only place in a block
+    near by will do. More highlights than share a row are placed alike."""
+    words = "abcdexabcdeyabcde"
+    index = spark.createDataFrame([("d", words, ["p", "q"], [0, 11])], "doc string, words string, ids array<string>, starts array<int>")
+    names = {"one": [0, 1, 2, 3, 4], "two": [0, 1, 2, 3, 6, 7, 8, 9], "few": [0, 1], "more": [0, 1, 2, 6, 7, 8, 9, 10]}
+    marks = [("d", n, "abcde") for n in [*names, "near", "far", "none"]] + [("d", f"x{i}", "yab") for i in range(2500)] + [("d", "gone", "zzz"), ("other", "one", "abcde")]
+    touched = spark.createDataFrame([("d", n, p) for n, ps in names.items() for p in ps] + [("d", f"x{i}", 11) for i in range(2500)] + [("d", f"x{i}", 12) for i in range(2500)], "doc string, highlight_id string, position int")
+    near = spark.createDataFrame([("d", "near", "q"), ("d", "far", "p")], "doc string, highlight_id string, block_id string")
+    got = A.on_page(spark.createDataFrame(marks, "doc string, highlight_id string, selected_text string"), index, touched, "doc", near).collect()
+    told = {r.highlight_id: (r.state, r.range_start, r.range_end) for r in got if not r.highlight_id.startswith("x")}
+    assert told == {
+        "one": ("mapped", 0, 5), "two": ("ambiguous", None, None), "few": ("unresolved", None, None), "more": ("mapped", 6, 11), "near": ("mapped", 12, 17),
+        "far": ("ambiguous", None, None), "none": ("unresolved", None, None), "gone": ("unresolved", None, None),
+    }
+    assert sum(r.highlight_id.startswith("x") and (r.state, r.range_start) == ("mapped", 11) for r in got) == 2500
 
 
 def test_numbers_without_exponents(spark):
@@ -342,7 +375,7 @@ def test_place_on_the_page(spark):
     assert {r.id for r in found} == {"h"} and len(found) == 2
     index = spark.createDataFrame([(1, "abcab")], "doc int, words string")
     marks = spark.createDataFrame([(1, "h", "ab")], "doc int, highlight_id string, selected_text string")
-    touched = spark.createDataFrame([("h", 3), ("h", 4)], "highlight_id string, position int")
+    touched = spark.createDataFrame([(1, "h", 3), (1, "h", 4)], "doc int, highlight_id string, position int")
     placed = A.on_page(marks, index, touched, "doc").first()
     assert (placed.state, placed.range_start, placed.range_end) == ("mapped", 3, 5)
 
@@ -414,7 +447,7 @@ def test_tables_and_lists_in_markdown():
 def test_limiter():
     times, passed = [], []
     for now in (0.0, 1.0, 2.0, 9.0, 10.0, 11.5):
-        ok, times = jobs.allowed(times, now, 2, 10.0)
+        ok, times = decisions.allowed(times, now, 2, 10.0)
         passed.append(ok)
     assert passed == [True, True, False, False, True, True]  # refused hits do not count; a hit leaves after exactly ten seconds
 
@@ -506,3 +539,195 @@ def test_closest_of_many_against_brute_force(spark):
             want += [(q, p, -s) for s, p in near[:8]]
     assert sorted((x[0], x[1]) for x in got) == sorted((q, p) for q, p, _ in want)
     assert {(x[0], x[1]): x[2] for x in got} == pytest.approx({(q, p): s for q, p, s in want}, abs=2e-6)
+
+
+def test_decisions_in_pieces(spark):
+    """A hot key cut into chunks, quiet gaps, ties and one-hit keys: the same decisions as a plain pass."""
+    rng = random.Random(12)
+    rows, at = [], 0.0
+    for i in range(900):
+        at += rng.choice([0.0, 0.5, 1.0, 3.0, 30.0])
+        rows.append(("hot", at, i))
+    rows += [(f"k{i % 40}", float(rng.randrange(400)), 1000 + i) for i in range(300)] + [("one", 5.0, 5000)]
+    hits = spark.createDataFrame(rows, "key string, at double, hit_id long").repartition(5)
+    for decide, reach in ((lambda t, a: decisions.allowed(t, a, 3, 10.0), 10.0), (lambda t, a: decisions.spaced_out(t, a, 7.0), 7.0)):
+        want, held = set(), {}
+        for key, a, i in sorted(rows, key=lambda r: (r[1], r[2])):
+            passed, held[key] = decide(held.get(key, []), a)
+            want.add((key, i, passed))
+        for most in (7, 100_000):
+            assert {tuple(r) for r in decisions.decided(hits, decide, reach, most).collect()} == want
+    cut = decisions.pieces(hits, 10.0, 7)
+    assert cut.groupBy("key", "piece", "chunk").count().agg(F.max("count")).first()[0] <= 7
+    assert decisions.rate_limited_batch(hits.limit(0), 3, 10.0).collect() == []
+
+
+def test_state_of_a_stream_ends(spark, tmp_path):
+    """Decisions across micro-batches are those of the whole log, and a key that stays away is forgotten by its timer."""
+    arrived = str(tmp_path / "arrived")
+    files = [[("a", 1000.0, 1), ("b", 1001.0, 2), ("a", 1002.0, 3)], [("a", 1004.0, 4), ("a", 1005.0, 5)], [("c", 90_000.0, 6)], [("c", 90_010.0, 7), ("a", 90_011.0, 8)]]
+    for rows in files:
+        spark.createDataFrame(rows, "key string, at double, hit_id long").coalesce(1).write.mode("append").parquet(arrived)
+    log = spark.readStream.schema("key string, at double, hit_id long").option("maxFilesPerTrigger", 1).parquet(arrived)
+    out, held = str(tmp_path / "out"), []
+    query = decisions.rate_limited(log, 2, 100.0, "10 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    got = {r.hit_id: r.passed for r in spark.read.schema(decisions.DECIDED).parquet(out).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True, 8: True}
+    assert max(held) > held[-1] and max(held) >= 2  # the keys of the first files are gone
+
+
+def test_late_rows_are_counted_once(spark, tmp_path):
+    """Late rows by the newest event of earlier batches; a batch that is run again changes nothing."""
+    rows = [[(1, "2024-01-10"), (2, "2024-01-20")], [(3, "2024-01-19"), (4, "2024-01-01")], [(5, "2024-02-20"), (6, "2024-01-18")], [(7, "2024-01-18")]]
+    arrived, path = str(tmp_path / "arrived"), str(tmp_path / "late")
+    for r in rows:
+        spark.createDataFrame(r, "id int, day string").withColumn("ts", F.col("day").cast("timestamp")).drop("day").coalesce(1).write.mode("append").parquet(arrived)
+    log = lambda: spark.readStream.schema("id int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(arrived)
+    for checkpoint in ("one", "two"):  # the second run writes every batch again
+        jobs.counted_late(log(), path, str(tmp_path / checkpoint), "5 days").awaitTermination()
+        got = sorted((r.batch, r.kept, r.late) for r in jobs.late_counts(spark, path).collect())
+        assert got == [(0, 2, 0), (1, 1, 1), (2, 2, 0), (3, 0, 1)]
+        assert sorted(r.id for r in spark.read.parquet(f"{path}/late/batch=*").collect()) == [4, 7]
+
+
+def test_index_refresh(spark, tmp_path):
+    """Changed, new and gone documents are cut anew; files of untouched buckets keep their names; a run that was broken off is done again."""
+    from pathlib import Path
+
+    from readlake.operators import passage_index as I
+
+    path = str(tmp_path / "index")
+    asked = []
+
+    def cut(docs):
+        asked.append(sorted(r.id for r in docs.select("id").collect()))
+        return docs.select("id", F.posexplode(F.split("text", " ")).alias("position", "word")).filter("word <> ''")
+
+    def state(table):
+        return sorted(map(tuple, table.drop("bucket").collect()))
+
+    def files():
+        return {str(f.relative_to(path)) for f in Path(path).rglob("part-*.parquet")}
+
+    texts = {i: f"a{i} b{i} c" for i in range(60)} | {60: ""}
+
+    def run(model="m"):
+        docs = spark.createDataFrame([*texts.items(), (None, "no key")], "id int, text string")
+        return I.refresh(docs, path, "id", F.sha2("text", 256), model, cut, buckets=16)
+
+    want = lambda: sorted((i, p, w) for i, t in texts.items() for p, w in enumerate(t.split()))
+    done = run()
+    assert (done.cut, done.gone) == (61, 0) and state(I.passages(spark, path)) == want()
+    before = files()
+    assert run() == I.Refreshed(0, 0, []) and files() == before
+    texts[5] = "other words"
+    texts[70] = "new"
+    del texts[6]
+    done = run()
+    assert (done.cut, done.gone, asked[-1]) == (2, 1, [5, 70]) and state(I.passages(spark, path)) == want()
+    kept = lambda fs: {f for f in fs if not any(f"bucket={b}/" in f for b in done.buckets)}
+    assert 0 < len(done.buckets) <= 3 and kept(files()) == kept(before) and len(kept(before)) > 0
+    alone = next(b for b in range(16) if b in {r.bucket for r in I.digests(spark, path).collect()})
+    for r in I.digests(spark, path).filter(F.col("bucket") == alone).collect():
+        del texts[r.id]
+    done = run()
+    assert done.buckets == [alone] and state(I.passages(spark, path)) == want() and not any(f"bucket={alone}/" in f for f in files())
+    assert run("m2").cut == len(texts) and state(I.passages(spark, path)) == want()
+
+
+def test_figure_regions_like_a_plain_pass(spark):
+    """Labels taken in one after the other until none is in reach, then running text cut off: the same regions as the fold."""
+    rng = random.Random(21)
+    pages, found, labels = {}, [], []
+    for page in range(40):
+        x, y = rng.randrange(100, 250), rng.randrange(100, 250)
+        core = (x, y, x + rng.randrange(20, 200), y + rng.randrange(20, 200))
+        paths, curvy = rng.randrange(5, 40), rng.random() < 0.7
+        found.append(("d", page, 0, *map(float, core), paths, curvy))
+        mine = []
+        for n in range(rng.randrange(0, 14)):
+            a, b = rng.randrange(40, 480), rng.randrange(40, 480)
+            words = rng.choice(["0.5", "time in s", "a line of running text that goes on for long enough", "Figure 2. What is seen", "x" * 30])
+            box = (a, b, a + rng.randrange(10, 130), b + 9)
+            mine.append((box, words, rng.choice([6.0, 9.0, 10.0, 12.0]), len(words) > 45))
+            labels.append(("d", page, words, *map(float, box), mine[-1][2], mine[-1][3], 10.0))
+        pages[page] = (core, paths, curvy, sorted(mine))
+
+    def meets(a, b, by=0):
+        return a[0] - by < b[2] and b[0] < a[2] + by and a[1] - by < b[3] and b[1] < a[3] + by
+
+    def within(a, b):
+        return b[0] <= (a[0] + a[2]) / 2 <= b[2] and b[1] <= (a[1] + a[3]) / 2 <= b[3]
+
+    def plain(core, paths, curvy, mine):
+        captions = [b for b, t, _, _ in mine if t.startswith("Figure")]
+        plot = curvy and paths >= 20
+        if max(core[2] - core[0], core[3] - core[1]) < 40 or not (plot or any(meets(core, c, 80) for c in captions)):
+            return None
+        region, pending = core, [m for m in mine if not m[1].startswith("Figure")]
+        grew = True
+        while grew:
+            grew = False
+            for m in list(pending):
+                b, t, size, para = m
+                if within(b, core) or ((size < 9.5 or (len(t) <= 25 and not para)) and meets(region, b, 14)):
+                    region = (min(region[0], b[0]), min(region[1], b[1]), max(region[2], b[2]), max(region[3], b[3]))
+                    pending.remove(m)
+                    grew = True
+        for b in [m[0] for m in pending] + captions:
+            if meets(region, b) and not within(b, core):
+                w, h = region[2] - region[0], region[3] - region[1]
+                cuts = [(region[2] - b[0], w, (region[0], region[1], b[0] - 1, region[3])), (b[2] - region[0], w, (b[2] + 1, region[1], region[2], region[3])),
+                        (region[3] - b[1], h, (region[0], region[1], region[2], b[1] - 1)), (b[3] - region[1], h, (region[0], b[3] + 1, region[2], region[3]))]
+                loss, side, cut = min(cuts, key=lambda c: c[0])
+                region = cut if 0 < loss < side * 0.3 else region
+        if min(region[2] - region[0], region[3] - region[1]) < 40 or sum(len(t) for b, t, s, p in mine if p and s >= 9.5 and within(b, core)) > 60:
+            return None
+        near = any(c[0] < region[2] and c[2] > region[0] and (region[3] - 5 <= c[1] <= region[3] + 40 or region[1] - 40 <= c[3] <= region[1] + 5) for c in captions)
+        return tuple(map(float, region)) if near or plot else None
+
+    shape = "doc_id string, page int, text string, x0 double, y0 double, x1 double, y1 double, size double, in_paragraph boolean, body_size double"
+    drawn = spark.createDataFrame(found, "doc_id string, page int, cluster int, x0 double, y0 double, x1 double, y1 double, paths int, curvy boolean")
+    got = {r.page: (r.x0, r.y0, r.x1, r.y1) for r in L.figures(drawn, spark.createDataFrame(labels, shape)).collect()}
+    want = {p: plain(*v) for p, v in pages.items()}
+    assert got == {p: r for p, r in want.items() if r is not None} and 8 < len(got) < 40
+
+
+def test_tables_on_one_page(spark):
+    """A table ends where another's caption stands; rows are told by spacing; items of a list in a cell begin lines; like first cells make no header."""
+    captions = spark.createDataFrame([("d", 1, n, 20.0, y, 180.0, y + 8.0) for n, y in ((1, 80.0), (2, 190.0), (3, 500.0))], "doc_id string, page int, ord int, x0 double, y0 double, x1 double, y1 double")
+    rules = [("d", 1, y, 0.0, 200.0) for y in (100.0, 120.0, 180.0, 205.0, 225.0, 260.0, 400.0, 440.0, 490.0)] + [("d", 1, 150.0, 90.0, 130.0)]
+    found = L.ruled_tables(captions, spark.createDataFrame(rules, "doc_id string, page int, y double, x0 double, x1 double"))
+    assert {r.caption: r.ys for r in found.collect()} == {1: [100.0, 120.0, 180.0], 2: [205.0, 225.0, 260.0, 400.0, 440.0, 490.0]}
+    cells = [("Case 1", 10, 105), ("v", 110, 105), ("Case 2", 10, 125), ("1. one", 110, 125), ("more", 110, 133), ("2. two", 110, 141), ("Case 3", 10, 160), ("w", 110, 160), ("x", 110, 168)]
+    spans = spark.createDataFrame([("d", 1, t, float(x), float(y), x + 50.0, y + 8.0, 8.0) for t, x, y in cells], "doc_id string, page int, text string, x0 double, y0 double, x1 double, y1 double, size double")
+    got = L.tables(spans, found.filter("caption = 1")).first().markdown
+    assert got.split("\n") == ["|  |  |", "|---|---|", "| Case 1 | v |", "| Case 2 | 1. one more<br>2. two |", "| Case 3 | w x |"]
+
+
+def test_cleaning_chain(spark):
+    """Provenance through splits, joins and scans on hand-made pages, messy rows included; flow and side store together hold every item."""
+    from readlake.operators import cleaning as CL
+
+    def item(page, n, text, kind="text", y=None, size=10.0):
+        y = 100.0 * n if y is None else y
+        return ("d", page, n, 50.0, y, 550.0, y + 20.0, 600.0, 800.0, text, kind, size, False)
+
+    rows = [
+        item(1, 1, "A thing is told and goes"), item(2, 1, "on over here until it"), item(3, 1, "ends at last. Word-⁣break and wordbreak."), item(3, 2, "## Funding"), item(3, 3, "We were paid."), item(3, 4, "## Results"),
+        item(4, 1, "<!-- scan 4 -->", "ocr"), item(5, 1, "<!-- scan 5 -->", "ocr"), item(6, 1, "7", y=770.0), item(6, 2, "More."), item(6, 3, None), item(6, 4, "© 2020 All rights reserved", y=700.0),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id string, page int, ord int, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, text string, kind string, size double, bold boolean")
+    read = spark.createDataFrame([("d", 4, " Read words.\n\nTwo blocks. "), ("d", 5, "  ")], "doc_id string, page int, text string")
+    out = CL.clean(frame, read)
+    content = out.content.first().content
+    assert content == "A thing is told and goes on over here until it\n\n---\n\nends at last. Wordbreak and wordbreak.\n\n## Results\n\n---\n\nRead words.\n\nTwo blocks.\n\n---\n\nMore."
+    boxes = {r.ord: [(b.page, b.y) for b in r.boxes] for r in out.source_map.collect()}
+    assert boxes[1] == [(1, 0.125), (2, 0.125)]  # the paragraph of two pages has both boxes
+    kept = CL.clean(frame).content.first().content
+    assert "<!-- scan 4 -->" in kept and "<!-- scan 5 -->" in kept
+    side = {(r.type, r.text) for r in out.aside.collect()}
+    assert {("PAGE_NUMBER", "7"), ("PUBLISHER_INFO", "© 2020 All rights reserved"), ("FUNDING", "## Funding"), ("FUNDING", "We were paid.")} <= side
+    assert CL.clean(frame.limit(0), read.limit(0)).content.collect() == []
