@@ -64,26 +64,31 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", eve
     return each.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def projections(word: Column, parts: int) -> list[Column]:
-    """The letters of a word, sorted, that fall into each part."""
-    ordered = F.array_join(F.array_sort(F.split(word, "")), "")
-    return [F.regexp_replace(ordered, f"[^{''.join(LETTERS[p::parts])}]+", "") for p in range(parts)]
+def projected(words: DataFrame, parts: dict[str, int]) -> DataFrame:
+    """`words` with, for each name of `parts` and each of its parts k, a column <name><k>: the word's letters that fall into the part, in order.
+    Letters outside `LETTERS` fall into none."""
+    known = F.regexp_replace("word", f"[^{LETTERS}]+", "")
+    rows = words.select("word", F.length("word").alias("size"), F.array_join(F.array_sort(F.split(known, "")), "").alias("_letters"))
+    # A step of its own, so that a projection is worked out once for all signatures that take it.
+    every = [F.translate("_letters", "".join(x for i, x in enumerate(LETTERS) if i % n != k), "").alias(f"{name}{k}") for name, n in parts.items() for k in range(n)]
+    return rows.select("word", "size", *every)
 
 
-def signatures(word: Column, length: Column, parts: int, left_out: int) -> list[Column]:
-    """One signature for every choice of all parts but `left_out`."""
-    each = projections(word, parts)
-    return [F.xxhash64(F.lit(left_out), F.lit(k), length, *[each[p] for p in kept]) for k, kept in enumerate(combinations(range(parts), parts - left_out))]
+def signatures(name: str, size: Column, parts: int, left_out: int) -> list[Column]:
+    """One signature for every choice of all parts but `left_out`, of words of `size` code points."""
+    return [F.xxhash64(F.lit(left_out), F.lit(k), size, *[F.col(f"{name}{p}") for p in kept]) for k, kept in enumerate(combinations(range(parts), parts - left_out))]
 
 
 def near_pairs(words: DataFrame, parts_replaced: int = 6, parts_moved: int = 5) -> DataFrame:
     """(a, b): every pair of `words` (column `word`, distinct) that differ by exactly one inserted, deleted or replaced code point,
     once. Letters outside `LETTERS` count for no part, which costs selectivity but no pair."""
-    word, length = F.col("word"), F.length("word")
-    own = signatures(word, length, parts_replaced, 2)
-    longer = signatures(word, length, parts_moved, 1)
-    shorter = signatures(word, length + 1, parts_moved, 1)
-    signed = words.select("word", F.explode(F.array(*own, *longer, *shorter)).alias("signature"))
+    spark = words.sparkSession
+    wide = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = projected(words.repartition(wide, "word"), {"_r": parts_replaced, "_m": parts_moved})  # much work on short rows
+    own = signatures("_r", F.col("size"), parts_replaced, 2)
+    longer = signatures("_m", F.col("size"), parts_moved, 1)
+    shorter = signatures("_m", F.col("size") + 1, parts_moved, 1)
+    signed = rows.select("word", F.explode(F.array(*own, *longer, *shorter)).alias("signature"))
     a, b = signed.alias("a"), signed.alias("b")
     la, lb = F.length("a.word"), F.length("b.word")
     order = ((la == lb) & (F.col("a.word") < F.col("b.word"))) | (la == lb + 1)
