@@ -2,8 +2,8 @@
 
 Events of the standard library's streaming parser become lines, one per block of the page, each with its characters, its tags and
 the characters inside links. The ratio of characters to tags, smoothed by a Gaussian over neighbouring lines, is split in two
-clusters; lines of the upper one vote for the container they stand in, and a container with votes is a content region. Lines of
-page furniture (menus, forms, adverts, ...) have ratio zero, never vote and are never given out.
+clusters; lines of the upper one vote for the container they stand in, and a container with votes is a content region, with all that
+lies inside it. Lines of page furniture (menus, forms, adverts, ...) have ratio zero, never vote and are never given out.
 """
 
 from __future__ import annotations
@@ -46,13 +46,22 @@ MARKS = frozenset({
     "rail", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags",
     "toolbar", "topbar", "widget",
 })
+#: Those that tell a list inside an article to be no part of it; other lists, paragraphs and words there stay, whatever their class.
+LIST_MARKS = frozenset({
+    "breadcrumb", "breadcrumbs", "comment", "comments", "menu", "nav", "replies", "share", "sharing", "social",
+})
+LISTS = frozenset({
+    "dl", "ol", "ul",
+})
+#: Lines of links in a row, outside articles, that make a menu.
+MENU = 3
 #: Elements that end an open paragraph, as browsers close it.
 CLOSES_P = BLOCK - {"br", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
 SPREAD = 1.0
 REACH = 2
 
 
-def _marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+def _marked(attrs: list[tuple[str, str | None]], inside: bool, marks: frozenset = MARKS) -> bool:
     for name, value in attrs:
         if name == "hidden":
             return True
@@ -61,7 +70,7 @@ def _marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
                 first, _, rest = word.partition("-")
                 if first in ("no", "has", "with", "without"):
                     continue
-                if first in MARKS or rest and rest.rpartition("-")[2] in MARKS:
+                if first in marks or rest and rest.rpartition("-")[2] in marks:
                     return True
                 if not inside and (first == "header" or rest == "header"):
                     return True
@@ -81,6 +90,7 @@ class Lines(HTMLParser):
         self.dropped = 0  # furniture inside a line, whose text is no part of it
         self.container = self.containers = 0
         self.parents: dict[int, int] = {}  # of containers outside articles: the container each stands in
+        self.roots = {0}  # containers that hold the whole page
         self.text: list[str] = []
         self.tags = self.linked = 0
 
@@ -124,7 +134,12 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         inside = self.articles > 0
-        furniture = tag in FURNITURE or (tag == "header" and not inside) or bool(attrs) and tag not in ("article", "main", "body", "html") and _marked(attrs, inside)
+        furniture = tag in FURNITURE or (tag == "header" and not inside)
+        if attrs and not furniture and tag not in ("article", "main", "body", "html"):
+            if not inside or tag in CONTAINER:
+                furniture = _marked(attrs, inside)
+            else:  # inside an article a class tells of a list at most, and `hidden` of anything
+                furniture = _marked(attrs, inside, LIST_MARKS if tag in LISTS else frozenset())
         self.open.append((tag, furniture, self.container))
         self.furniture += furniture
         self.dropped += furniture and tag not in BLOCK
@@ -137,6 +152,8 @@ class Lines(HTMLParser):
                 self.containers += 1  # what stands inside an article is part of it
                 if not self.articles:
                     self.parents[self.containers] = self.container
+                    if tag == "body" or tag == "html":
+                        self.roots.add(self.containers)
                 self.container = self.containers
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -212,7 +229,28 @@ def main_text(html: str | None) -> str:
     regions |= {k for k, v in votes.items() if v > 0 and page.parents.get(k) in won}
     if not regions:
         regions = {x[4] for x in fair}
-    return "\n".join(x[0] for x in fair if x[4] in regions and not (not x[6] and x[1] > 0 and x[3] >= 0.8 * x[1] and x[2] > 1 and x[1] < 60))
+
+    def stays(container: int) -> bool:
+        """In a region, or inside one that is not the whole page."""
+        if container in regions:
+            return True
+        while (container := page.parents.get(container, 0)) not in page.roots:
+            if container in regions:
+                return True
+        return False
+
+    kept = [x for x in fair if stays(x[4])]
+    link = [not x[6] and x[3] >= 0.8 * x[1] and x[2] > 1 and x[1] < 60 for x in kept]
+    out, run = [], []
+    for x, is_link in zip([*kept, None], [*link, False], strict=True):
+        if is_link:
+            run.append(x[0])
+            continue
+        out += run if len(run) < MENU else []
+        run = []
+        if x is not None:
+            out.append(x[0])
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -190,15 +190,17 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predictions(base.drop("lang"), languages, bundles)
 
 
-def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.1, sure: int = 200) -> DataFrame:
+def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.1, few: int = 50) -> DataFrame:
     """The rows of `docs` whose language is known, null languages filled in with the prediction. Rejected: texts without a letter
-    (null too), and texts of at least `sure` n-grams whose best profile is nearly at right angles (cosine under `least`; two random
-    vectors have a cosine of about 1 / sqrt(DIMENSIONS) = 0.03). Without any learned language all texts with a letter stay."""
+    (null too), and texts whose best profile is nearly at right angles: with n n-grams a cosine under least * sqrt(n / (n + few)), as
+    the cosine of a text and its own language grows with the text. (Two random vectors have a cosine of about 1 / sqrt(DIMENSIONS)
+    = 0.03; ten n-grams of a language of about 0.2.) Without any learned language all texts with a letter stay."""
     base = identity(docs, doc_id, text, carry=True)
     learn = base.filter((crc(F.col("doc_id"), 4) != 2) & F.col(f"row.`{lang}`").isNotNull() & F.col("text").isNotNull())
     languages, bundles = profiles(learn.select(F.col(f"row.`{lang}`").alias("lang"), "text"))
     if not languages:
         return docs.filter(F.col(text).rlike(r"\p{L}"))
     told = predictions(base.select("row", "text"), languages, bundles, with_text=True)
-    kept = told.filter((F.col("lang_pred") != "und") & ((F.col("n_grams") < sure) | (F.col("cosine") >= least)))
+    limit = least * F.sqrt(F.col("n_grams") / (F.col("n_grams") + few))
+    kept = told.filter((F.col("lang_pred") != "und") & (F.col("cosine") >= limit))
     return restored(kept, docs, text, {lang: F.coalesce(F.col(f"row.`{lang}`"), F.col("lang_pred"))})

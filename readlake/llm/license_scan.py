@@ -21,10 +21,11 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 #: What a license is called, in words; ( )? and (a|b) as in regular expressions.
 NAMES = {
     "afl-3": "academic free license( version)? 3( 0)?",
-    "agpl-3": "(gnu )?(affero general public license|agpl)( version| v)? ?3( 0)?",
+    "agpl-3": "((gnu )?(affero general public license|agpl)( version| v)? ?3( 0)?|agplv3)",
     "apache-1": "apache( software)? license( version)? 1( 0| 1)?",
     "apache-2": "apache( software)?( license)?( version| v)? 2( 0)?",
     "artistic-2": "artistic license( version)? 2( 0)?",
+    "bsd": "bsd( style| type)?( license| licence)?",
     "bsd-2-clause": "(simplified|2 clause|two clause) bsd( license)?",
     "bsd-3-clause": "(new|modified|revised|3 clause|three clause) bsd( license)?",
     "bsl-1": "boost software license( version)?( 1 0)?",
@@ -43,12 +44,12 @@ NAMES = {
     "epl-2": "eclipse public license( version| v)? 2( 0)?",
     "eupl-1": "(european union public licen[cs]e|eupl)( version| v)?( 1 [12])?",
     "gfdl-1": "(gnu )?free documentation license( version)?( 1 [123])?",
-    "gpl-2": "(gnu )?(general public license|gpl)( version| v)? 2( 0)?",
-    "gpl-3": "(gnu )?(general public license|gpl)( version| v)? 3( 0)?",
+    "gpl-2": "((gnu )?(general public license|gpl)( version| v)? 2( 0)?|(gnu )?gplv2)",
+    "gpl-3": "((gnu )?(general public license|gpl)( version| v)? 3( 0)?|(gnu )?gplv3)",
     "gpl": "gnu (general public license|gpl)",
     "isc": "isc( license)?",
-    "lgpl-2": "(gnu )?(lesser|library) general public license( version| v)? 2( 0| 1)?",
-    "lgpl-3": "(gnu )?lesser general public license( version| v)? 3( 0)?",
+    "lgpl-2": "((gnu )?((lesser|library) general public license|lgpl)( version| v)? 2( 0| 1)?|(gnu )?lgplv2( 1)?)",
+    "lgpl-3": "((gnu )?(lesser general public license|lgpl)( version| v)? 3( 0)?|(gnu )?lgplv3)",
     "lppl-1": "latex project public license( version)?( 1 3)?",
     "mit": "(mit|expat|x11)( license)?",
     "mpl-1": "mozilla public license( version| v)? 1( 1| 0)?",
@@ -64,14 +65,64 @@ NAMES = {
     "zlib": "zlib( libpng)? license",
 }
 
+#: Identifiers of the SPDX list, in words, as they follow a tag.
+SPDX = {
+    "afl-3": "afl 3 0",
+    "agpl-3": "agpl 3 0( only| or later)?",
+    "apache-1": "apache 1 [01]",
+    "artistic-2": "artistic 2 0",
+    "bsd-2-clause": "bsd 2 clause( patent| views)?",
+    "bsd-3-clause": "bsd 3 clause( clear| lbnl| attribution)?",
+    "bsd-4-clause": "bsd 4 clause( uc)?",
+    "0bsd": "0bsd",
+    "blueoak-1": "blueoak 1 0 0",
+    "bsl-1": "bsl 1 0",
+    "busl-1": "busl 1 1",
+    "cc0-1": "cc0 1 0",
+    "cddl-1": "cddl 1 [01]",
+    "cecill-2": "cecill 2 [01]",
+    "cpl-1": "cpl 1 0",
+    "ecl-2": "ecl 2 0",
+    "epl-1": "epl 1 0",
+    "epl-2": "epl 2 0",
+    "eupl-1": "eupl 1 [12]",
+    "gfdl-1": "gfdl 1 [123]( only| or later)?",
+    "gpl-1": "gpl 1 0( only| or later)?",
+    "gpl-2": "gpl 2 0( only| or later| with classpath exception)?",
+    "gpl-3": "gpl 3 0( only| or later)?",
+    "lgpl-2": "lgpl 2 [01]( only| or later)?",
+    "lgpl-3": "lgpl 3 0( only| or later)?",
+    "lppl-1": "lppl 1 3[ac]?",
+    "mit-0": "mit 0",
+    "mpl-1": "mpl 1 [01]",
+    "mpl-2": "mpl 2 0( no copyleft exception)?",
+    "ms-pl": "ms pl",
+    "ms-rl": "ms rl",
+    "mulan-2": "mulanpsl 2 0",
+    "ncsa": "ncsa",
+    "odbl-1": "odbl 1 0",
+    "ofl-1": "ofl 1 [01]( no rfn| rfn)?",
+    "osl-3": "osl 3 0",
+    "postgresql": "postgresql",
+    "psf-2": "(psf|python) 2 0",
+    "ruby": "ruby",
+    "upl-1": "upl 1 0",
+    "vim": "vim",
+    "w3c": "w3c",
+    "zlib": "zlib( acknowledgement)?",
+    "zpl-2": "zpl 2 [01]",
+}
+
 #: Sentences around a name, most certain first: (rank, keyword, pattern).
 AROUND = [
     (1, "licensed", "(dual )?licensed( to you)? under( the terms of| the terms and conditions of)?( the| a)? {}"),
     (1, "under", "(released|distributed|published|provided|available|offered|covered|made available) under( the terms of)?( the| a)? {}"),
+    (1, "covered", "covered by( the terms of)?( the| a)? {}"),
     (1, "identifier", "spdx license identifier {}"),
+    (2, "licensed", "{} licensed"),
     (2, "license", "(license|licence|licensing)( is| type| information)?( the| a)? {}"),
     (2, "terms", "terms( and conditions)? of( the| a)? {}"),
-    (3, "license", "{} (license|licence|licensed)"),
+    (3, "license", "{} (license|licence)"),
 ]
 
 #: Sentences of license texts and notices: (rank, label, keyword, pattern).
@@ -110,9 +161,10 @@ def spaced(pattern: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """Base phrases (rank 0), then names in sentences, then sentences of license texts."""
+    """Base phrases (rank 0), then names in sentences, identifiers, sentences of license texts."""
     out = [Rule(0, label, "cc" if label == "cc-by-nc" else "license", spaced(phrase)) for phrase, label in BASE.items()]
     out += [Rule(rank, label, key, spaced(around.format(name))) for rank, key, around in AROUND for label, name in NAMES.items()]
+    out += [Rule(1, label, "identifier", spaced(f"spdx license identifier {name}")) for label, name in SPDX.items()]
     return out + [Rule(rank, label, key, spaced(pattern)) for rank, label, key, pattern in SENTENCES]
 
 

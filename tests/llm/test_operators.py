@@ -320,6 +320,22 @@ def test_licenses(messy):
     assert any(r["labels"] == "gpl-3" and r["score"] == 0.9 for r in rows)
 
 
+NOTICES = {
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: MPL-2.0": "mpl-2", "SPDX-License-Identifier: LGPL-3.0-only": "lgpl-3", "SPDX-License-Identifier: LGPL-2.1": "lgpl-2",
+    "SPDX-License-Identifier: EPL-2.0": "epl-2", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: BSL-1.0": "bsl-1", "SPDX-License-Identifier: OFL-1.1": "ofl-1", "SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2", "SPDX-License-Identifier: Apache-2.0": "apache-2", "Licensed under GPLv3": "gpl-3", "licensed under the GPLv2": "gpl-2", "Licensed under the BSD license": "bsd",
+    "This project is MIT licensed.": "mit", "covered by the Apache License 2.0": "apache-2", "Released under the GNU LGPLv3.": "lgpl-3", "licensed under the GNU Affero General Public License v3.0": "agpl-3",
+    "licensed under the 3-Clause BSD License": "bsd-3-clause", "Nothing is said here about any licence": "",
+}
+
+
+def test_common_notices(spark):
+    """Notices as they stand in files, each with its label, in Spark and in SQL."""
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan(docs).collect()} == dict(enumerate(NOTICES.values()))
+    assert spark_rows(license_scan.scan(docs)) == duck_rows(docs, license_scan.oracle(), "documents")
+
+
 def test_rules_are_plain():
     every = license_scan.rules()
     assert len(every) > 200
@@ -452,6 +468,32 @@ def test_main_text_keeps_links_parts_and_formulas_of_articles():
     assert html_extract.main_text(parts) == f"{long}\n{short}"
 
 
+def test_parts_of_an_article_stay():
+    """What lies inside a content region stays; a class takes no word, paragraph or list out of an article but a list of another kind."""
+    long, short = "A sentence of an article that goes on for a while. " * 12, "Sub part short."
+    long = long.strip()
+    assert html_extract.main_text(f"<body><div><p>{long}</p><div><p>{short}</p></div></div></body>") == f"{long}\n{short}"
+    assert html_extract.main_text(f"<body><div><p>{long}</p><div><div><p>{short}</p></div><div class='ad'>Buy</div></div></div></body>") == f"{long}\n{short}"
+    inside = '<p class="reply">Said so.</p><ul class="tags-list"><li>one</li></ul><p>A <span class="search">term</span> here.</p>'
+    outside = '<div class="comments"><p>First!</p></div><ol class="comment-list"><li>Second!</li></ol><ul class="share"><li>Post</li></ul><p hidden>x</p><section class="related">More</section>'
+    assert html_extract.main_text(f"<article><p>{long}</p>{inside}{outside}</article>") == f"{long}\nSaid so.\none\nA term here."
+    few = "<p><a href='r.pdf'>Full report</a></p>"
+    menu = "<ul><li><a>Home</a></li><li><a>News</a></li><li><a>About</a></li></ul>"
+    assert html_extract.main_text(f"<body><div><p>{long}</p>{few}<p>{long}</p>{menu}</div></body>") == f"{long}\nFull report\n{long}"
+
+
+def test_short_texts_of_no_language(spark):
+    """The limit falls with the number of n-grams for every length: letters of no language go, short texts of one stay."""
+    r = random.Random(4)
+    words = {"en": "the of and that with from this have which there".split(), "de": "der die und nicht mit sich eine auch nach werden".split()}
+    rows = [(4 * i + 1, " ".join(r.choices(words[g], k=60)), g) for i, g in enumerate(["en", "de"] * 20)]
+    good = [(10_000 + i, " ".join(r.choices(words[g], k=k)), g) for i, (g, k) in enumerate([("en", 1), ("de", 2), ("en", 5), ("de", 20), ("en", 200)])]
+    junk = [(20_000 + i, "".join(r.choices("qxzjvwkpy", k=k)), None) for i, k in enumerate([30, 60, 120, 190, 400])]
+    docs = spark.createDataFrame(rows + good + junk, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in language_id.accepted(docs).collect()}
+    assert {x[0] for x in rows + good} <= kept and len(kept & {x[0] for x in junk}) <= 1
+
+
 def test_items_in_a_row():
     item = prose(31, 20)
     n = len(item)
