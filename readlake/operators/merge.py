@@ -127,3 +127,14 @@ def expect_unique(df: DataFrame, keys: list[str], where: Column | None = None) -
 def expect_at_most(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Parents with more children than allowed."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+
+
+def notes_of_documents(documents: DataFrame, notes: DataFrame) -> DataFrame:
+    """The notes with the single note that a document used to carry (document_id, user_id, note, updated_at) as its first, of its person's own words. A
+    document's note is named by the document, so a second run adds nothing; empty ones are no notes."""
+    carried = documents.filter(F.col("note").isNotNull() & (F.col("note") != "")).select(
+        F.concat(F.lit("first-"), F.col("document_id").cast("string")).alias("note_id"), "user_id", "document_id", F.col("note").alias("body"), F.lit("user").alias("origin"),
+        F.col("updated_at").alias("created_at"), "updated_at",
+    )
+    new = carried.join(notes.select("note_id"), "note_id", "left_anti")
+    return notes.select(*carried.columns).unionByName(new)

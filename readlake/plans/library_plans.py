@@ -448,6 +448,24 @@ def _(t):
     return bound(t, "library").select("document_id", U.known_license(F.col("license"), F.col("url")).alias("license"))
 
 
+@query("notes_backfill", """
+WITH d AS (SELECT doc_id AS document_id, n_chars AS user_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE substr(text, 1, 40) END AS note, DATE '2024-01-01' + CAST(n_chars % 100 AS INT) AS updated_at FROM documents),
+n AS (SELECT CASE conv_id % 2 WHEN 0 THEN 'first-' || conv_id ELSE 'own-' || conv_id || '-' || turn END AS note_id, turn AS user_id, conv_id AS document_id, text AS body, role AS origin, DATE '2024-02-01' AS created_at FROM conversations WHERE turn = 1)
+SELECT note_id, user_id, document_id, md5(body) AS body, origin, strftime(created_at, '%Y-%m-%d') AS created_at FROM n
+UNION ALL SELECT 'first-' || document_id, user_id, document_id, md5(note), 'user', strftime(updated_at, '%Y-%m-%d') FROM d WHERE note <> '' AND 'first-' || document_id NOT IN (SELECT note_id FROM n)""")
+def _(t):
+    note = F.when(F.col("doc_id") % 3 == 1, F.lit("")).when(F.col("doc_id") % 3 == 2, F.substring("text", 1, 40))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 100).cast("int"))
+    docs = t.documents.select(F.col("doc_id").alias("document_id"), F.col("n_chars").alias("user_id"), note.alias("note"), day.alias("updated_at"))
+    name = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("first-"), F.col("conv_id").cast("string"))).otherwise(F.concat_ws("-", F.lit("own"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    made = F.lit("2024-02-01").cast("date")
+    held = t.conversations.filter("turn = 1").select(
+        name.alias("note_id"), F.col("turn").alias("user_id"), F.col("conv_id").alias("document_id"), F.col("text").alias("body"), F.col("role").alias("origin"), made.alias("created_at"), made.alias("updated_at")
+    )
+    out = M.notes_of_documents(docs, held)
+    return out.select("note_id", "user_id", "document_id", F.md5("body").alias("body"), "origin", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"))
+
+
 @query("expect_rules", with_bindings("library") + """
 SELECT 'known_source' AS rule, count(*) FILTER (WHERE source_type NOT IN ('manual', 'upload')) AS violations FROM library
 UNION ALL SELECT 'short_title', count(*) FILTER (WHERE length(title) > 24) FROM library

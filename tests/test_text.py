@@ -100,3 +100,32 @@ def test_sentences(spark):
     assert around(text, "nowhere") == ""
     assert around("chapter two.", "chapter two") == ""
     assert around(text, "a b c d e f g h") == ""
+
+
+def test_plain_words_pairs(spark):
+    """What a reader sees of each source line."""
+    pairs = [
+        ("# Title *here*", "Title here"), ("> said **so**", "said so"), ("- an `entry`", "an entry"), ("12. third", "third"), ("see [the page](http://x.y/z) now", "see the page now"),
+        ("![alt text](a.webp)", ""), ("a ![x](u) b [c](d)", "a  b c"), ("not [a link] (at all)", "not [a link] (at all)"), ("![open", "![open"), ("2 * 3 * 4", "2 * 3 * 4"), ("a*b*c", "a*b*c"),
+        ("*one* and *two words*", "one and two words"), ("\\*kept\\* \\_too\\_", "kept _too_"), ("| a | b |", "  a   b  "), ("|---|:-:|", ""), ("cut<br/>here", "cuthere"), ("soft­hyphen⁣", "softhyphen"),
+        ("__strong__ word", "strong word"), ("", ""), ("#tag", "#tag"), ("    # code", "    # code"),
+    ]
+    frame = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(pairs)], "i int, raw string")
+    got = {r.i: r.words for r in frame.select("i", X.plain(F.col("raw")).alias("words")).collect()}
+    assert {i: got[i] for i in got} == {i: want for i, (_, want) in enumerate(pairs)}
+
+
+def test_paragraphs_that_open_with_their_part(spark):
+    from readlake.operators import roles
+
+    said = {"Funding: by a grant.": "FUNDING", "**Conflicts of interest.** None.": "CONFLICT_OF_INTEREST", "Data availability — on request": "DATA_AVAILABILITY", "Acknowledgments: we thank": "ACKNOWLEDGEMENTS", "Funding was hard to find.": None, "We saw: things": None}
+    frame = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r.t: r.p for r in frame.select("t", roles.opening_part(F.col("t")).alias("p")).collect()} == said
+
+
+def test_markdown_helpers():
+    from readlake.sources import html as H
+
+    assert H._pictures_apart("a ![x](u) b ![y] c ![](z)d") == ["a ", "![x](u)", " b ![", "y] c ", "![](z)", "d"]
+    assert [H._is_entry(x) for x in ("  - x", "  12. x", "  -x", "- x", "  x. y")] == [True, True, False, False, False]
+    assert H._without_leaders("Title . . . . . . . 12") == "Title  … 12" and H._without_leaders("a.b ... c") == "a.b ... c"
