@@ -21,6 +21,7 @@ def test_pipeline(spark):
     names = docs.columns
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.columns[: len(names)] == names and 0 < got.count() < docs.count()
+    compare(spark, None, FOLDER, "pipeline", lambda *_: got, None)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeated_passages", "decontamination", "mixing"]
 
 
