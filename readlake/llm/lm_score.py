@@ -229,10 +229,12 @@ def learned_weights(events: DataFrame, order: int, distinct: int, tokens: int, r
     `BUCKETS * (order + 1)` sums reach the driver."""
     longest = F.col(f"h{order}") if order > 1 else F.lit(0)
     bucket = F.when(longest > 0, F.least(F.floor(F.log2(longest)) + 1, F.lit(BUCKETS - 1))).otherwise(0).cast("int")
-    parts: list[Column] = [F.lit(1.0 / (distinct + 1)), F.col("c1") / F.lit(float(max(tokens, 1)))]
-    parts += [F.when(F.col(f"h{n}") > 0, F.col(f"c{n}") / F.col(f"h{n}")).otherwise(0.0) for n in range(2, order + 1)]
+    any_word = F.lit(1.0 / (distinct + 1))
+    parts: list[Column] = [any_word, F.col("c1") / F.lit(float(tokens)) if tokens else any_word]
+    for n in range(2, order + 1):  # after a context that was never seen the order below speaks
+        parts.append(F.when(F.col(f"h{n}") > 0, F.col(f"c{n}") / F.col(f"h{n}")).otherwise(parts[-1]))
     weights = [[1.0 / (order + 1)] * (order + 1) for _ in range(BUCKETS)]
-    last = None
+    last, seen = None, []
     for _ in range(rounds):
         table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in weights])
         mine = F.element_at(table, F.col("bucket") + 1)
@@ -243,11 +245,13 @@ def learned_weights(events: DataFrame, order: int, distinct: int, tokens: int, r
         got = frame.groupBy("bucket").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log(whole)).alias("fit"), *sums).collect()
         for r in got:
             weights[r["bucket"]] = [r[f"s{i}"] / r["n"] for i in range(order + 1)]
+        seen = [r["bucket"] for r in got]
         fit, n = sum(r["fit"] for r in got), sum(r["n"] for r in got)
         if last is not None and fit - last <= close * max(n, 1):
             break
         last = fit
-    return weights
+    # A bucket without an event has the weights of the nearest one with any, the lower of two; equal weights stay where none has.
+    return [weights[min(seen, key=lambda k: (abs(k - b), k))] if seen else weights[b] for b in range(BUCKETS)]
 
 
 def scores(
@@ -266,7 +270,9 @@ def scores(
 
     `held_out` rows teach nothing (default: crc32 of the id modulo 5 is 1); `tune` says which of the others teach the mixture
     weights (default: a tenth, by another part of the crc32). A null text is the empty text, one end token; a null id counts as
-    the empty text in crc32. Without training text every token has probability 1 / (V + 1) = 1."""
+    the empty text in crc32. An order whose context was never seen leaves its weight to the order below, so the probabilities after any
+    context sum to one; a bucket of contexts that no tuning text has takes the weights of the nearest that some has, and equal weights
+    stand if there is no tuning text. Without training text every token has probability 1 / (V + 1) = 1."""
     key = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     held_out = crc(F.col(doc_id), 5) == 1 if held_out is None else held_out
     tune = F.pmod(F.floor(key / 5), F.lit(10)) == 0 if tune is None else tune
@@ -301,9 +307,11 @@ def scores(
             block = _Block.of(row["keys"], row["codes"], row["n_tokens"])
             _, count, context = _counts(block, right.combine_chunks(), "trained", order)
             mine = mix[_bucket(context[-1])]
-            p = mine[:, 0] / (distinct + 1) + mine[:, 1] * count[0] / max(tokens, 1)
+            part = count[0] / tokens if tokens else np.full(len(mine), 1 / (distinct + 1))
+            p = mine[:, 0] / (distinct + 1) + mine[:, 1] * part
             for n in range(2, order + 1):
-                p += mine[:, n] * count[n - 1] / np.maximum(context[n - 1], 1)
+                part = np.where(context[n - 1] > 0, count[n - 1] / np.maximum(context[n - 1], 1), part)
+                p += mine[:, n] * part
             begin = np.cumsum(block.many) - block.many
             base = np.log10((count[0] + 0.5) / (tokens + 0.5 * (distinct + 1)))
             out.append(

@@ -61,7 +61,15 @@ def test_scores(messy, order):
 
     held, many = counted({0})
     tokens, distinct = size(held)
-    events = [(bucket(h[-1]), [1 / (distinct + 1), g[0] / tokens, *(g[n] / h[n] if h[n] else 0 for n in range(1, order))]) for (_, w), r in zip(texts, role, strict=True) if r == 1 for g, h in parts(w, held, many)]
+
+    def shares(g, h):
+        """Any word, 1-gram, ...; an order without its context repeats the one below."""
+        out = [1 / (distinct + 1), g[0] / tokens]
+        for n in range(1, order):
+            out.append(g[n] / h[n] if h[n] else out[-1])
+        return out
+
+    events = [(bucket(h[-1]), shares(g, h)) for (_, w), r in zip(texts, role, strict=True) if r == 1 for g, h in parts(w, held, many)]
     mix = [[1 / (order + 1)] * (order + 1) for _ in range(lm_score.BUCKETS)]
     last = None
     for _ in range(30):
@@ -76,6 +84,7 @@ def test_scores(messy, order):
         if last is not None and fit - last <= 1e-5 * max(len(events), 1):
             break
         last = fit
+    mix = [mix[min(times, key=lambda k: (abs(k - b), k))] for b in range(lm_score.BUCKETS)]
     held, many = counted({0, 1})
     tokens, distinct = size(held)
     want = []
@@ -83,7 +92,7 @@ def test_scores(messy, order):
         score = base = known = 0
         for g, h in parts(w, held, many):
             m = mix[bucket(h[-1])]
-            score += math.log10(m[0] / (distinct + 1) + m[1] * g[0] / tokens + sum(m[n + 1] * g[n] / h[n] for n in range(1, order) if h[n]))
+            score += math.log10(sum(x * y for x, y in zip(m, shares(g, h), strict=True)))
             base += math.log10((g[0] + 0.5) / (tokens + 0.5 * (distinct + 1)))
             known += g[0] > 0
         want.append((i, r == 2, len(w), known, tokens, base, score))
@@ -93,14 +102,28 @@ def test_scores(messy, order):
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over a vocabulary and the unknown word, after any context."""
-    rows = [(i, t) for i, t in enumerate(["a b a", "b b a c", "c a", "a", "b c b"] * 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    never = F.col("doc_id") >= 1000
-    probe = spark.createDataFrame([(1000 + k, x) for k, x in enumerate(["a a", "a b", "a c", "a zz", "a"])], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm_score.scores(docs.unionByName(probe), held_out=never).collect() if r["doc_id"] >= 1000}
-    # p(x | a) for x in a, b, c, unknown = p("a x") / p(a | begin) / p(end | x); the end of "a" is p(end | a).
-    assert all(v < 0 for v in got.values()) and len(got) == 5
+    """Over the words, the unknown word and the end, at the beginning and after every word, known or not.
+
+    With s the probability of a text, the chances that a text ends after x follow from u(x) = 1 / p(end | x) = 1 + sum over y of
+    s(x y) / s(x) * u(y), if those after x sum to one; then the first words and the empty text sum to one exactly if those at the
+    beginning do."""
+    rows = [(i, t) for i, t in enumerate(["a b a", "b b a c", "c a", "a", "b c b", ""] * 4)]
+    words = ["a", "b", "c", "zz"]
+    probes = ["", *words, *[f"{x} {y}" for x in words for y in words]]
+    docs = spark.createDataFrame(rows + [(1000 + k, t) for k, t in enumerate(probes)], "doc_id long, text string")
+    for tune in (None, F.lit(False), F.lit(True)):
+        got = lm_score.scores(docs, held_out=F.col("doc_id") >= 1000, tune=tune).filter("held_out").collect()
+        s = {probes[r["doc_id"] - 1000]: 10 ** r["score"] for r in got}
+        step = np.array([[s[f"{x} {y}"] / s[x] for y in words] for x in words])
+        ends = np.linalg.solve(np.eye(4) - step, np.ones(4))
+        assert (ends > 1).all() and abs(sum(s[x] * u for x, u in zip(words, ends, strict=True)) + s[""] - 1) < 1e-9
+
+
+def test_nothing_to_learn_from(spark):
+    """Without training text every token has probability one."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = lm_score.scores(docs, held_out=F.lit(True)).collect()
+    assert [(r["score"], r["train_tokens"], r["n_known"]) for r in got] == [(0.0, 0, 0)] * 2
 
 
 def test_near_duplicates(messy):
