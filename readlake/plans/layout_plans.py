@@ -477,3 +477,20 @@ def _(t):
     read = F.when(F.col("axis") % 2 == 0, F.log10("y")).otherwise(F.col("y"))
     grouped = out.groupBy(F.col("figure").cast("bigint").alias("figure"), F.col("panel").cast("bigint").alias("panel"), "series")
     return grouped.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 1).alias("x"), F.round(F.avg(read), 2).alias("y"))
+
+
+@query("page_items_read", ITEMS + """
+SELECT doc_id, page, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS letters, round(sum(size), 1) AS size, md5(string_agg(text, '|' ORDER BY ord)) AS words FROM items GROUP BY 1, 2""")
+def _(t):
+    """The items written as a page parser leaves them, JSON lines, and read through the source, five columns of thirteen."""
+    from readlake.session import shared_path
+    from readlake.sources import page_items
+
+    path = shared_path(t.spark, "page_items")
+    items(t).withColumn("doc_id", F.col("doc_id").cast("string")).write.json(path)
+    page_items.register(t.spark)
+    read = t.spark.read.format("page_items").schema("doc_id STRING, page INT, ord INT, text STRING, size DOUBLE").option("rangeBytes", 1 << 18).load(path)
+    rows = read.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "page").agg(
+        F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).cast("bigint").alias("letters"), F.round(F.sum("size"), 1).alias("size"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_t")
+    )
+    return rows.withColumn("words", F.md5(F.array_join(F.transform("_t", lambda x: x["text"]), "|"))).drop("_t")

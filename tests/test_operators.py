@@ -731,3 +731,33 @@ def test_cleaning_chain(spark):
     side = {(r.type, r.text) for r in out.aside.collect()}
     assert {("PAGE_NUMBER", "7"), ("PUBLISHER_INFO", "© 2020 All rights reserved"), ("FUNDING", "## Funding"), ("FUNDING", "We were paid.")} <= side
     assert CL.clean(frame.limit(0), read.limit(0)).content.collect() == []
+
+
+def test_page_items_source(spark, tmp_path):
+    """Ranges of any size give every line once; lines that are no items are left out or fail; only the columns asked for are read."""
+    import json
+
+    from readlake.sources import page_items
+
+    rows = [{"doc_id": f"d{i}", "page": i % 7, "text": "wörds " * (i % 50), "x0": i / 2} for i in range(300)]
+    body = "\n".join(json.dumps(r, ensure_ascii=False) for r in rows)
+    (tmp_path / "a.json").write_text(body + "\n[1]\nnot json\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps({"doc_id": "last"}), encoding="utf-8")
+    (tmp_path / "_SUCCESS").write_text("")
+    page_items.register(spark)
+    for size in (1, 7, 4096, 1 << 20):
+        if size == 1:  # every byte its own range
+            parts = page_items.ranges(str(tmp_path / "b.json"), 1)
+            assert [x for p in parts for x in page_items.lines(p)] == [b'{"doc_id": "last"}']
+            continue
+        if size == 7:
+            got = [x for p in page_items.ranges(str(tmp_path / "a.json"), 7) for x in page_items.lines(p)]
+            assert got == (tmp_path / "a.json").read_bytes().splitlines()
+            continue
+        read = spark.read.format("page_items").option("rangeBytes", size).schema("doc_id STRING, x0 DOUBLE, text STRING").load(str(tmp_path))
+        want = sorted([(r["doc_id"], r["x0"], r["text"]) for r in rows] + [("last", None, None)], key=str)
+        assert read.columns == ["doc_id", "x0", "text"] and sorted(map(tuple, read.collect()), key=str) == want
+    whole = spark.read.format("page_items").load(str(tmp_path))
+    assert len(whole.columns) == 13 and whole.count() == 301
+    with pytest.raises(Exception, match="no item|JSON|Expecting"):
+        spark.read.format("page_items").option("mode", "FAILFAST").load(str(tmp_path)).count()
