@@ -42,10 +42,12 @@ def _first_weights() -> np.ndarray:
     share = np.array([0, 16, 29, 38, 45, 51, 55, 58])  # in 64
     order2 = share[k2] * (_PARTS // 64)
     order1 = (_PARTS - order2) // 64 * share[k1] * 3 // 4 * (1 - agree)
-    return np.stack((order2, order1)).clip(_LEAST).astype(np.int32)
+    return np.stack((order2, order1), axis=1).clip(_LEAST).astype(np.int32)
 
 
 _WEIGHTS = _first_weights()
+#: Where the weights of orders 2 and 1 move after each symbol.
+_GOAL = np.array([[_PARTS - 2 * _LEAST, _LEAST], [_LEAST, _PARTS - 2 * _LEAST], [_LEAST, _LEAST]], dtype=np.int32)
 
 
 class _Model:
@@ -55,7 +57,7 @@ class _Model:
         self.guesses = np.full(2 * lanes * _TABLE, NO_ID << 3, dtype=np.int32)
         self.base = (np.arange(2 * lanes, dtype=np.int64) * _TABLE).reshape(2, lanes)
         #: Weights of order 2 and order 1 in 65,536 for each pair of confidences and whether the guesses agree, in each lane.
-        self.weights = [np.tile(w, lanes) for w in _WEIGHTS]
+        self.weights = np.tile(_WEIGHTS, (lanes, 1))
         self.states = np.arange(lanes, dtype=np.int64) * 128
         self.one, self.two = (np.full(lanes, NO_ID, dtype=np.int64) for _ in range(2))
 
@@ -69,12 +71,15 @@ class _Model:
         self.ids, self.sure = e >> 3, e & 7
         state = (self.sure[0] << 4) + (self.sure[1] << 1) + (self.ids[0] == self.ids[1])
         self.state = self.states + state
-        self.now = [w.take(self.state) for w in self.weights]
-        return self.now[0], self.now[1]
+        self.now = self.weights.take(self.state, axis=0)
+        return self.now[:, 0].copy(), self.now[:, 1].copy()
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        for k, (held, now) in enumerate(zip(self.weights, self.now, strict=True)):
-            held[self.state] = now + (((symbol == k) * np.int32(_PARTS - 3 * _LEAST) + np.int32(_LEAST) - now) >> 4)
+        change = _GOAL.take(symbol, axis=0)
+        change -= self.now
+        change >>= 4
+        change += self.now
+        self.weights[self.state] = change
         hit = self.ids == ids
         sure = _SURE.take(self.sure + hit * np.int32(8))
         self.guesses[self.place] = np.where(sure > 0, (self.ids << 3) | sure, (ids << 3) | 1)
@@ -159,8 +164,8 @@ class _Order0:
     def __init__(self, ids: np.ndarray, share: np.ndarray):
         self.ids, self.share = ids, share
         edge = np.concatenate(([0], np.cumsum(share)))
-        self.start, self.size = np.zeros(NO_ID, dtype=np.uint64), np.zeros(NO_ID, dtype=np.uint64)
-        self.start[ids], self.size[ids] = edge[:-1], share
+        self.spans = np.zeros((NO_ID, 2), dtype=np.uint32)  # start and size, side by side
+        self.spans[ids, 0], self.spans[ids, 1] = edge[:-1], share
         self.id_at = np.repeat(ids, share).astype(np.int32)
 
     @classmethod
@@ -203,11 +208,11 @@ def _run(length: np.ndarray, ids: np.ndarray | None, order0: _Order0, writer: _W
             x = ids[t, :n]
             symbol = np.where(x == model.ids[0], 0, np.where(x == model.ids[1], 1, 2)).astype(np.int32)
         told = symbol == 2
-        # A guess takes whole parts of 65,536; order 0 takes parts of what both leave.
-        left = np.where(told, _PARTS - both, 0).astype(np.uint64)
-        # (a damaged block may guess what is no id)
-        start = (np.where(told, both, symbol * f0).astype(np.uint64) << _16) + left * order0.start.take(x, mode="clip")
-        size = np.where(told, left * order0.size.take(x, mode="clip"), np.where(symbol == 1, f1, f0).astype(np.uint64) << _16)
+        # A guess takes whole parts of 65,536; order 0 takes parts of what both leave. (A damaged block may guess what is no id.)
+        left = (told * (_PARTS - both)).astype(np.uint64)
+        span = order0.spans.take(x, axis=0, mode="clip")
+        start = (np.where(told, both, symbol * f0).astype(np.uint64) << _16) + left * span[:, 0]
+        size = np.where(told, left * span[:, 1], np.where(symbol == 1, f1, f0).astype(np.uint64) << _16)
         if reads:
             reader.take(start, size)
             ids[t, :n] = x

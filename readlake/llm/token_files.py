@@ -16,8 +16,10 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,13 +27,13 @@ from pyspark.sql import functions as F
 
 from readlake.llm import context_coder
 from readlake.llm.common import identity
-from readlake.llm.words import LOWER, Words, chunks, column, give_back, tables
+from readlake.llm.words import Words, chunks, column, give_back, tables
 from readlake.session import pinned
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Pieces a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Stands alone between words that are encoded together.
 _BREAK = "\x00"
 _LETTER, _SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -58,14 +60,16 @@ def pieces(words: Words) -> Words:
     if len(special):
         keep &= ~np.isin(word, special)
     starts, ends = (np.sort(np.concatenate((x, cuts[keep]))) for x in (words.starts, words.ends))
-    high = np.concatenate(([0], np.cumsum(data >= 128)))
-    as_is = high[ends] > high[starts]
+    as_is = np.zeros(len(starts), dtype=bool)  # with a byte outside ASCII
+    as_is[np.searchsorted(starts, np.flatnonzero(data >= 128), "right") - 1] = True
     if len(special):
         as_is |= np.isin(np.searchsorted(words.starts, starts, "right") - 1, special)
-    inside = np.zeros(len(data) + 1, dtype=np.int8)
-    inside[starts[as_is]] = 1
-    np.subtract.at(inside, ends[as_is], 1)
-    return Words(np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, data, LOWER[data]), words.offsets, starts, ends, np.searchsorted(starts, words.offsets))
+    large = np.flatnonzero((data - np.uint8(65)) < 26)
+    large = large[~as_is[np.searchsorted(starts, large, "right") - 1]]
+    if len(large):
+        data = data.copy()
+        data[large] += 32
+    return Words(data, words.offsets, starts, ends, np.searchsorted(starts, words.offsets))
 
 
 class Encoder:
@@ -86,9 +90,10 @@ class Encoder:
         self.start, self.many = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
         self.pool, self.used = np.zeros(1 << 12, dtype=np.int32), 0
 
-    def _encoded(self, words: list[str]) -> list[list[int]]:
+    def _encoded(self, words: list[str], plain: bool) -> list[list[int]]:
+        """plain: no word holds the break."""
         out: list[list[int]] = [[]] * len(words)
-        together = [i for i, w in enumerate(words) if self.mark is not None and _BREAK not in w]
+        together = list(range(len(words))) if plain and self.mark is not None else [i for i, w in enumerate(words) if self.mark is not None and _BREAK not in w]
         groups = [together[i : i + 256] for i in range(0, len(together), 256)]
         held = self.library.encode_batch_fast([f" {_BREAK} ".join(words[i] for i in g) for g in groups], add_special_tokens=False)
         alone = sorted(set(range(len(words))) - set(together))
@@ -107,14 +112,14 @@ class Encoder:
     def _learn(self, words: Words, keys: list[int], at: np.ndarray) -> None:
         data = words.data.tobytes()
         spans = zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)
-        found = self._encoded([data[a:b].decode() for a, b in spans])
+        found = self._encoded([data[a:b].decode() for a, b in spans], b"\x00" not in data)
         many = np.array([len(x) for x in found], dtype=np.int64)
         n, extra = len(self.slots), int(many.sum())
         while n + len(keys) > len(self.many):
             self.start, self.many = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.many))
         while self.used + extra > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.used : self.used + extra] = np.fromiter((i for x in found for i in x), dtype=np.int32, count=extra)
+        self.pool[self.used : self.used + extra] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=extra)
         self.start[n : n + len(keys)] = self.used + np.cumsum(many) - many
         self.many[n : n + len(keys)] = many
         self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
@@ -125,9 +130,10 @@ class Encoder:
         words = pieces(words)
         if len(self.slots) > REMEMBERED:
             self._forget()
-        keys, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        get = self.slots.get
-        slot = np.fromiter((get(k, -1) for k in keys.tolist()), dtype=np.int64, count=len(keys))
+        which, keys = pd.factorize(words.hashes())
+        first = np.empty(len(keys), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]  # the first of equal ones is written last
+        slot = np.fromiter(map(self.slots.get, keys.tolist(), repeat(-1)), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(slot < 0)
         if len(new):
             n = len(self.slots)
