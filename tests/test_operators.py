@@ -761,3 +761,25 @@ def test_page_items_source(spark, tmp_path):
     assert len(whole.columns) == 13 and whole.count() == 301
     with pytest.raises(Exception, match="no item|JSON|Expecting"):
         spark.read.format("page_items").option("mode", "FAILFAST").load(str(tmp_path)).count()
+
+
+def test_notebooks_whole_or_in_slices(spark):
+    """Small notebooks are numbered, grouped and paired after one shuffle of their sources; large ones slice by slice, with the same rows."""
+    from readlake.operators import notebooks as N
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, None]), rnd.randrange(4), f"h{i}", rnd.choice([None, 1, 5000, 9000]), rnd.choice([None, 1, 2]), rnd.randrange(3), rnd.choice([None, 1, 2])) for i in range(300)]
+    rows = spark.createDataFrame(rows, "notebook_id long, document_id long, highlight_id string, start_at long, page_number int, created_at int, paragraph int")
+    rows = rows.withColumns({"title": F.concat(F.lit("T"), (F.col("document_id") % 2).cast("string")), "selected_text": F.lit("here"), "paragraph_text": F.lit("One. It stands here now. End.")}).cache()
+    full = rows.filter("notebook_id is not null")
+    made = {
+        "numbers": (rows, lambda s, _: s.select("notebook_id", "highlight_id", "number"), 1),
+        "groups": (full, lambda s, whole: N.group_sources(s, 3, whole=whole), 1),
+        "partners": (full, lambda s, whole: N.partners(s, 3, whole=whole), 1),
+        "paragraphs": (full, lambda s, whole: N.paragraph_partners(s, whole).select("notebook_id", "highlight_id", "first_number", "last_number", "others"), 1),
+    }
+    for name, (given, f, shuffles) in made.items():
+        whole = N.by_notebook(given, given, f)
+        told = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert told(whole) == told(N.by_notebook(given, given, f, most=70)) == told(f(N.number_sources(given), False)), name
+        assert whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == shuffles, name
