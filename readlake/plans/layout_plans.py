@@ -473,10 +473,10 @@ def _(t):
     x_fits = xs.select("figure", "axis", F.lit("linear").alias("scale"), (F.col("axis") + 1).cast("double").alias("a"), F.lit(0.0).alias("b"))
     y_fits = ys.select("figure", "axis", F.when(log, "log").otherwise("linear").alias("scale"), F.when(log, 0.01).otherwise(0.02).alias("a"), F.lit(0.0).alias("b"))
     found = C.panels(xs, ys)
-    out = C.digitise_panels(marks, found, x_fits, y_fits).join(found.select("figure", "panel", F.col("y").alias("axis")), ["figure", "panel"])
+    out = C.digitise_panels(marks, found, x_fits, y_fits, digits=None).join(found.select("figure", "panel", F.col("y").alias("axis")), ["figure", "panel"])
     read = F.when(F.col("axis") % 2 == 0, F.log10("y") * 100).otherwise(F.col("y") * 50)  # back to the place on the page
     grouped = out.groupBy(F.col("figure").cast("bigint").alias("figure"), F.col("panel").cast("bigint").alias("panel"), "series")
-    return grouped.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 1).alias("x"), F.round(F.max(read) + 0.25, 0).alias("y"))
+    return grouped.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 1).alias("x"), F.round(F.round(F.max(read), 6) + 0.25, 0).alias("y"))  # places have few decimals, logarithms there and back many
 
 
 @query("page_items_read", ITEMS + """

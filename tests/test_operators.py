@@ -794,3 +794,15 @@ def test_figure_regions_worked_out_once(spark):
     out = L.figures(found, labels)
     assert [tuple(r)[3:7] for r in out.collect()] == [(100.0, 100.0, 435.0, 200.0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 4
+
+
+def test_panels_digitised_to_all_digits(spark):
+    """Three marks in a row stand for their mean: 501 and a third, which on a doubled axis has more than four digits."""
+    from readlake.operators import charts
+
+    marks = spark.createDataFrame([("f", 1, p, 10.0) for p in (500.0, 501.0, 503.0 - 1)] + [("f", 1, 400.0, 10.0), ("f", 1, 401.0, 10.0), ("f", 1, 401.0, 11.0)], "figure string, series int, px double, py double")
+    found = spark.createDataFrame([("f", 0, 0, 0, 0.0, 0.0, 999.0, 999.0)], "figure string, panel int, x int, y int, x0 double, y0 double, x1 double, y1 double")
+    fits = spark.createDataFrame([("f", 0, "linear", 4.0, 0.0)], "figure string, axis int, scale string, a double, b double")
+    read = lambda **more: [r.x for r in charts.digitise_panels(marks, found, fits, fits, **more).orderBy("i").collect()]
+    assert read() == [1603.0, 2004.0]
+    assert read(digits=None) == pytest.approx([1602.6666667, 2004.0], abs=1e-6)
