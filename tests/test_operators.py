@@ -806,3 +806,14 @@ def test_panels_digitised_to_all_digits(spark):
     read = lambda **more: [r.x for r in charts.digitise_panels(marks, found, fits, fits, **more).orderBy("i").collect()]
     assert read() == [1603.0, 2004.0]
     assert read(digits=None) == pytest.approx([1602.6666667, 2004.0], abs=1e-6)
+
+
+def test_title_keeps_unclosed_references(spark):
+    """A reference in a title counts once it is closed; elsewhere, and in closed form, it is read as before."""
+    from readlake.sources.html import html_nodes
+
+    html = "<html><head><TITLE lang='en'>Rock &amp; roll &amp;&amp</TITLE></head><body><p>x &amp y</p></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.example/", html), (2, "http://a.example/", "<title>A&lt;B &#39;c&#39; &amp;lt; AT&T</title>")], "page_id long, url string, html string")
+    titles = {r.page_id: r.title for r in web.metadata(html_nodes(pages), pages).collect()}
+    assert titles == {1: "Rock & roll &&amp", 2: "A<B 'c' &lt; AT&T"}
+    assert html_nodes(pages).filter("text like 'x%'").first().text == "x & y"
