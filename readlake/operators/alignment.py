@@ -2,7 +2,8 @@
 
 Candidates are k-grams that stand once in each reading, found by one grouping of all passages' grams. Neighbours on one diagonal
 join to runs by a window; the heaviest rising chain of a passage's runs is a fold over them, sorted; runs then grow to both sides
-while the characters agree. What is left between the runs of a chain goes through the same steps with shorter grams.
+while the characters agree. What is left between the runs of a chain goes through the same steps with shorter grams, at last with
+grams that stand several times as well.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from readlake.session import pinned
 
 RUN = "struct<at:int,to:int,size:int>"
 LINK = "struct<score:int,at:int,to:int,size:int,before:int>"
-#: Gram lengths of the rounds.
-GRAMS = (12, 4, 4)
+#: Gram lengths of the rounds, and in how many pairs of places a gram may stand.
+GRAMS = ((12, 1), (4, 1), (4, 1), (4, 1024))
 
 
 def _letters(text: str) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "")
 
 
-def diagonals(passages: DataFrame, keys: list[str], a: str, b: str, k: int) -> DataFrame:
-    """(keys, at, to, size): runs of grams of length k that stand once in each text, place by place."""
+def diagonals(passages: DataFrame, keys: list[str], a: str, b: str, k: int, most: int = 1) -> DataFrame:
+    """(keys, at, to, size): runs of grams of length k that stand once in each text, or in up to `most` pairs of places, place by place."""
 
     def grams(text: str, name: str) -> DataFrame:
         letters = passages.select(*keys, _letters(text).alias("_l"))
@@ -36,7 +37,11 @@ def diagonals(passages: DataFrame, keys: list[str], a: str, b: str, k: int) -> D
         return rows.select(*keys, "_g", *places)
 
     both = grams(a, "_i").unionByName(grams(b, "_j")).groupBy(*keys, "_g")
-    once = both.agg(F.count("_i").alias("_ni"), F.count("_j").alias("_nj"), F.max("_i").alias("_i"), F.max("_j").alias("_j")).filter("_ni = 1 and _nj = 1")
+    if most == 1:
+        once = both.agg(F.count("_i").alias("_ni"), F.count("_j").alias("_nj"), F.max("_i").alias("_i"), F.max("_j").alias("_j")).filter("_ni = 1 and _nj = 1")
+    else:
+        lists = both.agg(F.collect_list("_i").alias("_is"), F.collect_list("_j").alias("_js")).filter(F.size("_is") * F.size("_js") <= most)
+        once = lists.withColumn("_i", F.explode("_is")).withColumn("_j", F.explode("_js")).drop("_is", "_js")
     line = W.partitionBy(*keys, "_d").orderBy("_i")
     steps = once.withColumn("_d", F.col("_i") - F.col("_j"))
     steps = steps.withColumn("_run", F.col("_i") - F.row_number().over(line))
@@ -101,18 +106,30 @@ def _grown(runs: Column, a: Column, b: Column) -> Column:
     return F.transform(F.array(forward), lambda rs: F.transform(rs, lambda x, i: left(x, i, rs)))[0]
 
 
+def _joined(runs: Column) -> Column:
+    """Runs that follow on one another without a gap in either text, as one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        follows = F.coalesce((last["at"] + last["size"] == x["at"]) & (last["to"] + last["size"] == x["to"]), F.lit(False))
+        longer = F.struct(last["at"].alias("at"), last["to"].alias("to"), (last["size"] + x["size"]).alias("size")).cast(RUN)
+        return F.when(follows, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(runs, F.array().cast(f"array<{RUN}>"), add)
+
+
 def runs(passages: DataFrame, keys: list[str], a: str, b: str, least: int) -> DataFrame:
     """(keys, at, to, size): runs of `least` characters or more that texts `a` and `b` of a passage share, rising in both and never
     lapping over. Null texts are empty."""
     parts, out = passages.select(*keys, F.lit(0).alias("_gap"), F.lit(0).alias("_at"), F.lit(0).alias("_to"), F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b")), []
     named = [*keys, "_gap", "_at", "_to"]
-    for turn, k in enumerate(GRAMS):
+    for turn, (k, most) in enumerate(GRAMS):
         parts = pinned(parts.filter((F.length("_a") >= least) & (F.length("_b") >= least)), "gaps")
-        found = diagonals(parts, named, "_a", "_b", k)
+        found = diagonals(parts, named, "_a", "_b", k, most)
         chains = found.groupBy(*named).agg(F.array_sort(F.collect_list(F.struct("at", "to", "size").cast(RUN))).alias("_runs"))
         met = parts.join(chains, named).withColumn("_la", _letters("_a")).withColumn("_lb", _letters("_b"))
         met = met.withColumn("_chain", heaviest_chain(F.col("_runs")))
-        met = pinned(met.withColumn("_chain", _grown(F.col("_chain"), F.col("_la"), F.col("_lb"))).drop("_la", "_lb", "_runs"), "chains")
+        met = pinned(met.withColumn("_chain", _joined(_grown(F.col("_chain"), F.col("_la"), F.col("_lb")))).drop("_la", "_lb", "_runs"), "chains")
         one = met.select(*named, F.explode("_chain").alias("_r"))
         out.append(one.select(*keys, (F.col("_at") + F.col("_r.at")).alias("at"), (F.col("_to") + F.col("_r.to")).alias("to"), F.col("_r.size").alias("size")))
         if turn + 1 == len(GRAMS):

@@ -817,3 +817,17 @@ def test_title_keeps_unclosed_references(spark):
     titles = {r.page_id: r.title for r in web.metadata(html_nodes(pages), pages).collect()}
     assert titles == {1: "Rock & roll &&amp", 2: "A<B 'c' &lt; AT&T"}
     assert html_nodes(pages).filter("text like 'x%'").first().text == "x & y"
+
+
+def test_alignment_of_repeated_letters(spark):
+    """Runs whose every gram stands several times: one letter over and over, and a text that says itself twice."""
+    from readlake.operators import alignment
+
+    twice = "0123456789abcdeffedcba9876543210" * 2
+    cases = [(1, "aaaaaXzy9w8v7u6t5s4r3", "aaaaa#zy9w8v7u6t5s4r3"), (2, twice, twice[:20] + "#" + twice[21:]), (3, "ababababX", "abababab#"), (4, "bb62bb9ea304d21041041a", "bb62bb9ea304d2#041041a"), (5, "bb62bb9ea304d2X1041041a", "bb62bb9ea304d2#1041041a")]
+    frame = spark.createDataFrame(cases, "id int, a string, b string")
+    got = {}
+    for r in alignment.runs(frame, ["id"], "a", "b", A.MIN_RUN).collect():
+        got.setdefault(r.id, set()).update((r.at + i, r.to + i) for i in range(r.size))
+    for n, a, b in cases:
+        assert got[n] == {(i, i) for i in range(len(a)) if a[i] == b[i]}, n
