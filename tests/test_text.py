@@ -37,6 +37,15 @@ def test_block_name_hash(spark):
         assert one(spark, X.fnv1a(F.lit(text))) == fnv(text)
 
 
+def test_block_name_hash_of_many(spark):
+    """Texts of all lengths in one batch, some null; no interpreted fold over their letters."""
+    rng = random.Random(4)
+    texts = [None if n % 7 == 3 else "".join(rng.choice("aé😀đ\n ") for _ in range(rng.choice((0, 1, 5, 60, 900)))) for n in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(1).select("n", "t", X.fnv1a(F.col("t")).alias("h"))
+    assert all(r.h == (None if r.t is None else fnv(r.t)) for r in df.collect())
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_snippet_marks_accented_terms(spark):
     text = "x" * 100 + " Phương pháp học " + "y" * 300
     got = one(spark, X.snippet(F.lit(text), X.fold(F.lit(text)), X.query_terms("phuong phap")))
