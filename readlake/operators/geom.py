@@ -17,11 +17,6 @@ def _cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> Dat
     return across.withColumn("_cy", F.explode(F.sequence(at(y0), at(y1))))
 
 
-def in_cells(df: DataFrame, x: str, y: str, w: str, h: str) -> DataFrame:
-    """One row per grid cell (_cx, _cy) that a box given by its corner and size touches."""
-    return _cells(df, F.col(x), F.col(y), F.col(x) + F.col(w), F.col(y) + F.col(h))
-
-
 def same_area(a: DataFrame, b: DataFrame, at: list[str]) -> DataFrame:
     """Pairs of rectangle sets on one page covering mostly the same area. `a` has id_a, `b` id_b, both x, y, w,
     h. Boxes meet only where they share a grid cell; each pair of boxes is counted in one of its cells."""
@@ -45,18 +40,13 @@ def inside(cx: Column, cy: Column, x: Column, y: Column, w: Column, h: Column, m
     return cx.between(x - margin, x + w + margin) & cy.between(y - margin, y + h + margin)
 
 
-def chars_in_boxes(chars: DataFrame, boxes: DataFrame, at: list[str], key: str, margin: float = 0.004) -> DataFrame:
-    """Characters whose middle lies in a block's box, give or take a margin. A character is in one grid cell,
-    a box in a few, so only near ones are tested; a character in two boxes of a block counts once."""
-    cell = lambda v: F.least(F.greatest(F.floor(v * CELLS), F.lit(0)), F.lit(CELLS - 1))
-    mid = chars.withColumn("_mx", (F.col("x0") + F.col("x1")) / 2).withColumn("_my", (F.col("y0") + F.col("y1")) / 2)
-    mid = mid.withColumn("_cx", cell(F.col("_mx"))).withColumn("_cy", cell(F.col("_my")))
-    wide = _cells(
-        boxes, F.col("x") - margin, F.col("y") - margin, F.col("x") + F.col("w") + margin, F.col("y") + F.col("h") + margin
-    )
-    met = mid.join(wide, [*at, "_cx", "_cy"])
+def chars_in_boxes(chars: DataFrame, boxes: DataFrame, at: list[str], key: str, margin: float = 0.004, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Characters whose middle lies in a block's box, give or take a margin; a character in two boxes of a block counts once. `carried`:
+    further columns of the characters to keep. Both sides meet by page, each row sent once; the rows of a page stay together, so that what
+    is grouped by page next needs no further shuffle."""
+    mid = chars.repartition(*at).select(*at, "ord", *carried, ((F.col("x0") + F.col("x1")) / 2).alias("_mx"), ((F.col("y0") + F.col("y1")) / 2).alias("_my"))
     hit = inside(F.col("_mx"), F.col("_my"), F.col("x"), F.col("y"), F.col("w"), F.col("h"), margin)
-    return met.filter(hit).select(*at, key, "ord").distinct()
+    return mid.join(boxes.select(*at, key, *"xywh"), at).filter(hit).select(*at, key, "ord", *carried).distinct()
 
 
 def merge_rects(rects: Column) -> Column:
