@@ -1,8 +1,8 @@
 """Two readings of one passage laid side by side: the runs of characters they share, in order in both.
 
-Candidates are k-grams that stand once in each reading, found by one grouping of all passages' grams. Neighbours on one diagonal
-join to runs by a window; the heaviest rising chain of a passage's runs is a fold over them, sorted; runs then grow to both sides
-while the characters agree. What is left between the runs of a chain goes through the same steps with shorter grams, at last with
+A passage's two readings stand in one row and stay there. Candidates are k-grams that stand once in each reading; neighbours on one
+diagonal join to runs; the heaviest rising chain of a passage's runs is a fold over them, sorted; runs then grow to both sides while
+the characters agree. What is left between the runs of a chain goes through the same steps with shorter grams, at last with
 grams that stand several times as well.
 """
 
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from readlake.session import pinned
 
@@ -26,26 +26,33 @@ def _letters(text: str) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "")
 
 
-def diagonals(passages: DataFrame, keys: list[str], a: str, b: str, k: int, most: int = 1) -> DataFrame:
-    """(keys, at, to, size): runs of grams of length k that stand once in each text, or in up to `most` pairs of places, place by place."""
+def shared_runs(a: str, b: str, k: int, most: int) -> list[tuple[int, int, int]]:
+    """(at, to, size), sorted: runs of grams of length k that stand once in each text, or in up to `most` pairs of places, place by place."""
+    grams: dict[str, tuple[list[int], list[int]]] = {}
+    for i in range(len(a) - k + 1):
+        grams.setdefault(a[i : i + k], ([], []))[0].append(i)
+    for j in range(len(b) - k + 1):
+        if found := grams.get(b[j : j + k]):
+            found[1].append(j)
+    steps = sorted((i - j, i) for left, right in grams.values() if len(left) * len(right) <= most for i in left for j in right)
+    out: list[list[int]] = []
+    before = (0, -1)
+    for d, i in steps:
+        if before == (d, i - 1) and out:
+            out[-1][2] += 1
+        else:
+            out.append([i, i - d, k])
+        before = (d, i)
+    return sorted(map(tuple, out))
 
-    def grams(text: str, name: str) -> DataFrame:
-        letters = passages.select(*keys, _letters(text).alias("_l"))
-        gram = F.transform("_l", lambda x, i: F.when(i <= F.size("_l") - k, F.array_join(F.slice("_l", i + 1, F.lit(k)), "")))
-        rows = letters.select(*keys, F.posexplode(gram).alias("_p", "_g")).filter("_g is not null")
-        places = [F.col("_p").alias(x) if x == name else F.lit(None).cast("int").alias(x) for x in ("_i", "_j")]
-        return rows.select(*keys, "_g", *places)
 
-    both = grams(a, "_i").unionByName(grams(b, "_j")).groupBy(*keys, "_g")
-    if most == 1:
-        once = both.agg(F.count("_i").alias("_ni"), F.count("_j").alias("_nj"), F.max("_i").alias("_i"), F.max("_j").alias("_j")).filter("_ni = 1 and _nj = 1")
-    else:
-        lists = both.agg(F.collect_list("_i").alias("_is"), F.collect_list("_j").alias("_js")).filter(F.size("_is") * F.size("_js") <= most)
-        once = lists.withColumn("_i", F.explode("_is")).withColumn("_j", F.explode("_js")).drop("_is", "_js")
-    line = W.partitionBy(*keys, "_d").orderBy("_i")
-    steps = once.withColumn("_d", F.col("_i") - F.col("_j"))
-    steps = steps.withColumn("_run", F.col("_i") - F.row_number().over(line))
-    return steps.groupBy(*keys, "_d", "_run").agg(F.min("_i").alias("at"), F.min("_j").alias("to"), (F.count(F.lit(1)).cast("int") + k - 1).alias("size")).drop("_d", "_run")
+def diagonals(a: str, b: str, k: int, most: int = 1) -> Column:
+    """The runs of two texts as an array of RUN."""
+
+    def read(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("at", "to", "size"), r, strict=True)) for r in shared_runs(x, y, k, most)] for x, y in zip(left, right, strict=True)], dtype=object)
+
+    return F.pandas_udf(read, f"array<{RUN}>")(a, b)
 
 
 def heaviest_chain(found: Column) -> Column:
@@ -121,15 +128,13 @@ def _joined(runs: Column) -> Column:
 def runs(passages: DataFrame, keys: list[str], a: str, b: str, least: int) -> DataFrame:
     """(keys, at, to, size): runs of `least` characters or more that texts `a` and `b` of a passage share, rising in both and never
     lapping over. Null texts are empty."""
-    parts, out = passages.select(*keys, F.lit(0).alias("_gap"), F.lit(0).alias("_at"), F.lit(0).alias("_to"), F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b")), []
-    named = [*keys, "_gap", "_at", "_to"]
+    parts, out = passages.select(*keys, F.lit(0).alias("_at"), F.lit(0).alias("_to"), F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b")), []
+    named = [*keys, "_at", "_to"]
     for turn, (k, most) in enumerate(GRAMS):
-        parts = pinned(parts.filter((F.length("_a") >= least) & (F.length("_b") >= least)), "gaps")
-        found = diagonals(parts, named, "_a", "_b", k, most)
-        chains = found.groupBy(*named).agg(F.array_sort(F.collect_list(F.struct("at", "to", "size").cast(RUN))).alias("_runs"))
-        met = parts.join(chains, named).withColumn("_la", _letters("_a")).withColumn("_lb", _letters("_b"))
-        met = met.withColumn("_chain", heaviest_chain(F.col("_runs")))
-        met = pinned(met.withColumn("_chain", _joined(_grown(F.col("_chain"), F.col("_la"), F.col("_lb")))).drop("_la", "_lb", "_runs"), "chains")
+        met = parts.filter((F.length("_a") >= least) & (F.length("_b") >= least)).withColumn("_chain", diagonals("_a", "_b", k, most))
+        met = met.withColumn("_chain", F.when(F.size("_chain") > 1, heaviest_chain(F.col("_chain"))).otherwise(F.col("_chain")))
+        met = met.withColumn("_la", _letters("_a")).withColumn("_lb", _letters("_b"))
+        met = pinned(met.withColumn("_chain", _joined(_grown(F.col("_chain"), F.col("_la"), F.col("_lb")))).drop("_la", "_lb"), "chains")
         one = met.select(*named, F.explode("_chain").alias("_r"))
         out.append(one.select(*keys, (F.col("_at") + F.col("_r.at")).alias("at"), (F.col("_to") + F.col("_r.to")).alias("to"), F.col("_r.size").alias("size")))
         if turn + 1 == len(GRAMS):
@@ -137,9 +142,8 @@ def runs(passages: DataFrame, keys: list[str], a: str, b: str, least: int) -> Da
         # The gaps of the chain, both ends included; passages without a chain stay whole.
         ends = F.concat(F.array(F.lit(None).cast(RUN)), "_chain")
         starts = F.concat("_chain", F.array(F.struct(F.length("_a").alias("at"), F.length("_b").alias("to"), F.lit(0).alias("size")).cast(RUN)))
-        gaps = met.select(*named, "_a", "_b", F.posexplode(F.arrays_zip(ends.alias("p"), starts.alias("q"))).alias("_g", "_z"))
+        gaps = met.select(*named, "_a", "_b", F.explode(F.arrays_zip(ends.alias("p"), starts.alias("q"))).alias("_z"))
         begin = {c: F.coalesce(F.col(f"_z.p.{c}") + F.col("_z.p.size"), F.lit(0)) for c in ("at", "to")}
         cut = lambda text, c: F.substr(text, begin[c] + 1, F.greatest(F.col(f"_z.q.{c}") - begin[c], F.lit(0)))
-        inner = gaps.select(*keys, F.col("_g").alias("_gap"), (F.col("_at") + begin["at"]).alias("_at"), (F.col("_to") + begin["to"]).alias("_to"), cut("_a", "at").alias("_a"), cut("_b", "to").alias("_b"))
-        parts = inner.unionByName(parts.join(chains.select(*named), named, "left_anti"))
+        parts = gaps.select(*keys, (F.col("_at") + begin["at"]).alias("_at"), (F.col("_to") + begin["to"]).alias("_to"), cut("_a", "at").alias("_a"), cut("_b", "to").alias("_b"))
     return reduce(DataFrame.unionByName, out).filter(F.col("size") >= least)

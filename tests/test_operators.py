@@ -831,3 +831,44 @@ def test_alignment_of_repeated_letters(spark):
         got.setdefault(r.id, set()).update((r.at + i, r.to + i) for i in range(r.size))
     for n, a, b in cases:
         assert got[n] == {(i, i) for i in range(len(a)) if a[i] == b[i]}, n
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readings_are_aligned_in_their_own_rows(spark, monkeypatch):
+    """No gram of a passage is sent anywhere: a round reads rows, works on them and writes them."""
+    from readlake.operators import alignment
+
+    written, keep = [], alignment.pinned
+    monkeypatch.setattr(alignment, "pinned", lambda df, name="stage", **options: (written.append(_plan(df)), keep(df, name, **options))[1])
+    frame = spark.createDataFrame([(1, "one two three four five", "one two thr#e four five"), (2, None, "x")], "id int, a string, b string")
+    got = sorted((r.at, r.to, r.size) for r in alignment.runs(frame, ["id"], "a", "b", A.MIN_RUN).collect())
+    assert got == [(0, 0, 11), (12, 12, 11)]
+    assert len(written) == len(alignment.GRAMS) and not any("Exchange" in p for p in written)
+    assert alignment.shared_runs("abcdXabcd", "abcd", 4, 1) == [] and alignment.shared_runs("abcdXabcd", "abcd", 4, 2) == [(0, 0, 4), (5, 0, 4)]
+
+
+def test_characters_of_several_letters_on_the_page(spark):
+    """A sign of two letters stays one character of the page, also where its block goes on over the next page."""
+    signs = [(1, 0, "a"), (1, 1, "fi"), (2, 0, "b")]
+    chars = spark.createDataFrame([(1, p, i, c, 0.1 + i * 0.01, 0.1, 0.11 + i * 0.01, 0.12) for p, i, c in signs], "doc int, page int, ord int, c string, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(1, p, "b", 0.05, 0.05, 0.3, 0.1) for p in (1, 2, 2)], "doc int, page int, block_id string, x double, y double, w double, h double")
+    found = A.aligned(spark.createDataFrame([(1, "b", "afib")], "doc int, block_id string, words string"), chars, boxes, "doc").collect()
+    assert sorted((r.i, r.page, r.ord) for r in found) == [(0, 1, 0), (1, 1, 1), (2, 2, 0)]
+
+
+def test_boxes_meet_characters_once(spark):
+    """A box is one row however much of the page it covers, and what is grouped by page next is not sent again."""
+    rng = random.Random(5)
+    spots = [(d, rng.randint(1, 2), n, rng.uniform(-0.1, 1.1), rng.uniform(-0.1, 1.1)) for n, d in enumerate([1, 2] * 60)]
+    areas = [(d, rng.randint(1, 2), f"b{n % 5}", rng.uniform(-0.1, 1), rng.uniform(-0.1, 1), rng.uniform(0, 1), rng.uniform(0, 1)) for n, d in enumerate([1, 2] * 15)]
+    chars = spark.createDataFrame([(*r[:3], r[3], r[4], r[3], r[4]) for r in spots], "doc int, page int, ord int, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame(areas, "doc int, page int, key string, x double, y double, w double, h double")
+    met = G.chars_in_boxes(chars, boxes, ["doc", "page"], "key")
+    plain = {(d, p, k, n) for d, p, n, cx, cy in spots for e, q, k, x, y, w, h in areas if (d, p) == (e, q) and x - 0.004 <= cx <= x + w + 0.004 and y - 0.004 <= cy <= y + h + 0.004}
+    got = [(r.doc, r.page, r.key, r.ord) for r in met.collect()]
+    assert set(got) == plain and len(got) == len(plain)
+    plan = _plan(met.groupBy("doc", "page").count())
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 2
