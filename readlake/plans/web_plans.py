@@ -36,7 +36,7 @@ def _(t):
 
 @query("page_containers")
 def _(t):
-    clean = pinned(W.stripped(pinned(html_nodes(t.pages), "nodes")), "clean")
+    clean = pinned(W.stripped(pinned(html_nodes(t.pages).drop("attrs"), "nodes")), "clean")
     nodes = pinned(W.pruned(clean, [0, 1, 2, 3], pinned(W.measures(clean, ["page_id"]), "measures")), "pruned")
     return W.containers(nodes, pinned(W.measures(nodes, W.AT), "measures"))
 

@@ -872,3 +872,21 @@ def test_boxes_meet_characters_once(spark):
     assert set(got) == plain and len(got) == len(plain)
     plan = _plan(met.groupBy("doc", "page").count())
     assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_page_nodes_are_sent_without_their_words(spark):
+    """Permalinks and commas are told before rows are sent, and a node meets the flags of all rules at once."""
+    from readlake.sources.html import html_nodes
+
+    html = "<body><div class='sidebar'><p>a, b, c and so on for a paragraph.</p></div><p hidden>x</p><h2>T<a href='#t'> <i>¶</i> </a></h2><h3>U<a href='#u'>#<b>#</b></a></h3><p>one, two, and three in a long row of words that goes on</p></body>"
+    nodes = html_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    stripped = web.stripped(nodes)
+    assert "collect_list" not in _plan(stripped)
+    clean = stripped.localCheckpoint()
+    assert [r.tag for r in clean.filter("tag = 'a'").collect()] == ["a"] and clean.filter("text = '¶'").count() == 0
+    kept = web.pruned(clean, [0, 1, 2, 3], web.measures(clean, ["page_id"]))
+    assert _plan(kept).count("Generate explode([0,1,2,3])") == 1 and _plan(kept).rindex("Generate explode([0,1,2,3])") < _plan(kept).index("Join")
+    texts = {v: {r.text for r in kept.filter(f"variant = {v} and tag = ''").collect()} for v in range(4)}
+    assert [("x" in texts[v], "a, b, c and so on for a paragraph." in texts[v]) for v in range(4)] == [(False, False), (True, False), (False, True), (True, True)]
+    sizes = web.measures(kept.localCheckpoint(), web.AT)
+    assert {r.variant: clean.filter(f"node = {r.root}").first().tag for r in web.containers(kept, sizes).collect()} == dict.fromkeys(range(4), "body")
