@@ -41,12 +41,15 @@ def digests(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("basePath", f"{path}/digests").parquet(f"{path}/digests") if written(spark, f"{path}/digests") else None
 
 
-def _put(rows: DataFrame, path: str, buckets: list[int]) -> None:
-    """Exactly the given buckets replaced by `rows`, one file a bucket; a bucket without rows goes."""
+def _put(rows: DataFrame, path: str, buckets: list[int], new: bool) -> None:
+    """Exactly the given buckets replaced by `rows`, one file a bucket; a bucket without rows goes. The rows of a new table come from
+    elsewhere and are written at once; others may come from the buckets that they replace."""
     spark = rows.sparkSession
-    rows = pinned(rows, "buckets")
+    rows = rows if new else pinned(rows, "buckets")
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if new:
+        return
     left = {r["bucket"] for r in rows.select("bucket").distinct().toLocalIterator()}
     for b in set(buckets) - left:
         removed(spark, f"{path}/bucket={b}")
@@ -76,5 +79,5 @@ def refresh(documents: DataFrame, path: str, key: str, digest: Column, model: st
         if table is not None:  # only the touched buckets are read
             kept = table.filter(F.col("bucket").isin(touched)).join(replaced, key, "left_anti")
             new = new.unionByName(kept.select(*new.columns))
-        _put(new, f"{path}/{name}", touched)
+        _put(new, f"{path}/{name}", touched, table is None)
     return Refreshed(changed.count(), gone.count(), touched)

@@ -890,3 +890,20 @@ def test_page_nodes_are_sent_without_their_words(spark):
     assert [("x" in texts[v], "a, b, c and so on for a paragraph." in texts[v]) for v in range(4)] == [(False, False), (True, False), (False, True), (True, True)]
     sizes = web.measures(kept.localCheckpoint(), web.AT)
     assert {r.variant: clean.filter(f"node = {r.root}").first().tag for r in web.containers(kept, sizes).collect()} == dict.fromkeys(range(4), "body")
+
+
+def test_new_index_is_written_once(spark, tmp_path, monkeypatch):
+    """Rows of an index that is not there yet go to their buckets at once; a refresh still sets them down first."""
+    from readlake.operators import passage_index as I
+
+    names, keep = [], I.pinned
+    monkeypatch.setattr(I, "pinned", lambda df, name="stage", **options: (names.append(name), keep(df, name, **options))[1])
+    docs = spark.createDataFrame([(n, f"text {n}") for n in range(20)], "doc_id long, text string")
+    cut = lambda df: df.select("doc_id", F.col("text").alias("passage"))
+    path = str(tmp_path / "index")
+    I.refresh(docs, path, "doc_id", F.md5("text"), "m", cut, 4)
+    assert "buckets" not in names and I.passages(spark, path).count() == 20
+    left = docs.filter("doc_id > 2").withColumn("text", F.when(F.col("doc_id") == 7, "new").otherwise(F.col("text")))
+    done = I.refresh(left, path, "doc_id", F.md5("text"), "m", cut, 4)
+    assert (done.cut, done.gone) == (1, 3) and names.count("buckets") == 2
+    assert {(r.doc_id, r.passage) for r in I.passages(spark, path).collect()} == {(r.doc_id, r.text) for r in left.collect()}
