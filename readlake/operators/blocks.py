@@ -123,34 +123,29 @@ def vocabulary(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(doc, F.explode(words).alias("word"))
 
 
-BROKEN = "(\\p{L}+)-⁣(\\p{L}+)"
+#: From the first letter of a word on and without going back, so that a word is read once.
+BROKEN = "(?<!\\p{L})(\\p{L}++)-⁣(\\p{L}++)"
 
 
 def rejoin(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Words broken at a line end, whole when the document prints them whole elsewhere.
 
-    The broken words of a text are looked up among its own words; the replacements are folded over the text.
+    The broken words of a text are looked up among its own words, all at once; the replacements are folded over the text.
     """
     shown_soft = F.rlike(F.col(text), F.lit("­(?![⁣\\s]|$)"))
     soft = F.when(shown_soft, F.replace(F.col(text), F.lit("­"), F.lit("-"))).otherwise(
         F.replace(F.replace(F.col(text), F.lit("­⁣"), F.lit("")), F.lit("­"), F.lit(""))
     )
     out = df.withColumn("_t", soft)
-    whole = F.regexp_replace("_t", BROKEN, " ")
-    out = out.withColumn("_seen", F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(r"(\p{L}+)"), F.lit(1))))
-    halves = F.arrays_zip(
-        F.regexp_extract_all("_t", F.lit(BROKEN), F.lit(1)).alias("a"), F.regexp_extract_all("_t", F.lit(BROKEN), F.lit(2)).alias("b")
-    )
-    out = out.withColumn("_pairs", F.array_distinct(halves))
-    fix = F.aggregate(
-        "_pairs",
-        F.col("_t"),
-        lambda acc, p: F.replace(
-            acc,
-            F.concat(p["a"], F.lit("-⁣"), p["b"]),
-            F.when(F.array_contains(F.col("_seen"), F.lower(F.concat(p["a"], p["b"]))), F.concat(p["a"], p["b"])).otherwise(
-                F.concat_ws("-", p["a"], p["b"])
-            ),
-        ),
-    )
-    return out.withColumn(text, F.replace(fix, F.lit("⁣"), F.lit(""))).drop("_t", "_seen", "_pairs")
+    half = lambda m, n: F.substring_index(m, "-⁣", n)
+    found = F.transform(F.regexp_extract_all("_t", F.lit(BROKEN), F.lit(0)), lambda m: F.struct(half(m, 1).alias("a"), half(m, -1).alias("b")))
+    out = out.withColumn("_pairs", F.when(F.contains("_t", F.lit("-⁣")), F.array_distinct(found)))
+    seen = F.regexp_extract_all(F.lower(F.regexp_replace("_t", BROKEN, " ")), F.lit(r"(\p{L}+)"), F.lit(1))
+    whole = F.array_intersect(F.transform("_pairs", lambda p: F.lower(F.concat(p["a"], p["b"]))), seen)
+
+    def fix(whole: Column) -> Column:
+        joined = lambda p: F.when(F.array_contains(whole, F.lower(F.concat(p["a"], p["b"]))), F.concat(p["a"], p["b"])).otherwise(F.concat_ws("-", p["a"], p["b"]))
+        return F.aggregate("_pairs", F.col("_t"), lambda acc, p: F.replace(acc, F.concat(p["a"], F.lit("-⁣"), p["b"]), joined(p)))
+
+    fixed = F.when(F.size("_pairs") > 0, X.let(whole, fix)).otherwise(F.col("_t"))
+    return out.withColumn(text, F.replace(fixed, F.lit("⁣"), F.lit(""))).drop("_t", "_pairs")

@@ -45,9 +45,12 @@ def with_edges(items: DataFrame, sizes: DataFrame) -> DataFrame:
     and sentences, running lines, page numbers. A contact sentence becomes an item of its own on its paragraph's box; a
     paragraph with nothing left goes."""
     rows = L.edge_roles(items.withColumn("text", F.coalesce("text", F.lit(""))).join(sizes, "doc_id", "left")).drop("body_size")
-    cut = rows.filter(F.size("contacts") > 0).withColumn("text", F.explode("contacts"))
-    cut = cut.withColumns({"text": F.trim("text"), "kind": F.lit("text"), "role": F.lit("AUTHORS"), "confidence": F.lit(0.9), "reason": F.lit("contact sentence")})
-    rows = rows.filter((F.col("text") != "") | ~F.col("kind").isin("text", "note", "turned")).unionByName(cut).drop("contacts")
+    told = ("text", "kind", "role", "confidence", "reason")
+    cut = lambda c: F.struct(F.trim(c).alias("text"), F.lit("text").alias("kind"), F.lit("AUTHORS").alias("role"), F.lit(0.9).alias("confidence"), F.lit("contact sentence").alias("reason"))
+    stays = (F.col("text") != "") | ~F.col("kind").isin("text", "note", "turned")
+    own = F.filter(F.array(F.when(stays, F.struct(*told))), lambda x: x.isNotNull())
+    each = F.explode(F.concat(own, F.transform("contacts", cut))).alias("_each")
+    rows = rows.select(*[c for c in rows.columns if c not in (*told, "contacts")], each).select("*", "_each.*").drop("_each")
     # What has a role already takes no part in the count of running lines.
     known = {c: F.col(c) for c in ("role", "confidence", "reason", "kind")}
     rows = rows.withColumns({f"_{c}": v for c, v in known.items()}).withColumn("kind", F.when(F.col("role").isNull(), F.col("kind")).otherwise("set"))
@@ -88,6 +91,8 @@ def source_map(flow: DataFrame) -> DataFrame:
 
 def clean(items: DataFrame, read: DataFrame | None = None) -> Cleaned:
     """The whole chain over page items. `read`: (doc_id, page, text) of scanned pages; without it their marks stay in the content."""
+    # Read for the type sizes and again for the edges: worked out once.
+    items = pinned(items, "items")
     sizes = pinned(L.body_size(items), "sizes")
     edged = pinned(with_edges(items, sizes).withColumn("boxes", F.array(own_box())), "edged")
     upper, early = L.split_aside(edged)

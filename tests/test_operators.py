@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import time
 import zipfile
 
 import pytest
@@ -320,6 +321,15 @@ def test_broken_words(spark):
     assert B.rejoin(df, "d", "t").first().t == "definition of water-saturated; the definition"
 
 
+def test_broken_words_of_long_runs_of_letters(spark):
+    """A run of letters is read once, not from each of its letters on."""
+    began = time.monotonic()
+    df = spark.createDataFrame([(1, "a" * 150_000 + " foo-\u2063bar-\u2063baz re-\u2063do Redo " + "b" * 150_000), (2, "no halves"), (3, None)], "d int, t string")
+    rows = {r.d: r.t for r in B.rejoin(df, "d", "t").collect()}
+    assert rows[1][150_000:-150_000] == " foo-bar-baz redo Redo " and rows[2] == "no halves" and rows[3] is None
+    assert time.monotonic() - began < 20
+
+
 def test_roles_of_a_paper(spark):
     texts = [
         ("Journal homepage: www.elsevier.com", 8.0), ("# A Study of Things", 20.0), ("Ann Lee, Bob Ray", 11.0), ("1 University of Somewhere", 9.0), ("Abstract", 11.0),
