@@ -68,7 +68,7 @@ def markdown_blocks(df: DataFrame, doc: str, text: str, scheme: str = X.PICTURES
     lines = lines.withColumn("_block", F.sum(opens.cast("int")).over(sofar)).filter("kind <> 'gap'")
     kept = lines.filter(~((F.col("kind") == "fence") & F.col("_mark") & (F.col("_fences") % 2 == 0)))
     grouped = kept.groupBy(doc, "_block", "kind").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]).alias("_l")
+        F.transform(F.sort_array(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]).alias("_l")
     )
     joined = F.array_join("_l", "\n")
     raw = (

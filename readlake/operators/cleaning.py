@@ -63,7 +63,7 @@ def rejoined(texts: DataFrame, payload: list[str]) -> DataFrame:
     """(doc_id, text, payload…): words cut at a line's end made whole where the document prints them whole anywhere, the side store
     included. A document is one row meanwhile, as its content is."""
     row = F.struct("part", "page", "n", *payload, F.translate("text", APART, " ").alias("text"))
-    whole = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.struct("part", "page", "n").alias("at"), row.alias("row")))).alias("_rows"))
+    whole = texts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.struct("part", "page", "n").alias("at"), row.alias("row")))).alias("_rows"))
     whole = whole.withColumn("_text", F.array_join(F.transform("_rows", lambda r: r["row"]["text"]), APART))
     whole = B.rejoin(whole, "doc_id", "_text").withColumn("_texts", F.split("_text", APART, -1))
     rows = whole.select("doc_id", F.explode(F.arrays_zip("_rows", "_texts")).alias("r"))

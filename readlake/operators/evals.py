@@ -111,8 +111,8 @@ PLACED = ("ABSTRACT", "SECTION_HEADING", "BODY", "LIST", "QUOTE", "CAPTION", "FO
 
 def _documents(flow: DataFrame, side: DataFrame, doc: str) -> DataFrame:
     """One row a document: its blocks in the flow and its side store in order, normalised, and the whole flow as it is."""
-    blocks = flow.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t"), F.col("text").alias("raw"), "boxes"))).alias("_flow"))
-    kept = side.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", "type", norm(F.col("text")).alias("t")))).alias("_side"))
+    blocks = flow.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t"), F.col("text").alias("raw"), "boxes"))).alias("_flow"))
+    kept = side.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("ord", "type", norm(F.col("text")).alias("t")))).alias("_side"))
     return blocks.join(kept, doc, "full")
 
 
@@ -147,7 +147,7 @@ def judged_pairs(pairs: DataFrame, flow: DataFrame, doc: str) -> DataFrame:
     """Each pair (doc, a, b, next) with result: ok where a's first place in the flow is before b's (for `next`: in the block before, or before
     it in one block), wrong, or missing where one of them is not found."""
     packed = pairs.groupBy(doc).agg(F.collect_list(F.struct("a", "b", "next")).alias("_pairs"))
-    rows = packed.join(flow.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t")))).alias("_flow")), doc, "left")
+    rows = packed.join(flow.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t")))).alias("_flow")), doc, "left")
 
     def place(text: Column) -> Column:
         at = F.transform("_flow", lambda b, i: F.struct(i.alias("block"), F.call_function("locate", norm(text), b["t"]).alias("at")))
@@ -167,7 +167,7 @@ def judged_words(broken: DataFrame, flow: DataFrame, doc: str) -> DataFrame:
     """Each word a page breaks at a line's end but prints whole elsewhere (doc, a, b: its halves) with rejoined: whether the flow no longer
     has it in two."""
     packed = broken.groupBy(doc).agg(F.collect_set(F.struct("a", "b")).alias("_words"))
-    rows = packed.join(flow.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), "\n").alias("_all")), doc, "left")
+    rows = packed.join(flow.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), "\n").alias("_all")), doc, "left")
     cut = lambda w: F.rlike(F.coalesce("_all", F.lit("")), F.concat(w["a"], F.lit("[-­]\\s*"), w["b"]))
     return rows.select(doc, F.explode(F.transform("_words", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), (~cut(w)).alias("rejoined")))).alias("x")).select(doc, "x.*")
 
@@ -176,7 +176,7 @@ def judged_places(labels: DataFrame, flow: DataFrame, printed: DataFrame, doc: s
     """Each placed label found in the flow with result: ok where a box of its first block lies over a place where the page prints the words
     (printed: doc, label_id, page, x, y, w, h), wrong, no box, or unmeasured where nothing is known to print them."""
     placed = labels.filter(F.col("type").isin(*PLACED)).withColumn("_l", norm(F.col("text"))).filter("length(_l) > 0")
-    blocks = flow.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t"), "boxes"))).alias("_flow"))
+    blocks = flow.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("ord", norm(F.col("text")).alias("t"), "boxes"))).alias("_flow"))
     rows = placed.groupBy(doc).agg(F.collect_list(F.struct("label_id", "type", "_l")).alias("_labels")).join(blocks, doc)
     first = lambda x: F.get(F.filter("_flow", lambda b: F.contains(b["t"], x["_l"])), F.lit(0))
     found = rows.select(doc, F.explode(F.transform("_labels", lambda x: F.struct(x["label_id"].alias("label_id"), x["type"].alias("type"), first(x).alias("block")))).alias("x"))
