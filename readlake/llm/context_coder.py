@@ -48,6 +48,7 @@ def _first_weights() -> np.ndarray:
 _WEIGHTS = _first_weights()
 #: Where the weights of orders 2 and 1 move after each symbol.
 _GOAL = np.array([[_PARTS - 2 * _LEAST, _LEAST], [_LEAST, _PARTS - 2 * _LEAST], [_LEAST, _LEAST]], dtype=np.int32)
+_GOALS = _GOAL.view(np.int64).ravel()
 
 
 class _Model:
@@ -57,7 +58,8 @@ class _Model:
         self.guesses = np.full(2 * lanes * _TABLE, NO_ID << 3, dtype=np.int32)
         self.base = (np.arange(2 * lanes, dtype=np.int64) * _TABLE).reshape(2, lanes)
         #: Weights of order 2 and order 1 in 65,536 for each pair of confidences and whether the guesses agree, in each lane.
-        self.weights = np.tile(_WEIGHTS, (lanes, 1))
+        #: Both stand in one number of 64 bits, as they are taken and put back together.
+        self.weights = np.tile(_WEIGHTS, (lanes, 1)).view(np.int64).ravel()
         self.states = np.arange(lanes, dtype=np.int64) * 128
         self.one, self.two = (np.full(lanes, NO_ID, dtype=np.int64) for _ in range(2))
 
@@ -71,17 +73,22 @@ class _Model:
         self.ids, self.sure = e >> 3, e & 7
         state = (self.sure[0] << 4) + (self.sure[1] << 1) + (self.ids[0] == self.ids[1])
         self.state = self.states + state
-        self.now = self.weights.take(self.state, axis=0)
+        self.now = self.weights.take(self.state).view(np.int32).reshape(-1, 2)
         return self.now[:, 0].copy(), self.now[:, 1].copy()
 
+    def hits(self, ids: np.ndarray) -> np.ndarray:
+        """Which order's guess is right."""
+        self.hit = self.ids == ids
+        return self.hit
+
     def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        change = _GOAL.take(symbol, axis=0)
+        """After `hits` of the same ids."""
+        change = _GOALS.take(symbol).view(np.int32).reshape(-1, 2)
         change -= self.now
         change >>= 4
         change += self.now
-        self.weights[self.state] = change
-        hit = self.ids == ids
-        sure = _SURE.take(self.sure + hit * np.int32(8))
+        self.weights[self.state] = change.view(np.int64).ravel()
+        sure = _SURE.take(self.sure + (self.hit.view(np.int8) << 3))
         self.guesses[self.place] = np.where(sure > 0, (self.ids << 3) | sure, (ids << 3) | 1)
         self.one, self.two = ids.astype(np.int64), self.one
 
@@ -97,7 +104,8 @@ class _Writer:
     def __init__(self, lanes: int, length: int):
         self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
         self.out = np.zeros((lanes, 2 * length + 2), dtype=np.uint32)
-        self.at = np.zeros(lanes, dtype=np.int64)
+        self.flat, self.begin = self.out.ravel(), np.arange(lanes, dtype=np.int64) * self.out.shape[1]
+        self.at = self.begin.copy()
 
     def put(self, start: np.ndarray, size: np.ndarray) -> None:
         """Parts [start, start + size) of 2**32, in the first lanes."""
@@ -107,24 +115,26 @@ class _Writer:
         span = step * size
         carry = np.flatnonzero(low < self.low[:n])
         if len(carry):  # left in the digit before, above its 16 bits, until the end
-            self.out[carry, self.at[carry] - 1] += 1
+            self.flat[self.at[carry] - 1] += 1
         full = np.flatnonzero(span < _BOTTOM)
         while len(full):
-            self.out[full, self.at[full]] = low[full] >> _48
-            self.at[full] += 1
-            low[full] <<= _16
-            span[full] <<= _16
-            full = full[span[full] < _BOTTOM]
+            digits, at, left = low.take(full), self.at.take(full), span.take(full) << _16
+            self.flat[at] = digits >> _48
+            self.at[full], low[full], span[full] = at + 1, digits << _16, left
+            full = full[left < _BOTTOM]
         self.low[:n], self.range[:n] = low, span
 
     def done(self) -> list[bytes]:
-        lanes = np.arange(len(self.at))
-        self.out[lanes, self.at] = (self.low >> _48) + ((self.low << _16) > 0)
-        carry = np.zeros(len(lanes), dtype=np.uint32)
-        for i in range(int(self.at.max(initial=0)), -1, -1):
-            column = self.out[:, i] + carry
-            self.out[:, i], carry = column & 0xFFFF, column >> 16
-        return [self.out[i, : n + 1].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
+        self.flat[self.at] = (self.low >> _48) + ((self.low << _16) > 0)
+        many = self.at - self.begin
+        upto = int(many.max(initial=0)) + 1
+        digits = np.ascontiguousarray(self.out[:, :upto].T)  # a digit of every lane side by side
+        carry = np.zeros(len(many), dtype=np.uint32)
+        for column in digits[::-1]:
+            column += carry
+            carry = column >> 16
+        digits = np.ascontiguousarray(digits.T.astype("<u2"))  # the lower 16 bits
+        return [digits[i, : n + 1].tobytes() for i, n in enumerate(many.tolist())]
 
 
 class _Reader:
@@ -137,8 +147,9 @@ class _Reader:
         for i in range(4):
             self.code = (self.code << _16) | self.held[:, i]
         self.range = np.full(len(blocks), 2**64 - 1, dtype=np.uint64)
-        self.at = np.full(len(blocks), 4, dtype=np.int64)
-        self.last = self.held.shape[1] - 1
+        wide = self.held.shape[1]
+        self.flat, begin = self.held.ravel(), np.arange(len(blocks), dtype=np.int64) * wide
+        self.at, self.ends = begin + 4, begin + wide - 1
 
     def place(self, n: int) -> np.ndarray:
         """Which of the 2**32 parts the first n lanes stand at."""
@@ -151,10 +162,10 @@ class _Reader:
         span = self.step * size
         full = np.flatnonzero(span < _BOTTOM)
         while len(full):
-            code[full] = (code[full] << _16) | self.held[full, np.minimum(self.at[full], self.last)]
-            self.at[full] += 1
-            span[full] <<= _16
-            full = full[span[full] < _BOTTOM]
+            at, left = self.at.take(full), span.take(full) << _16
+            code[full] = (code.take(full) << _16) | self.flat.take(np.minimum(at, self.ends.take(full)))
+            self.at[full], span[full] = at + 1, left
+            full = full[left < _BOTTOM]
         self.code[:n], self.range[:n] = code, span
 
 
@@ -166,6 +177,7 @@ class _Order0:
         edge = np.concatenate(([0], np.cumsum(share)))
         self.spans = np.zeros((NO_ID, 2), dtype=np.uint32)  # start and size, side by side
         self.spans[ids, 0], self.spans[ids, 1] = edge[:-1], share
+        self.pairs = self.spans.view(np.uint64).ravel()
         self.id_at = np.repeat(ids, share).astype(np.int32)
 
     @classmethod
@@ -206,15 +218,18 @@ def _run(length: np.ndarray, ids: np.ndarray | None, order0: _Order0, writer: _W
             x = np.where(symbol == 2, order0.id_at.take(rest.astype(np.int64), mode="clip"), np.where(symbol == 1, model.ids[1], model.ids[0]))
         else:
             x = ids[t, :n]
-            symbol = np.where(x == model.ids[0], 0, np.where(x == model.ids[1], 1, 2)).astype(np.int32)
-        told = symbol == 2
+            hit = model.hits(x).view(np.int8)
+            symbol = (1 - hit[0]) * (2 - hit[1])
         # A guess takes whole parts of 65,536; order 0 takes parts of what both leave. (A damaged block may guess what is no id.)
-        left = (told * (_PARTS - both)).astype(np.uint64)
-        span = order0.spans.take(x, axis=0, mode="clip")
-        start = (np.where(told, both, symbol * f0).astype(np.uint64) << _16) + left * span[:, 0]
-        size = np.where(told, left * span[:, 1], np.where(symbol == 1, f1, f0).astype(np.uint64) << _16)
+        told = symbol == 2
+        span = order0.pairs.take(x, mode="clip").view(np.uint32).reshape(-1, 2)
+        begin = np.where(told, both, symbol * f0).astype(np.uint64)
+        share = np.where(told, _PARTS - both, np.where(symbol == 1, f1, f0)).astype(np.uint64)
+        start = (begin << _16) + share * (told * span[:, 0])
+        size = share * np.where(told, span[:, 1], np.uint32(_PARTS))
         if reads:
             reader.take(start, size)
+            model.hits(x)
             ids[t, :n] = x
         else:
             writer.put(start, size)
