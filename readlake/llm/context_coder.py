@@ -26,11 +26,10 @@ MAGIC = b"RLTC"
 NO_ID = 0xFFFF
 #: Guesses of a lane, for each order.
 _TABLE = 512
-#: The confidence after a miss (0: another id takes the place) and, 8 later, after a hit.
-_SURE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], dtype=np.int32)
 _BOTTOM = np.uint64(1 << 48)
 _16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
 _PARTS = 65536
+_WHOLE = np.uint32(_PARTS)
 #: Parts that every order keeps.
 _LEAST = 24
 _HEAD = 20
@@ -61,17 +60,20 @@ class _Model:
         #: Both stand in one number of 64 bits, as they are taken and put back together.
         self.weights = np.tile(_WEIGHTS, (lanes, 1)).view(np.int64).ravel()
         self.states = np.arange(lanes, dtype=np.int64) * 128
-        self.one, self.two = (np.full(lanes, NO_ID, dtype=np.int64) for _ in range(2))
+        self.one, self.two = (np.full(lanes, NO_ID, dtype=np.uint16) for _ in range(2))
 
     def guess(self) -> tuple[np.ndarray, np.ndarray]:
         """Parts in 65,536 of the symbols 0 (order 2 is right) and 1 (order 1 is right); the rest is symbol 2."""
         one, two = self.one, self.two
-        place = np.stack((one * 0x9E3B + two * 0x85EB + (two >> 5), one * 0x9E3B + (one >> 7)))
-        place &= _TABLE - 1
-        place += self.base
-        self.place, e = place, self.guesses.take(place)
+        near, spot = one * 0x9E3B, np.empty(self.base.shape, dtype=np.uint16)  # modulo 65,536, as _TABLE divides that
+        np.add(near + two * 0x85EB, two >> 5, out=spot[0])
+        np.add(near, one >> 7, out=spot[1])
+        spot &= _TABLE - 1
+        self.place = self.base + spot
+        self.held = e = self.guesses.take(self.place)
         self.ids, self.sure = e >> 3, e & 7
-        state = (self.sure[0] << 4) + (self.sure[1] << 1) + (self.ids[0] == self.ids[1])
+        state = (self.sure[0] << 4) + (self.sure[1] << 1)
+        state += self.ids[0] == self.ids[1]
         self.state = self.states + state
         self.now = self.weights.take(self.state).view(np.int32).reshape(-1, 2)
         return self.now[:, 0].copy(), self.now[:, 1].copy()
@@ -82,15 +84,20 @@ class _Model:
         return self.hit
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        """After `hits` of the same ids."""
+        """After `hits` of the same ids. A hit makes a guess surer by one; a miss halves that, and at 0 the id takes the place."""
         change = _GOALS.take(symbol).view(np.int32).reshape(-1, 2)
         change -= self.now
         change >>= 4
         change += self.now
         self.weights[self.state] = change.view(np.int64).ravel()
-        sure = _SURE.take(self.sure + (self.hit.view(np.int8) << 3))
-        self.guesses[self.place] = np.where(sure > 0, (self.ids << 3) | sure, (ids << 3) | 1)
-        self.one, self.two = ids.astype(np.int64), self.one
+        held, sure = self.held, self.sure
+        hit = np.negative(self.hit.view(np.int8)).astype(np.int32)  # all bits or none
+        down = sure >> 1
+        now = down ^ ((down ^ np.minimum(sure + 1, 7)) & hit)
+        gone = np.negative((now == 0).view(np.int8)).astype(np.int32)
+        now |= held ^ sure
+        self.guesses[self.place] = now ^ ((now ^ ((ids << 3) | 1)) & gone)
+        self.one, self.two = ids.astype(np.uint16), self.one
 
     def narrowed(self, n: int) -> None:
         """Only the first n lanes go on."""
@@ -99,72 +106,87 @@ class _Model:
 
 
 class _Writer:
-    """The range coder of every lane: `low` of 64 bits, and the size of what is left from it."""
+    """The range coder of every lane: `low` of 64 bits, and the size of what is left from it. Digits have 16 bits; those of one
+    place stand side by side for all lanes."""
 
     def __init__(self, lanes: int, length: int):
         self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-        self.out = np.zeros((lanes, 2 * length + 2), dtype=np.uint32)
-        self.flat, self.begin = self.out.ravel(), np.arange(lanes, dtype=np.int64) * self.out.shape[1]
-        self.at = self.begin.copy()
+        self.out = np.zeros((2 * length + 2, lanes), dtype=np.uint32)
+        self.flat, self.at = self.out.ravel(), np.arange(lanes, dtype=np.int64)
 
     def put(self, start: np.ndarray, size: np.ndarray) -> None:
         """Parts [start, start + size) of 2**32, in the first lanes."""
-        n = len(start)
+        n, wide = len(start), self.out.shape[1]
         step = self.range[:n] >> _32
         low = self.low[:n] + step * start
         span = step * size
-        carry = np.flatnonzero(low < self.low[:n])
+        carry = (low < self.low[:n]).nonzero()[0]
         if len(carry):  # left in the digit before, above its 16 bits, until the end
-            self.flat[self.at[carry] - 1] += 1
-        full = np.flatnonzero(span < _BOTTOM)
+            self.flat[self.at[carry] - wide] += 1
+        at, full = self.at[:n], span < _BOTTOM
+        self.flat[at] = (low >> _48).astype(np.uint32)  # counts where a lane goes on to its next digit, else it is written over
+        shift = full * _16
+        low <<= shift
+        span <<= shift
+        at += full * np.int64(wide)
+        full = (span < _BOTTOM).nonzero()[0]
         while len(full):
-            digits, at, left = low.take(full), self.at.take(full), span.take(full) << _16
-            self.flat[at] = digits >> _48
-            self.at[full], low[full], span[full] = at + 1, digits << _16, left
+            digits, left = low.take(full), span.take(full) << _16
+            self.flat[at[full]] = digits >> _48
+            at[full] += wide
+            low[full], span[full] = digits << _16, left
             full = full[left < _BOTTOM]
         self.low[:n], self.range[:n] = low, span
 
     def done(self) -> list[bytes]:
         self.flat[self.at] = (self.low >> _48) + ((self.low << _16) > 0)
-        many = self.at - self.begin
-        upto = int(many.max(initial=0)) + 1
-        digits = np.ascontiguousarray(self.out[:, :upto].T)  # a digit of every lane side by side
+        many = self.at // self.out.shape[1]
+        digits = self.out[: int(many.max(initial=0)) + 1]
         carry = np.zeros(len(many), dtype=np.uint32)
-        for column in digits[::-1]:
-            column += carry
-            carry = column >> 16
-        digits = np.ascontiguousarray(digits.T.astype("<u2"))  # the lower 16 bits
+        for row in digits[::-1]:
+            row += carry
+            carry = row >> 16
+        digits = np.ascontiguousarray(digits.astype("<u2").T)  # the lower 16 bits
         return [digits[i, : n + 1].tobytes() for i, n in enumerate(many.tolist())]
 
 
 class _Reader:
+    """Reads what `_Writer` wrote; digits stand as there."""
+
     def __init__(self, blocks: list[bytes]):
         many = [len(b) // 2 for b in blocks]
-        self.held = np.zeros((len(blocks), max(many, default=0) + 6), dtype=np.uint16)
+        held = np.zeros((len(blocks), max(many, default=0) + 6), dtype=np.uint16)
         for i, b in enumerate(blocks):
-            self.held[i, : many[i]] = np.frombuffer(b[: 2 * many[i]], dtype="<u2")
+            held[i, : many[i]] = np.frombuffer(b[: 2 * many[i]], dtype="<u2")
+        held = np.ascontiguousarray(held.T)
         self.code = np.zeros(len(blocks), dtype=np.uint64)
         for i in range(4):
-            self.code = (self.code << _16) | self.held[:, i]
+            self.code = (self.code << _16) | held[i]
         self.range = np.full(len(blocks), 2**64 - 1, dtype=np.uint64)
-        wide = self.held.shape[1]
-        self.flat, begin = self.held.ravel(), np.arange(len(blocks), dtype=np.int64) * wide
-        self.at, self.ends = begin + 4, begin + wide - 1
+        self.flat, lanes = held.ravel(), np.arange(len(blocks), dtype=np.int64)
+        self.wide, self.at, self.ends = len(blocks), lanes + 4 * len(blocks), lanes + (len(held) - 1) * len(blocks)
 
     def place(self, n: int) -> np.ndarray:
         """Which of the 2**32 parts the first n lanes stand at."""
         self.step = self.range[:n] >> _32
-        return np.minimum(self.code[:n] // self.step, np.uint64(2**32 - 1))
+        return np.minimum(self.code[:n] // self.step, np.uint64(2**32 - 1)).astype(np.uint32)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         n = len(start)
         code = self.code[:n] - self.step * start
         span = self.step * size
-        full = np.flatnonzero(span < _BOTTOM)
+        at, full = self.at[:n], span < _BOTTOM
+        shift = full * _16
+        code <<= shift
+        code |= self.flat.take(at) * full
+        span <<= shift
+        at += full * np.int64(self.wide)
+        np.minimum(at, self.ends[:n], out=at)
+        full = (span < _BOTTOM).nonzero()[0]
         while len(full):
-            at, left = self.at.take(full), span.take(full) << _16
-            code[full] = (code.take(full) << _16) | self.flat.take(np.minimum(at, self.ends.take(full)))
-            self.at[full], span[full] = at + 1, left
+            spot, left = at.take(full), span.take(full) << _16
+            code[full] = (code.take(full) << _16) | self.flat.take(spot)
+            at[full], span[full] = np.minimum(spot + self.wide, self.ends.take(full)), left
             full = full[left < _BOTTOM]
         self.code[:n], self.range[:n] = code, span
 
@@ -203,37 +225,41 @@ def _run(length: np.ndarray, ids: np.ndarray | None, order0: _Order0, writer: _W
     reads = ids is None
     ids = np.zeros((int(length.max(initial=0)), len(length)), dtype=np.int32) if reads else ids
     model, n = _Model(len(length)), len(length)
-    for t in range(len(ids)):
-        now = int(np.searchsorted(-length, -t, "left"))  # lanes with more than t ids
+    for at, now in enumerate(np.searchsorted(-length, -np.arange(len(ids)), "left").tolist()):  # lanes with more than `at` ids
         if now < n:
             n = now
             model.narrowed(n)
         f0, f1 = model.guess()
         both = f0 + f1
+        left = _PARTS - both
         if reads:
             place = reader.place(n)
-            part = (place >> _16).astype(np.int32)
-            symbol = (part >= f0).astype(np.int32) + (part >= both)
-            rest = (place - np.minimum(both.astype(np.uint64) << _16, place)) // (_PARTS - both).astype(np.uint64)
-            x = np.where(symbol == 2, order0.id_at.take(rest.astype(np.int64), mode="clip"), np.where(symbol == 1, model.ids[1], model.ids[0]))
+            part = (place >> 16).view(np.int32)
+            told = part >= both
+            second = (part >= f0) > told
+            rest = (place - np.minimum(both.view(np.uint32) << 16, place)) // left.view(np.uint32)
+            x = np.where(told, order0.id_at.take(rest, mode="clip"), np.where(second, model.ids[1], model.ids[0]))
         else:
-            x = ids[t, :n]
-            hit = model.hits(x).view(np.int8)
-            symbol = (1 - hit[0]) * (2 - hit[1])
+            x = ids[at, :n]
+            hit = model.hits(x)
+            second = hit[1] > hit[0]
+            told = ~(hit[0] | hit[1])
         # A guess takes whole parts of 65,536; order 0 takes parts of what both leave. (A damaged block may guess what is no id.)
-        told = symbol == 2
         span = order0.pairs.take(x, mode="clip").view(np.uint32).reshape(-1, 2)
-        begin = np.where(told, both, symbol * f0).astype(np.uint64)
-        share = np.where(told, _PARTS - both, np.where(symbol == 1, f1, f0)).astype(np.uint64)
-        start = (begin << _16) + share * (told * span[:, 0])
-        size = share * np.where(told, span[:, 1], np.uint32(_PARTS))
+        t, s = (np.negative(v.view(np.int8)).astype(np.int32) for v in (told, second))  # all bits or none
+        begin = ((both & t) | (f0 & s)).view(np.uint32)
+        share = f0 ^ ((f0 ^ f1) & s)
+        share = (share ^ ((share ^ left) & t)).view(np.uint32)
+        t = t.view(np.uint32)
+        start = (begin << 16) + share * (span[:, 0] & t)
+        size = share * (_WHOLE ^ ((span[:, 1] ^ _WHOLE) & t))
         if reads:
             reader.take(start, size)
             model.hits(x)
-            ids[t, :n] = x
+            ids[at, :n] = x
         else:
             writer.put(start, size)
-        model.learn(x, symbol)
+        model.learn(x, (told.view(np.int8) << 1) + second.view(np.int8))
     return ids
 
 

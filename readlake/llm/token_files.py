@@ -50,16 +50,21 @@ def _file(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
+def _with(places: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
+    """Both in rising order, each once: a cut where the next text begins stands there already."""
+    held = np.zeros(size, dtype=bool)
+    held[places] = held[more] = True
+    return np.flatnonzero(held)
+
+
 def pieces(words: Words) -> Words:
     """Words cut further between a letter of ASCII and a sign, pieces of ASCII alone in small letters."""
     data = words.data
     special = np.searchsorted(words.starts, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1  # "<|"
     cuts = np.flatnonzero(_LETTER[data[:-1]] & _SIGN[data[1:]]) + 1
-    word = np.searchsorted(words.starts, cuts, "right") - 1
-    keep = words.starts[word] < cuts if len(cuts) else np.zeros(0, dtype=bool)  # not where the next text begins
     if len(special):
-        keep &= ~np.isin(word, special)
-    starts, ends = (np.sort(np.concatenate((x, cuts[keep]))) for x in (words.starts, words.ends))
+        cuts = cuts[~np.isin(np.searchsorted(words.starts, cuts, "right") - 1, special)]
+    starts, ends = (_with(x, cuts, len(data) + 1) for x in (words.starts, words.ends))
     as_is = np.zeros(len(starts), dtype=bool)  # with a byte outside ASCII
     as_is[np.searchsorted(starts, np.flatnonzero(data >= 128), "right") - 1] = True
     if len(special):

@@ -63,6 +63,15 @@ def test_blocks_stand_alone():
         context_coder.decode(b"PAR1" + segment)
 
 
+def test_step_of_the_coder():
+    """What a step touches lies close together, in small numbers, and the bytes of a segment stay what they were."""
+    writer, model = context_coder._Writer(40, 10), context_coder._Model(40)
+    assert writer.out.shape == (22, 40) and model.one.dtype == np.uint16
+    ids = np.random.default_rng(9).zipf(1.3, 30000) % 50000
+    segment = context_coder.encode(ids, 300)
+    assert zlib.crc32(segment) == 2631277360 and (context_coder.decode(segment) == ids).all()
+
+
 @pytest.mark.parametrize("ids", [[-1], [65535]])
 def test_ids_out_of_range(ids):
     with pytest.raises(ValueError):
