@@ -66,47 +66,69 @@ def closest(passages: DataFrame, questions: DataFrame, document: str, k: int = C
 
 def closest_of_many(passages: DataFrame, questions: DataFrame, document: str, k: int = CLOSEST, tile: int = 2048, block: int = 256) -> DataFrame:
     """As `closest`, for questions that grow with the passages: blocks of a document's questions meet tiles of its passages, and a
-    meeting gives k rows a question, so no row stands for a pair."""
+    meeting gives k rows a question, so no row stands for a pair. Blocks and tiles are copied for their meetings where they lie and
+    meet by document, block and tile: a document that holds most of the passages is many tasks' work."""
 
-    def packed(rows: DataFrame, name: str, many: int) -> DataFrame:
+    def packed(rows: DataFrame, name: str, many: int) -> tuple[DataFrame, DataFrame]:
         held = rows.filter(F.col(document).isNotNull()).select(document, name, "embedding")
-        parts = held.groupBy(document).agg(F.ceil(F.count(F.lit(1)) / many).cast("int").alias("_parts"))
-        dealt = held.join(parts, document).withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")))
-        vectors = F.transform("embedding", lambda v: v.cast("double"))
-        return dealt.groupBy(document, "_part").agg(F.collect_list(F.struct(F.col(name).alias("id"), vectors.alias("v"))).alias(name)).drop("_part")
-
-    def unit(rows: list[dict], size: int) -> np.ndarray:
-        out = np.zeros((len(rows), size))
-        for i, r in enumerate(rows):
-            v = np.array(r["v"] if r["v"] is not None else [], dtype=float)
-            if len(v) == size and (length := np.sqrt(v @ v)) > 0:
-                out[i] = v / length
-        return out
+        parts = held.groupBy(document).agg(F.ceil(F.count(F.lit(1)) / many).cast("int").alias(f"_{name}_parts"))
+        dealt = held.join(parts, document).withColumn(f"_{name}", F.pmod(F.xxhash64(name), F.col(f"_{name}_parts")).cast("int"))
+        return dealt.groupBy(document, f"_{name}").agg(F.collect_list(F.struct(F.col(name).alias("id"), F.col("embedding").alias("v"))).alias(name)), parts
+
+    def vectors(rows: pa.ListScalar) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The ids; and for each size of vector the places that have it and their vectors, scaled to length one (of length zero: zeros)."""
+        ids, held = rows.values.field("id").to_numpy(zero_copy_only=False), rows.values.field("v")
+        sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        by_size = {}
+        for size in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == size)
+            v = held.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
+            length = np.sqrt(np.einsum("ij,ij->i", v, v))
+            by_size[int(size)] = at, np.divide(v, length[:, None], out=np.zeros_like(v), where=length[:, None] > 0)
+        return ids, by_size
+
+    def best(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Question, place and score of the k best of each row. Scores count to six decimals, so those just under the k-th are asked too."""
+        if score.shape[1] > k:
+            least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+            row, at = np.nonzero(score >= least[:, None] - 2e-6)
+        else:
+            row, at = (x.ravel() for x in np.indices(score.shape))
+        shown = np.round(score[row, at], 6)
+        order = np.lexsort((ids[at], -shown, row))
+        row, at, shown = row[order], at[order], shown[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], at[kept], shown[kept]
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                asked, held = row["question_id"], row["position"]
-                ids = np.array([r["id"] for r in held], dtype=np.int64)
-                score = np.zeros((len(asked), len(held)))
-                for size in {len(r["v"]) for r in asked if r["v"]}:  # vectors of two sizes have score 0
-                    score += unit(asked, size) @ unit(held, size).T
-                score = np.round(score, 6)
-                for r, mine in zip(asked, score, strict=True):
-                    best = np.lexsort((ids, -mine))[:k]
-                    cols = [pa.array([row[document]] * len(best), type=kind), pa.array([r["id"]] * len(best), type=pa.int64()), pa.array(ids[best]), pa.array(mine[best])]
+            for of, asked, held in zip(batch[document], batch["question_id"], batch["position"], strict=True):
+                (q_ids, q), (p_ids, p) = vectors(asked), vectors(held)
+                step = max(1, (1 << 21) // len(p_ids))  # 16 MB of scores at once
+                for start in range(0, len(q_ids), step):
+                    some = q_ids[start : start + step]
+                    score = np.zeros((len(some), len(p_ids)))
+                    for size in q.keys() & p.keys():  # vectors of two sizes have score 0
+                        (q_at, q_v), (p_at, p_v) = q[size], p[size]
+                        mine = (q_at >= start) & (q_at < start + step)
+                        if len(q_at) == len(q_ids) and len(p_at) == len(p_ids):
+                            np.matmul(q_v[mine], p_v.T, out=score)
+                        else:
+                            score[np.ix_(q_at[mine] - start, p_at)] = q_v[mine] @ p_v.T
+                    row, at, shown = best(score, p_ids)
+                    cols = [pa.array([of.as_py()] * len(row), type=kind), pa.array(some[row]), pa.array(p_ids[at]), pa.array(shown)]
                     yield pa.RecordBatch.from_arrays(cols, names=[document, "question_id", "position", "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     shape = passages.schema[document].dataType
     kind = to_arrow_type(shape)
-    spark = passages.sparkSession
-    wide = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = packed(questions.withColumn("question_id", F.col("question_id").cast("long")), "question_id", block)
-    held = packed(passages.withColumn("position", F.col("position").cast("long")), "position", tile)
-    # Rebalanced: a meeting is long work on a short row.
-    pairs = held.join(asked, document).repartition(wide)
+    asked, blocks = packed(questions.withColumn("question_id", F.col("question_id").cast("long")), "question_id", block)
+    held, tiles = packed(passages.withColumn("position", F.col("position").cast("long")), "position", tile)
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"_{name}_parts") - 1)).alias(f"_{name}")
+    asked = asked.join(tiles, document).select(document, "_question_id", "question_id", each("position"))
+    held = held.join(blocks, document).select(document, "_position", "position", each("question_id"))
+    pairs = held.join(asked.hint("shuffle_merge"), [document, "_question_id", "_position"]).select(document, "question_id", "position")
     scored = pairs.mapInArrow(run, f"`{document}` {shape.simpleString()}, question_id long, position long, score double")
     return newest_per_key(scored, ["question_id"], [F.col("score").desc(), F.col("position")], k)
 

@@ -137,7 +137,7 @@ def _(t):
 
 COS = """
 , s AS (SELECT q.vec_id AS question_id, p.vec_id AS position, round(list_cosine_similarity(p.e, q.e), 6) AS score
-  FROM v p JOIN (SELECT * FROM v WHERE vec_id % 100 = 0) q ON p.label = q.label)
+  FROM v p JOIN v q ON p.label = q.label)
 , k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) <= 8)
 """
 VEC = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -145,8 +145,7 @@ VEC = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM em
 
 def _closest(t):
     rows = t.embeddings.select(F.col("label").alias("document"), F.col("vec_id").alias("position"), "embedding")
-    asked = rows.filter("position % 100 = 0")  # questions that grow with the table
-    return R.closest(rows, asked.withColumnRenamed("position", "question_id"), "document")
+    return R.closest_of_many(rows, rows.withColumnRenamed("position", "question_id"), "document", tile=4096, block=4096)  # every vector asks
 
 
 @query("closest_passages", VEC + COS + "SELECT question_id, position, score FROM k")
@@ -166,7 +165,7 @@ def _(t):
     return R.prompt_passages(shown)
 
 
-#: The same questions, in blocks that meet tiles of passages.
+#: One vector in a hundred asks.
 COS_HUNDREDTH = """
 , s AS (SELECT q.vec_id AS question_id, p.vec_id AS position, round(list_cosine_similarity(p.e, q.e), 6) AS score
   FROM v p JOIN v q ON p.label = q.label WHERE q.vec_id % 100 = 0)

@@ -527,6 +527,23 @@ def test_results_refused(spark):
     assert [r.problem for r in R.parse_quick(df).collect()] == ["not JSON", "schema mismatch", "no citations"]
 
 
+def test_every_vector_asks_for_its_closest(spark, tmp_path):
+    """Vectors of any id are questions, so also of a label without a round id; the text of the prompt has the same ones."""
+    from readlake.operators import retrieval
+    from readlake.plans import QUERIES
+
+    r = random.Random(7)
+    some = [(i, [float(r.randrange(-2, 3)) + 0.5 for _ in range(3)], i % 4) for i in range(1, 60)]
+    df = spark.createDataFrame(some, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = df.selectExpr("label document", "vec_id position", "embedding")
+    plain = retrieval.closest(rows, rows.withColumnRenamed("position", "question_id"), "document")
+    want = sorted((x.question_id, x.position, x.score) for x in plain.collect())
+    assert len({q for q, _, _ in want}) == 59 and len(want) == 59 * 8
+    assert sorted(tuple(x) for x in QUERIES["closest_passages"](spark, str(tmp_path)).collect()) == want
+    assert {x.question_id for x in QUERIES["prompt_context"](spark, str(tmp_path)).collect()} == set(range(1, 60))
+
+
 def test_closest_of_many_against_brute_force(spark):
     from readlake.operators import retrieval
 
