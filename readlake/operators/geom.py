@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from readlake.functions import text as X
+
 SAME_AREA = 0.5
 CELLS = 16  # grid cells per page side: what two boxes must share before they are compared
 
@@ -49,6 +51,50 @@ def chars_in_boxes(chars: DataFrame, boxes: DataFrame, at: list[str], key: str,
     return mid.join(boxes.select(*at, key, *"xywh"), at).filter(hit).select(*at, key, "ord", *carried).distinct()
 
 
+def lines_of(chars: DataFrame, at: list[str]) -> DataFrame:
+    """Characters (ord, x0, y0, x1, y1, with c and line where known) packed, one row per line of a page, a page without lines being one: `ords`
+    rising, their corners, and what they say: `said`, or `signs` where a character has several letters. Packed rows come back as they are."""
+    if "ords" in chars.columns:
+        return chars
+    line = F.col("line") if "line" in chars.columns else F.lit(0)
+    c = F.col("c") if "c" in chars.columns else F.lit("")
+    corners = ("x0", "y0", "x1", "y1")
+    rows = chars.select(*at, line.alias("line"), F.struct("ord", c.alias("c"), *corners).alias("_c"))
+    rows = rows.groupBy(*at, "line").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    each = lambda n: F.transform("_c", lambda x: x[n])
+    signs = each("c")
+    single = F.coalesce(F.forall(signs, lambda c: F.length(c) == 1), F.lit(False))
+    return rows.select(
+        *at, "line", each("ord").alias("ords"), *(each(n).alias(n) for n in corners),
+        F.when(single, F.array_join(signs, "")).alias("said"), F.when(~single, signs).alias("signs"),
+    )
+
+
+def lines_in_boxes(lines: DataFrame, boxes: DataFrame, at: list[str], key: str, margin: float = 0.004) -> DataFrame:
+    """(at, key, ords, said, signs): per page and block, the characters of packed lines whose middle lies in one of the block's boxes, give or
+    take a margin, each once and rising. Lines and boxes meet by page, and a line is read for the boxes it touches."""
+    middle = lambda a, b: F.zip_with(a, b, lambda x, y: (x + y) / 2)
+    rows = lines.select(*at, "ords", "said", "signs", middle("x0", "x1").alias("_mx"), middle("y0", "y1").alias("_my"))
+    rows = rows.withColumns({f"_{n}{c}": f(f"_m{c}") for c in "xy" for n, f in (("low", F.array_min), ("high", F.array_max))})
+    rows = rows.join(boxes.select(*at, key, *"xywh"), at)
+    between = lambda c, d: (F.col(f"_high{c}") >= F.col(c) - margin) & (F.col(f"_low{c}") <= F.col(c) + F.col(d) + margin)
+    rows = rows.filter(between("x", "w") & between("y", "h"))
+    each = F.arrays_zip(F.col("ords").alias("ord"), F.coalesce("signs", F.split("said", "")).alias("c"), F.col("_mx").alias("x"), F.col("_my").alias("y"))
+    held = F.filter(each, lambda z: inside(z["x"], z["y"], F.col("x"), F.col("y"), F.col("w"), F.col("h"), margin))
+    rows = rows.select(*at, key, F.transform(held, lambda z: F.struct(z["ord"].alias("ord"), z["c"].alias("c"))).alias("_c")).filter(F.size("_c") > 0)
+    rows = rows.groupBy(*at, key).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("_c"))
+    rows = rows.withColumn("_c", F.filter("_c", lambda x, i: (i == 0) | (x != F.get("_c", i - 1))))
+    signs = F.transform("_c", lambda x: x["c"])
+    single = F.coalesce(F.forall(signs, lambda c: F.length(c) == 1), F.lit(False))
+    return rows.select(*at, key, F.transform("_c", lambda x: x["ord"]).alias("ords"), F.when(single, F.array_join(signs, "")).alias("said"), F.when(~single, signs).alias("signs"))
+
+
+def stretches(ords: Column) -> Column:
+    """Rising numbers as stretches (ord, size) that go on by one."""
+    starts = F.filter(F.transform(ords, lambda x, i: F.struct(x.alias("ord"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(ords, x["i"] - 1) + 1 != x["ord"]))
+    return X.let(starts, lambda s: F.transform(s, lambda x, k: F.struct(x["ord"].alias("ord"), (F.coalesce(F.get(s, k + 1)["i"], F.size(ords)) - x["i"]).alias("size"))))
+
+
 def merge_rects(rects: Column) -> Column:
     """One selection's small boxes as one box per line: a box joins the last line when their middles nearly
     agree and the gap is about a space. A fold over one selection's own boxes."""

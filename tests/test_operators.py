@@ -968,3 +968,62 @@ def test_tables_are_told_within_a_row(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Join") == 2
     assert out.first().markdown == "| H1 | H2 |\n|---|---|\n| a | b c |\n| d | e\\|f |"
+
+
+def test_packed_lines_are_read_as_characters_are(spark, monkeypatch):
+    """Lines of a page and stretches of a block say what single characters do, and no character is a row of its own on the way."""
+    from pyspark.sql import functions as fn
+
+    r = random.Random(11)
+    blocks, chars, boxes, spans, rects, marks, start = [], [], [], [], [], [], 0
+    for n in range(30):
+        words = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+        page, line = 1 + n // 6, n % 6
+        blocks.append((1, f"b{n}", words, n, start, words, page))
+        for j, c in enumerate(words):
+            sign = "#" if r.random() < 0.04 else c
+            chars.append((1, page, line * 24 + j, sign, line, j / 24, line / 6, (j + 1) / 24, line / 6 + 0.1))
+        boxes += [(1, page, f"b{n}", 0.0, line / 6, 1.0, 0.1), (1, page, f"b{n}", 0.2, line / 6, 0.3, 0.1)]
+        spans.append((1, f"h{n // 2}", f"b{n}", 3 if n % 2 == 0 else 0, 24 if n % 2 == 0 else 20, n))
+        if n % 3 == 0:
+            rects += [(1, f"h{n}", page, 2 / 24, line / 6, 12 / 24, 0.1), (1, f"h{n}", page, 8 / 24, line / 6, 9 / 24, 0.1)]
+            marks.append((1, f"h{n}", words[2:17]))
+        start += 24
+    blocks = spark.createDataFrame(blocks, "doc int, block_id string, words string, ord int, start int, text string, page int")
+    chars = spark.createDataFrame(chars, "doc int, page int, ord int, c string, line int, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame(boxes, "doc int, page int, block_id string, x double, y double, w double, h double")
+    spans = spark.createDataFrame(spans, "doc int, id string, block_id string, span_start int, span_end int, ord int")
+    rects = spark.createDataFrame(rects, "doc int, highlight_id string, page int, x double, y double, w double, h double")
+    marks = spark.createDataFrame(marks, "doc int, highlight_id string, selected_text string")
+    lines = G.lines_of(chars, ["doc", "page"])
+    written, keep = [], A.pinned
+    monkeypatch.setattr(A, "pinned", lambda df, *a, **k: (written.append(df), keep(df, *a, **k))[1])
+    packed, single = A.aligned_stretches(blocks, lines, boxes, "doc"), A.aligned(blocks, chars, boxes, "doc")
+    assert lines.count() == 30 and written[0].count() == 30  # rows of lines and of blocks
+    each = packed.select("block_id", "i", "page", "ord", fn.explode(fn.sequence(fn.lit(0), fn.col("size") - 1)).alias("k")).collect()
+    where = {(x.block_id, x.i): (x.page, x.ord) for x in single.collect()}
+    assert {(x.block_id, x.i + x.k): (x.page, x.ord + x.k) for x in each} == where and len(each) == len(where)
+    said = {(c.page, c.ord): c.c for c in chars.collect()}
+    text = {b.block_id: b.words for b in blocks.collect()}
+    assert all(said[at] == text[b][i] for (b, i), at in where.items()) and len(where) > 550
+
+    def placed(alignment, signs):
+        found = A.pdf_place(spans, alignment, signs, "doc", "id").collect()
+        touched = A.under_selection(rects, alignment, signs, blocks, "doc")
+        return sorted(map(tuple, found)), sorted(map(str, A.on_page(marks, A.index(blocks, "doc"), touched, "doc").collect()))
+
+    assert placed(packed, lines) == placed(single, chars)
+    # A range is shown where 98 % of it and both ends are found: the box of what is found on each of its lines.
+    want = []
+    for h in range(15):
+        wanted = [(f"b{2 * h}", i) for i in range(3, 24)] + [(f"b{2 * h + 1}", i) for i in range(20)]
+        there = [where[w] for w in wanted if w in where]
+        if len(there) >= A.COVERED * len(wanted) and wanted[0] in where and wanted[-1] in where:
+            for page, line in sorted({(p, o // 24) for p, o in there}):
+                js = [o % 24 for p, o in there if (p, o // 24) == (page, line)]
+                want.append((f"h{h}", page, line, round(min(js) / 24, 5), round((max(js) + 1) / 24 - min(js) / 24, 5)))
+    got = [(x.id, x.page, x.line, x.x, x.w) for x in A.pdf_place(spans, packed, lines, "doc", "id").collect()]
+    assert [g[:3] for g in sorted(got)] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-5 and abs(g[4] - w[4]) < 2e-5 for g, w in zip(sorted(got), sorted(want), strict=True)) and want
+    share = {m.highlight_id: sum((m.block, i) in where for i in range(2, 17)) / 15 for m in marks.withColumn("block", fn.concat(fn.lit("b"), fn.substring("highlight_id", 2, 9))).collect()}
+    state = {x.highlight_id: x.state for x in A.on_page(marks, A.index(blocks, "doc"), A.under_selection(rects, packed, lines, blocks, "doc"), "doc").collect()}
+    assert state == {h: "mapped" if s >= A.OVERLAP else "unresolved" for h, s in share.items()}
