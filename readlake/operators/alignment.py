@@ -22,10 +22,6 @@ LINK = "struct<score:int,at:int,to:int,size:int,before:int>"
 GRAMS = ((12, 1), (4, 1), (4, 1), (4, 1024))
 
 
-def _letters(text: str) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "")
-
-
 def shared_runs(a: str, b: str, k: int, most: int) -> list[tuple[int, int, int]]:
     """(at, to, size), sorted: runs of grams of length k that stand once in each text, or in up to `most` pairs of places, place by place."""
     grams: dict[str, tuple[list[int], list[int]]] = {}
@@ -46,11 +42,56 @@ def shared_runs(a: str, b: str, k: int, most: int) -> list[tuple[int, int, int]]
     return sorted(map(tuple, out))
 
 
-def diagonals(a: str, b: str, k: int, most: int = 1) -> Column:
-    """The runs of two texts as an array of RUN."""
+def _chain(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """`heaviest_chain` of a list of runs."""
+    links: list[tuple[int, int]] = []  # the weight up to a run, and the run before it
+    for n, (at, to, size) in enumerate(found):
+        best = (-1, -1)
+        for i in range(n):
+            p, q, many = found[i]
+            lap = max(0, p + many - at, q + many - to)
+            if p < at and q < to and lap < size:
+                best = max(best, (links[i][0] + size - lap, i))
+        links.append(best if best[0] > size else (size, -1))
+    here, rising = max((weight, i) for i, (weight, _) in enumerate(links))[1] if links else -1, []
+    while here >= 0:
+        rising.append(found[here])
+        here = links[here][1]
+    out: list[tuple[int, int, int]] = []
+    for at, to, size in reversed(rising):
+        lap = max(0, out[-1][0] + out[-1][2] - at, out[-1][1] + out[-1][2] - to) if out else 0
+        out.append((at + lap, to + lap, size - lap))
+    return out
+
+
+def grown(runs: list[tuple[int, int, int]], a: str, b: str) -> list[tuple[int, int, int]]:
+    """Runs made longer while the characters agree: to the next run, then back to the one before; then those without a gap in either text as one."""
+    longer, out = [], []
+    for n, (at, to, size) in enumerate(runs):
+        stop_a, stop_b = (runs[n + 1][0], runs[n + 1][1]) if n + 1 < len(runs) else (len(a), len(b))
+        while at + size < stop_a and to + size < stop_b and a[at + size] == b[to + size]:
+            size += 1
+        longer.append((at, to, size))
+    for n, (at, to, size) in enumerate(longer):
+        floor_a, floor_b = (longer[n - 1][0] + longer[n - 1][2], longer[n - 1][1] + longer[n - 1][2]) if n else (0, 0)
+        while at > floor_a and to > floor_b and a[at - 1] == b[to - 1]:
+            at, to, size = at - 1, to - 1, size + 1
+        if out and out[-1][0] + out[-1][2] == at and out[-1][1] + out[-1][2] == to:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + size)
+        else:
+            out.append((at, to, size))
+    return out
+
+
+def chained(a: str, b: str, k: int, most: int = 1) -> Column:
+    """The heaviest chain of the runs of two texts, grown, as an array of RUN."""
+
+    def one(x: str, y: str) -> list[dict]:
+        found = shared_runs(x, y, k, most)
+        return [dict(zip(("at", "to", "size"), r, strict=True)) for r in grown(_chain(found) if len(found) > 1 else found, x, y)]
 
     def read(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("at", "to", "size"), r, strict=True)) for r in shared_runs(x, y, k, most)] for x, y in zip(left, right, strict=True)], dtype=object)
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype=object)
 
     return F.pandas_udf(read, f"array<{RUN}>")(a, b)
 
@@ -89,52 +130,14 @@ def heaviest_chain(found: Column) -> Column:
     return F.aggregate(chain, F.array().cast(f"array<{RUN}>"), apart)
 
 
-def _grown(runs: Column, a: Column, b: Column) -> Column:
-    """Runs made longer while the characters agree: to the next run, then back to the one before."""
-
-    def same_for(limit: Column, differ) -> Column:
-        steps = F.when(limit > 0, F.sequence(F.lit(0), limit - 1)).otherwise(F.array().cast("array<int>"))
-        return F.coalesce(F.array_min(F.filter(steps, differ)), F.greatest(limit, F.lit(0)))
-
-    def right(x: Column, i: Column, all_: Column) -> Column:
-        nxt = F.get(all_, i + 1)
-        stop, to = x["at"] + x["size"], x["to"] + x["size"]
-        limit = F.least(F.coalesce(nxt["at"], F.size(a)) - stop, F.coalesce(nxt["to"], F.size(b)) - to)
-        more = same_for(limit, lambda t: F.get(a, stop + t) != F.get(b, to + t))
-        return F.struct(x["at"].alias("at"), x["to"].alias("to"), (x["size"] + more).alias("size")).cast(RUN)
-
-    def left(x: Column, i: Column, all_: Column) -> Column:
-        last = F.get(all_, i - 1)
-        floor_a, floor_b = (F.when(i > 0, last[c] + last["size"]).otherwise(0) for c in ("at", "to"))
-        more = same_for(F.least(x["at"] - floor_a, x["to"] - floor_b), lambda t: F.get(a, x["at"] - 1 - t) != F.get(b, x["to"] - 1 - t))
-        return F.struct((x["at"] - more).alias("at"), (x["to"] - more).alias("to"), (x["size"] + more).alias("size")).cast(RUN)
-
-    forward = F.transform(runs, lambda x, i: right(x, i, runs))
-    return F.transform(F.array(forward), lambda rs: F.transform(rs, lambda x, i: left(x, i, rs)))[0]
-
-
-def _joined(runs: Column) -> Column:
-    """Runs that follow on one another without a gap in either text, as one."""
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        follows = F.coalesce((last["at"] + last["size"] == x["at"]) & (last["to"] + last["size"] == x["to"]), F.lit(False))
-        longer = F.struct(last["at"].alias("at"), last["to"].alias("to"), (last["size"] + x["size"]).alias("size")).cast(RUN)
-        return F.when(follows, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(runs, F.array().cast(f"array<{RUN}>"), add)
-
-
 def runs(passages: DataFrame, keys: list[str], a: str, b: str, least: int) -> DataFrame:
     """(keys, at, to, size): runs of `least` characters or more that texts `a` and `b` of a passage share, rising in both and never
     lapping over. Null texts are empty."""
     parts, out = passages.select(*keys, F.lit(0).alias("_at"), F.lit(0).alias("_to"), F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b")), []
     named = [*keys, "_at", "_to"]
     for turn, (k, most) in enumerate(GRAMS):
-        met = parts.filter((F.length("_a") >= least) & (F.length("_b") >= least)).withColumn("_chain", diagonals("_a", "_b", k, most))
-        met = met.withColumn("_chain", F.when(F.size("_chain") > 1, heaviest_chain(F.col("_chain"))).otherwise(F.col("_chain")))
-        met = met.withColumn("_la", _letters("_a")).withColumn("_lb", _letters("_b"))
-        met = pinned(met.withColumn("_chain", _joined(_grown(F.col("_chain"), F.col("_la"), F.col("_lb")))).drop("_la", "_lb"), "chains")
+        met = parts.filter((F.length("_a") >= least) & (F.length("_b") >= least)).withColumn("_chain", chained("_a", "_b", k, most))
+        met = pinned(met, "chains")
         one = met.select(*named, F.explode("_chain").alias("_r"))
         out.append(one.select(*keys, (F.col("_at") + F.col("_r.at")).alias("at"), (F.col("_to") + F.col("_r.to")).alias("to"), F.col("_r.size").alias("size")))
         if turn + 1 == len(GRAMS):

@@ -70,29 +70,48 @@ def lines_of(chars: DataFrame, at: list[str]) -> DataFrame:
     )
 
 
-def lines_in_boxes(lines: DataFrame, boxes: DataFrame, at: list[str], key: str, margin: float = 0.004) -> DataFrame:
+def lines_in_boxes(lines: DataFrame, boxes: DataFrame, at: list[str], key: str, margin: float = 0.004, words: bool = True) -> DataFrame:
     """(at, key, ords, said, signs): per page and block, the characters of packed lines whose middle lies in one of the block's boxes, give or
-    take a margin, each once and rising. Lines and boxes meet by page, and a line is read for the boxes it touches."""
+    take a margin, each once and rising; with `words` false only their `ords`. Lines and boxes meet by page, and a line is read for the
+    boxes it touches."""
     middle = lambda a, b: F.zip_with(a, b, lambda x, y: (x + y) / 2)
-    rows = lines.select(*at, "ords", "said", "signs", middle("x0", "x1").alias("_mx"), middle("y0", "y1").alias("_my"))
+    rows = lines.select(*at, "ords", *(["said", "signs"] if words else []), middle("x0", "x1").alias("_mx"), middle("y0", "y1").alias("_my"))
     rows = rows.withColumns({f"_{n}{c}": f(f"_m{c}") for c in "xy" for n, f in (("low", F.array_min), ("high", F.array_max))})
     rows = rows.join(boxes.select(*at, key, *"xywh"), at)
     between = lambda c, d: (F.col(f"_high{c}") >= F.col(c) - margin) & (F.col(f"_low{c}") <= F.col(c) + F.col(d) + margin)
     rows = rows.filter(between("x", "w") & between("y", "h"))
-    each = F.arrays_zip(F.col("ords").alias("ord"), F.coalesce("signs", F.split("said", "")).alias("c"), F.col("_mx").alias("x"), F.col("_my").alias("y"))
+    within = lambda c, d: (F.col(f"_low{c}") >= F.col(c) - margin) & (F.col(f"_high{c}") <= F.col(c) + F.col(d) + margin)
+    # A line that lies in a box as a whole is taken as it is; of others, and of those that meet in a block, the characters are looked at.
+    carried = [F.coalesce("signs", F.split("said", "")).alias("c")] if words else []
+    each = F.arrays_zip(F.col("ords").alias("ord"), *carried, F.col("_mx").alias("x"), F.col("_my").alias("y"))
     held = F.filter(each, lambda z: inside(z["x"], z["y"], F.col("x"), F.col("y"), F.col("w"), F.col("h"), margin))
-    rows = rows.select(*at, key, F.transform(held, lambda z: F.struct(z["ord"].alias("ord"), z["c"].alias("c"))).alias("_c")).filter(F.size("_c") > 0)
-    rows = rows.groupBy(*at, key).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("_c"))
-    rows = rows.withColumn("_c", F.filter("_c", lambda x, i: (i == 0) | (x != F.get("_c", i - 1))))
-    signs = F.transform("_c", lambda x: x["c"])
-    single = F.coalesce(F.forall(signs, lambda c: F.length(c) == 1), F.lit(False))
-    return rows.select(*at, key, F.transform("_c", lambda x: x["ord"]).alias("ords"), F.when(single, F.array_join(signs, "")).alias("said"), F.when(~single, signs).alias("signs"))
+    if not words:
+        rows = rows.select(*at, key, F.when(within("x", "w") & within("y", "h"), F.col("ords")).otherwise(F.transform(held, lambda z: z["ord"])).alias("ords")).filter(F.size("ords") > 0)
+        return rows.groupBy(*at, key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ords")))).alias("ords"))
+    piece = lambda rows: X.let(rows, _piece)
+    some = piece(F.transform(held, lambda z: F.struct(z["ord"].alias("ord"), z["c"].alias("c"))))
+    whole = F.struct("ords", "said", "signs")
+    rows = rows.select(*at, key, F.when(within("x", "w") & within("y", "h"), whole).otherwise(some).alias("_p")).filter(F.size("_p.ords") > 0)
+    rows = rows.groupBy(*at, key).agg(F.collect_list("_p").alias("_p"))
+    chars = lambda p: F.transform(F.arrays_zip(p["ords"].alias("ord"), F.coalesce(p["signs"], F.split(p["said"], "")).alias("c")), lambda z: F.struct(z["ord"].alias("ord"), z["c"].alias("c")))
+    once = lambda every: F.filter(every, lambda x, i: (i == 0) | (x != F.get(every, i - 1)))
+    met = piece(X.let(F.sort_array(F.flatten(F.transform("_p", chars))), once))
+    return rows.select(*at, key, F.when(F.size("_p") == 1, F.get("_p", F.lit(0))).otherwise(met).alias("_p")).select(*at, key, "_p.*")
+
+
+def _piece(chars: Column) -> Column:
+    """Characters (ord, c) packed: `said`, or `signs` where one has several letters."""
+    signs = F.transform(chars, lambda x: x["c"])
+    single = F.coalesce(F.forall(chars, lambda x: F.length(x["c"]) == 1), F.lit(False))
+    return F.struct(F.transform(chars, lambda x: x["ord"]).alias("ords"), F.when(single, F.array_join(signs, "")).alias("said"), F.when(~single, signs).alias("signs"))
 
 
 def stretches(ords: Column) -> Column:
     """Rising numbers as stretches (ord, size) that go on by one."""
     starts = F.filter(F.transform(ords, lambda x, i: F.struct(x.alias("ord"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(ords, x["i"] - 1) + 1 != x["ord"]))
-    return X.let(starts, lambda s: F.transform(s, lambda x, k: F.struct(x["ord"].alias("ord"), (F.coalesce(F.get(s, k + 1)["i"], F.size(ords)) - x["i"]).alias("size"))))
+    cut = X.let(starts, lambda s: F.transform(s, lambda x, k: F.struct(x["ord"].alias("ord"), (F.coalesce(F.get(s, k + 1)["i"], F.size(ords)) - x["i"]).alias("size"))))
+    low = F.get(ords, F.lit(0))
+    return F.when(F.element_at(ords, -1) - low + 1 == F.size(ords), F.array(F.struct(low.alias("ord"), F.size(ords).alias("size")))).otherwise(cut)
 
 
 def merge_rects(rects: Column) -> Column:

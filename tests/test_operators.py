@@ -1027,3 +1027,20 @@ def test_packed_lines_are_read_as_characters_are(spark, monkeypatch):
     share = {m.highlight_id: sum((m.block, i) in where for i in range(2, 17)) / 15 for m in marks.withColumn("block", fn.concat(fn.lit("b"), fn.substring("highlight_id", 2, 9))).collect()}
     state = {x.highlight_id: x.state for x in A.on_page(marks, A.index(blocks, "doc"), A.under_selection(rects, packed, lines, blocks, "doc"), "doc").collect()}
     assert state == {h: "mapped" if s >= A.OVERLAP else "unresolved" for h, s in share.items()}
+
+
+def test_chains_of_runs_are_those_of_the_array_functions(spark):
+    """The heaviest chain made where the runs are found is the one that the array functions make."""
+    from readlake.operators import alignment
+
+    r = random.Random(3)
+    rows = []
+    for n in range(150):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(8, 60)))
+        b = "".join(r.choice("abcx") if r.random() < 0.1 else c for c in a) if n % 3 else a[len(a) // 2 :] + a[: len(a) // 2]
+        rows.append((n, a, b, alignment.shared_runs(a, b, 4, 9)))
+    frame = spark.createDataFrame(rows, f"id int, a string, b string, found array<{alignment.RUN}>").filter("size(found) > 1")
+    got = {x.id: [tuple(y) for y in x.c] for x in frame.select("id", alignment.heaviest_chain(F.col("found")).alias("c")).collect()}
+    assert len(got) > 100 and all(alignment._chain(rows[n][3]) == c for n, c in got.items())
+    assert all(a[x : x + k] == b[y : y + k] for _, a, b, f in rows for x, y, k in alignment.grown(alignment._chain(f), a, b))
+    assert alignment.grown([(2, 2, 2), (6, 6, 2)], "abcdefghij", "abcdefghij") == [(0, 0, 10)]
