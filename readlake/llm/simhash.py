@@ -6,11 +6,13 @@ two tiles meet only if their numbers of ones differ by no more than the radius,
 most one. A meeting is a blockwise numpy exclusive-or with bit counts. Links inside a block that is already connected are
 skipped, so a meeting emits a forest and never all pairs of a dense group; the forests are then merged by Spark joins.
 
-Comparisons grow with the square of the number of *different* fingerprints; the shuffle of tiles with the number of meetings.
+Comparisons grow with the square of the number of *different* fingerprints; the shuffle of tiles with the number of meetings. For near
+duplicates by similarity, tiles are of one size of set instead, and only sizes that may be alike meet.
 """
 
 from __future__ import annotations
 
+import math
 from math import ceil
 
 import numpy as np
@@ -32,6 +34,8 @@ NEAR = (4, 5)
 #: Shingles from which a fingerprint tells unrelated texts apart. A set of fewer can be alike only to sets under SHORT.
 SURE = 20
 SHORT = SURE * NEAR[1] // NEAR[0]
+#: Kinds of set sizes in which a set is at most NEAR[1] / NEAR[0] times as large as another.
+_STEPS = 8
 
 
 def _shingle_hashes(words: Words, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,32 +204,34 @@ def compared(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[n
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def links(different: DataFrame, radius: int, bits: int, tile: int = 8192) -> DataFrame:
-    """(a, b): pairs of fingerprints within the radius that connect all that are linked. `different`: one row a fingerprint."""
-    nodes = pinned(different.select("fingerprint", ones(F.col("fingerprint")).alias("n_ones")), "fingerprints")
+def links(different: DataFrame, radius: int, bits: int, tile: int = 8192, reach: int | None = None) -> DataFrame:
+    """(a, b): pairs of fingerprints within the radius that connect all that are linked. `different`: one row a fingerprint. With `reach`, one row a
+    fingerprint and `kind` (a number), and only those are compared whose kinds differ by no more than that."""
+    kind = F.col("kind").cast("int") if reach is not None else ones(F.col("fingerprint"))
+    nodes = pinned(different.select("fingerprint", kind.alias("kind")), "fingerprints")
     spark = nodes.sparkSession
-    #: At most bits + 1 rows.
-    parts = {r["n_ones"]: ceil(r["count"] / tile) for r in nodes.groupBy("n_ones").count().collect()}
-    kinds = spark.createDataFrame(list(parts.items()) or [(0, 1)], "n_ones int, parts int")
-    dealt = nodes.join(kinds, "n_ones").withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
-    packed = dealt.groupBy("n_ones", "part").agg(F.unhex(F.concat_ws("", F.collect_list("fingerprint"))).alias("held"))
+    #: At most bits + 1 rows, or as many as there are kinds.
+    parts = {r["kind"]: ceil(r["count"] / tile) for r in nodes.groupBy("kind").count().collect()}
+    kinds = spark.createDataFrame(list(parts.items()) or [(0, 1)], "kind int, parts int")
+    dealt = nodes.join(kinds, "kind").withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    packed = dealt.groupBy("kind", "part").agg(F.unhex(F.concat_ws("", F.collect_list("fingerprint"))).alias("held"))
     packed = pinned(packed, "tiles")
     tile_ids = kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = tile_ids.withColumn("other", F.explode(F.sequence(F.col("n_ones"), F.least(F.col("n_ones") + radius, F.lit(bits)))))
-    others = kinds.select(F.col("n_ones").alias("other"), F.col("parts").alias("other_parts"))
+    meets = tile_ids.withColumn("other", F.explode(F.sequence(F.col("kind"), F.col("kind") + (radius if reach is None else reach))))
+    others = kinds.select(F.col("kind").alias("other"), F.col("parts").alias("other_parts"))
     meets = meets.join(others, "other").withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-    meets = meets.filter("other > n_ones or other_part >= part").select("n_ones", "part", "other", "other_part")
+    meets = meets.filter("other > kind or other_part >= part").select("kind", "part", "other", "other_part")
     # Rebalanced: a meeting is long work on a short row.
     wide = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meets = meets.repartition(wide, "n_ones", "part", "other", "other_part")
-    left = packed.select("n_ones", "part", F.col("held").alias("left"))
-    right = packed.select(F.col("n_ones").alias("other"), F.col("part").alias("other_part"), F.col("held").alias("right"))
-    pairs = meets.join(left, ["n_ones", "part"]).join(right, ["other", "other_part"])
+    meets = meets.repartition(wide, "kind", "part", "other", "other_part")
+    left = packed.select("kind", "part", F.col("held").alias("left"))
+    right = packed.select(F.col("kind").alias("other"), F.col("part").alias("other_part"), F.col("held").alias("right"))
+    pairs = meets.join(left, ["kind", "part"]).join(right, ["other", "other_part"])
     width = bits // 64
 
     def run(batches):
         for table in tables(batches):
-            ids = [column(table, x).to_numpy(zero_copy_only=False) for x in ("n_ones", "other", "part", "other_part")]
+            ids = [column(table, x).to_numpy(zero_copy_only=False) for x in ("kind", "other", "part", "other_part")]
             for k in range(table.num_rows):
                 mine, theirs = (np.frombuffer(column(table, x)[k].as_py(), dtype=">u8").astype(np.uint64).reshape(-1, width) for x in ("left", "right"))
                 same = ids[0][k] == ids[1][k] and ids[2][k] == ids[3][k]
@@ -234,7 +240,7 @@ def links(different: DataFrame, radius: int, bits: int, tile: int = 8192) -> Dat
                 hexed = [[x.tobytes().hex() for x in both[i].astype(">u8")] for i in (a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in hexed], names=["a", "b"])
 
-    return pairs.select("n_ones", "part", "other", "other_part", "left", "right").mapInArrow(run, "a string, b string")
+    return pairs.select("kind", "part", "other", "other_part", "left", "right").mapInArrow(run, "a string, b string")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -353,7 +359,10 @@ def _candidates(sets: DataFrame, radius: int, bits: int, tile: int) -> DataFrame
     long = sets.filter(F.col("n") >= SURE)
     firsts = pinned(long.groupBy("fingerprint").agg(F.min("set_key").alias("first")), "firsts")
     same = long.join(firsts, "fingerprint").filter("set_key <> first").select(F.col("set_key").alias("a"), F.col("first").alias("b"))
-    near = pinned(links(firsts.select("fingerprint"), radius, bits, tile), "links")
+    # Alike sets are of nearly one size: the smaller has at least `NEAR` of the larger.
+    ratio = math.log(NEAR[1] / NEAR[0]) / _STEPS
+    kinds = long.select("fingerprint", F.floor(F.log("n") / ratio).cast("int").alias("kind")).distinct()
+    near = pinned(links(kinds, radius, bits, tile, reach=_STEPS + 1), "links")  # one more, as logarithms are rounded
     near = near.join(firsts.select(F.col("fingerprint").alias("a"), F.col("first").alias("x")), "a")
     near = near.join(firsts.select(F.col("fingerprint").alias("b"), F.col("first").alias("y")), "b")
     return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(_short_links(sets))

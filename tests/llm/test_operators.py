@@ -483,6 +483,29 @@ def test_one_of_each_by_shingles(spark, block):
     assert sorted(x["doc_id"] for x in simhash.one_of_each(docs, block=block).collect()) == want
 
 
+def test_sets_of_other_sizes_are_not_compared(spark, monkeypatch):
+    """A set meets those of at least four fifths of its size and at most five fourths, wherever they lie; copies of fingerprints in other sizes do no harm."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**9)}" for _ in range(700)]
+    sizes = (100, 112, 124, 160, 320, 640)  # the first words of one text: 100, 112 and 124 are alike by steps
+    docs = spark.createDataFrame([(i, " ".join(words[:n])) for i, n in enumerate(sizes)], "doc_id long, text string")
+    met, keep = [], simhash.links
+
+    def watched(*args, **how):
+        found = keep(*args, **how)
+        met.extend(found.collect())
+        return found
+
+    monkeypatch.setattr(simhash, "links", watched)
+    # All 128 bits may differ, so sizes alone part the sets.
+    kept = simhash.one_of_each(docs, radius=128).collect()
+    assert sorted(x["doc_id"] for x in kept) == [0, 3, 4, 5]
+    marks = {x["fingerprint"]: x["n"] for x in simhash.shingle_sets(docs, "doc_id", "text", 5, 128).collect()}
+    pairs = {tuple(sorted((marks[x["a"]], marks[x["b"]]))) for x in met}
+    assert pairs and all(5 * a >= 3.8 * b for a, b in pairs)
+    assert {n for p in pairs for n in p} == {96, 108, 120}
+
+
 def test_main_text_keeps_links_parts_and_formulas_of_articles():
     long, short = prose(21, 300), prose(22, 45)
     page = f"<body><nav><a>Home</a></nav><article><p>{long}</p><p><a>Full report</a></p><ul><li><a>Data</a></li></ul><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math></p></article></body>"
