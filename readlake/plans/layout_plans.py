@@ -249,13 +249,13 @@ def typed(t):
 @query("roles_of_blocks")
 def _(t):
     rows = typed(t)
-    return R.classify(rows, L.body_size(rows)).select("doc_id", "page", "n", "role", "confidence")
+    return R.classify(rows, L.body_size).select("doc_id", "page", "n", "role", "confidence")
 
 
 @query("roles_side_store")
 def _(t):
     rows = typed(t)
-    _, aside = L.split_aside(R.classify(rows, L.body_size(rows)))
+    _, aside = L.split_aside(R.classify(rows, L.body_size))
     return R.aside_groups(aside).select("doc_id", "group", "rank", "role", F.md5("text").alias("text"))
 
 
@@ -282,7 +282,7 @@ def _(t):
 @query("roles_aside_for_questions")
 def _(t):
     rows = typed(t)
-    _, aside = L.split_aside(R.classify(rows, L.body_size(rows)))
+    _, aside = L.split_aside(R.classify(rows, L.body_size))
     asked = t.documents.select("doc_id", F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 2 == 0, "who wrote it").otherwise("list its references").alias("question"))
     return R.aside_passages(aside, asked).select("doc_id", "question_id", "label", "page", F.length("text").alias("length"))
 

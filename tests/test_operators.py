@@ -1044,3 +1044,20 @@ def test_chains_of_runs_are_those_of_the_array_functions(spark):
     assert len(got) > 100 and all(alignment._chain(rows[n][3]) == c for n, c in got.items())
     assert all(a[x : x + k] == b[y : y + k] for _, a, b, f in rows for x, y, k in alignment.grown(alignment._chain(f), a, b))
     assert alignment.grown([(2, 2, 2), (6, 6, 2)], "abcdefghij", "abcdefghij") == [(0, 0, 10)]
+
+
+def test_role_items_are_made_once(spark):
+    """Body sizes are told from the items as they are written, not from a second making of them."""
+    many = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            many.add(batch.num_rows)
+            yield batch
+
+    rows = [(d, p, n, 50.0, 60.0 * n, 300.0, 60.0 * n + 20, 800.0, t, "text", 9.0 + d, None, 0.0, "") for d in (1, 2) for p in (1, 2) for n, t in enumerate(("## References", "[1] One", "plain words here", "We thank all."), 1)]
+    shape = "doc_id long, page int, n int, x0 double, y0 double, x1 double, y1 double, page_height double, text string, kind string, size double, role string, confidence double, reason string"
+    items = spark.createDataFrame(rows, shape)
+    plain = sorted(map(str, roles.classify(items, L.body_size(items)).collect()))
+    assert sorted(map(str, roles.classify(items.mapInArrow(counted, items.schema), L.body_size).collect())) == plain
+    assert many.value == len(rows)
